@@ -8,6 +8,8 @@ place in the group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +59,11 @@ def places(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataF
     starts = rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = [rows[k].eqNullSafe(starts[k]) for k in [*keys, "_slice"]]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    return rows.join(starts, condition).select(
-        *[rows[c] for c in df.columns], (rows["_row"] - starts["_first"] + starts["_offset"] + 1).alias(name))
+    names = {k: f"_g{i}" for i, k in enumerate([*keys, "_slice"])}
+    starts = starts.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return rows.join(starts, reduce(lambda a, b: a & b, same)).select(
+        *df.columns, (F.col("_row") - F.col("_first") + F.col("_offset") + 1).alias(name))
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[str], n: int, unique: Column, salts: int = 64) -> DataFrame:
