@@ -36,12 +36,12 @@ def _of(spark, sf, *types):
 
 
 @query(GRAPH + """
-SELECT e.type, s.type AS src_type, d.type AS dst_type, count(*) AS edges, round(avg(e.confidence), 6) AS confidence
+SELECT e.type, s.type AS src_type, d.type AS dst_type, count(*) AS edges, round(avg(e.confidence) + 1e-9, 6) AS confidence
 FROM edges e JOIN vertices s ON e.src = s.id JOIN vertices d ON e.dst = d.id GROUP BY ALL""")
 def c4_edges_with_endpoints(spark, sf):
     e = g.with_endpoints(b.edges(spark, sf), b.vertices(spark, sf), "type")
     return (e.groupBy("type", "src_type", "dst_type")
-            .agg(F.count("*").alias("edges"), F.round(F.avg("confidence"), 6).alias("confidence")))
+            .agg(F.count("*").alias("edges"), F.round(F.avg("confidence") + 1e-9, 6).alias("confidence")))
 
 
 @query(GRAPH + """
@@ -207,14 +207,14 @@ SELECT (SELECT count(*) FROM vertices) AS total_nodes, (SELECT count(*) FROM edg
     AS node_types,
   (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM edges GROUP BY type))
     AS relationship_types,
-  (SELECT round(avg(confidence), 6) FROM edges) AS average_confidence""")
+  (SELECT round(avg(confidence) + 1e-9, 6) FROM edges) AS average_confidence""")
 def e3_graph_metrics(spark, sf):
     m = g.graph_metrics(b.vertices(spark, sf), b.edges(spark, sf))
 
     def text(c):
         return F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias(c)
     return m.select("total_nodes", "total_relationships", text("node_types"), text("relationship_types"),
-                    F.round("average_confidence", 6).alias("average_confidence"))
+                    near("average_confidence", 6))
 
 
 @query(REACH + """
@@ -237,11 +237,11 @@ PROFILE = GRAPH + """, pe AS (SELECT * FROM edges WHERE type = 'SUPPLIES_TO'
 
 @query(PROFILE + f"""
 SELECT count(*) AS total, min(confidence) AS min_confidence, max(confidence) AS max_confidence,
-  round(avg(confidence), 6) AS average_confidence, strftime(min(created_at), '{SQL_TIME}') AS earliest,
+  round(avg(confidence) + 1e-9, 6) AS average_confidence, strftime(min(created_at), '{SQL_TIME}') AS earliest,
   strftime(max(created_at), '{SQL_TIME}') AS latest FROM pe""")
 def e5_pattern_summary(spark, sf):
     s = g.pattern_summary(b.edges(spark, sf), b.vertices(spark, sf), "Company", "SUPPLIES_TO")
-    return (s.withColumn("average_confidence", F.round("average_confidence", 6))
+    return (s.withColumn("average_confidence", near("average_confidence", 6))
             .withColumn("earliest", stamp("earliest")).withColumn("latest", stamp("latest")))
 
 
@@ -259,11 +259,11 @@ def e5_pattern_properties(spark, sf):
 
 @query(GRAPH + ", " + SIDES + """
 SELECT here AS id, edge_type AS rel_type, v.type AS other_type, count(*) AS relations,
-  round(avg(sides.confidence), 6) AS average_confidence
+  round(avg(sides.confidence) + 1e-9, 6) AS average_confidence
 FROM sides JOIN vertices v ON v.id = other WHERE here IN (SELECT id FROM vertices WHERE type = 'Company') GROUP BY ALL""")
 def e6_company_profile(spark, sf):
     p = g.entity_profile(b.edges(spark, sf), b.vertices(spark, sf), "Company")
-    return p.withColumn("average_confidence", F.round("average_confidence", 6))
+    return p.withColumn("average_confidence", near("average_confidence", 6))
 
 
 @query(PROPS + """, risky AS (
@@ -274,14 +274,14 @@ rs AS (SELECT src AS here, dst AS other, id, type, confidence, severity FROM ris
 pt AS (SELECT here, type, count(*) AS n, sum(confidence) AS s, min_by(severity, id) AS first,
     count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium,
     count(*) FILTER (severity = 'low') AS low FROM rs GROUP BY ALL)
-SELECT here AS id, CAST(sum(n) AS BIGINT) AS total_risks, round(sum(s) / sum(n), 6) AS average_confidence,
+SELECT here AS id, CAST(sum(n) AS BIGINT) AS total_risks, round(sum(s) / sum(n) + 1e-9, 6) AS average_confidence,
   CAST(sum(high) AS BIGINT) AS high_severity, CAST(sum(medium) AS BIGINT) AS medium_severity,
   CAST(sum(low) AS BIGINT) AS low_severity,
   CAST(sum(n * CASE first WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS BIGINT) AS overall_risk_score
 FROM pt GROUP BY here""")
 def e7_risk_profile(spark, sf):
     p = g.risk_profile(b.edges(spark, sf), b.vertices(spark, sf))
-    return p.withColumn("average_confidence", F.round("average_confidence", 6))
+    return p.withColumn("average_confidence", near("average_confidence", 6))
 
 
 NODES = """, shown AS (SELECT *, row_number() OVER (PARTITION BY source_document ORDER BY confidence DESC, id) AS position
