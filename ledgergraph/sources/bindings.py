@@ -6,22 +6,11 @@ Each function is a plain projection, join or aggregation, so column pruning and
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgergraph.sources.tables import spread, table
 
-EPOCH = "1992-01-01 00:00:00"
-
-# Names that the event types of the events table stand for.
-EVENT_METRICS = {"view": "completeness", "click": "consistency", "purchase": "accuracy", "signup": "timeliness",
-                 "error": "validity"}
-EVENT_STATUS = {"signup": ("pending", None), "view": ("processing", "entity_extraction"),
-                "click": ("processing", "graph_storage"), "purchase": ("completed", None),
-                "error": ("failed", None)}
-
 
 def money(value: Column) -> Column:
     """Text of an amount with two decimals."""
@@ -42,74 +31,45 @@ def properties(**columns: Column) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
-def _epoch() -> Column:
-    return F.lit(EPOCH).cast("timestamp_ntz")
-
-
-def _vertex(df: DataFrame, id_: Column, type_: str, name: Column, props: Column, confidence: Column,
-            source: Column, created: Column | None = None) -> DataFrame:
-    created = _epoch() if created is None else created.cast("timestamp_ntz")
-    return df.select(
-        id_.alias("id"), F.lit(type_).alias("type"), name.alias("name"), props.alias("properties"),
-        created.alias("created_at"), created.alias("updated_at"), confidence.cast("double").alias("confidence"),
-        source.alias("source_document"),
-    )
+VERTEX_SQL = """
+SELECT concat('C', c_custkey) AS id, 'Company' AS type, c_name AS name,
+  map('name', c_name, 'industry', c_mktsegment, 'ticker', substring(c_mktsegment, 1, 5),
+    'revenue', format_string('%.2f', c_acctbal), 'employees', CAST(c_nationkey AS STRING),
+    'compliance_status', CASE WHEN c_acctbal > 5000 THEN
+      '{{"Risk Management":"ok","Best Execution":"ok","Client Reporting":"open"}}' END,
+    'risk_assessment', CASE WHEN c_acctbal > 5000 THEN '{{"market_risk":"low","operational_risk":"high"}}' END) AS p,
+  TIMESTAMP_NTZ '1992-01-01 00:00:00' AS created_at, 0.5D + (c_custkey % 50) / 100.0D AS confidence,
+  concat('customers-', c_mktsegment) AS source_document FROM {customer}
+UNION ALL SELECT concat('S', s_suppkey), 'Company', s_name,
+  map('name', s_name, 'ticker', s_name, 'revenue', format_string('%.2f', s_acctbal), 'employees', 'n/a'),
+  TIMESTAMP_NTZ '1992-01-01 00:00:00', 0.9D, 'suppliers' FROM {supplier}
+UNION ALL SELECT concat('N', n_nationkey), 'Location', n_name, map('name', n_name),
+  TIMESTAMP_NTZ '1992-01-01 00:00:00', 1.0D, 'geography' FROM {nation}
+UNION ALL SELECT concat('R', r_regionkey), 'Location', r_name, map('name', r_name),
+  TIMESTAMP_NTZ '1992-01-01 00:00:00', 1.0D, 'geography' FROM {region}
+UNION ALL SELECT concat('P', p_partkey), 'FinancialInstrument', p_name,
+  map('name', p_name, 'type', p_type, 'issuer', p_brand, 'face_value', format_string('%.2f', p_retailprice),
+    'cusip', p_brand, 'documents', CASE p_size % 3 WHEN 0 THEN '["prospectus","offering_memorandum"]'
+      WHEN 1 THEN '["prospectus"]' END),
+  TIMESTAMP_NTZ '1992-01-01 00:00:00', 0.6D + p_size / 200.0D, concat('catalogue-', p_brand) FROM {part}
+UNION ALL SELECT concat('O', o_orderkey), 'Transaction', concat('Order ', o_orderkey),
+  map('amount', format_string('%.2f', o_totalprice), 'date', date_format(o_orderdate, 'yyyy-MM-dd'),
+    'type', o_orderstatus, 'transaction_date', date_format(o_orderdate, 'yyyy-MM-dd'),
+    'settlement_date', CAST(date_add(CAST(o_orderdate AS DATE), CASE o_orderpriority WHEN '1-URGENT' THEN -1 ELSE 7 END)
+      AS STRING)),
+  o_orderdate, 0.8D, concat('orders-', year(o_orderdate)) FROM {orders}
+UNION ALL SELECT m.id, 'FinancialMetric', m.name, map('name', m.name), TIMESTAMP_NTZ '1992-01-01 00:00:00', 1.0D, 'metrics'
+  FROM {region} LATERAL VIEW inline(array(struct('M1' AS id, 'revenue' AS name), struct('M2' AS id, 'orders' AS name))) m
+  WHERE r_regionkey = 0
+"""
 
 
 def vertices(spark: SparkSession, folder: str) -> DataFrame:
     """Companies, locations, instruments, transactions and two metrics as one vertex table."""
-    c, s, n, r, p, o = (table(spark, folder, x) for x in
-                        ("customer", "supplier", "nation", "region", "part", "orders"))
-    good = F.col("c_acctbal") > 5000
-    compliance = F.when(good, F.lit('{"Risk Management":"ok","Best Execution":"ok","Client Reporting":"open"}'))
-    risks = F.when(good, F.lit('{"market_risk":"low","operational_risk":"high"}'))
-    documents = (F.when(F.col("p_size") % 3 == 0, F.lit('["prospectus","offering_memorandum"]'))
-                 .when(F.col("p_size") % 3 == 1, F.lit('["prospectus"]')))
-    settled = F.date_add(F.col("o_orderdate").cast("date"),
-                         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(-1)).otherwise(F.lit(7)))
-    parts = [
-        _vertex(c, key("C", "c_custkey"), "Company", F.col("c_name"),
-                properties(name=F.col("c_name"), industry=F.col("c_mktsegment"),
-                           ticker=F.substring("c_mktsegment", 1, 5), revenue=money(F.col("c_acctbal")),
-                           employees=F.col("c_nationkey"), compliance_status=compliance, risk_assessment=risks),
-                F.lit(0.5) + (F.col("c_custkey") % 50) / F.lit(100.0),
-                F.concat(F.lit("customers-"), F.col("c_mktsegment"))),
-        _vertex(s, key("S", "s_suppkey"), "Company", F.col("s_name"),
-                properties(name=F.col("s_name"), ticker=F.col("s_name"), revenue=money(F.col("s_acctbal")),
-                           employees=F.lit("n/a")),
-                F.lit(0.9), F.lit("suppliers")),
-        _vertex(n, key("N", "n_nationkey"), "Location", F.col("n_name"), properties(name=F.col("n_name")),
-                F.lit(1.0), F.lit("geography")),
-        _vertex(r, key("R", "r_regionkey"), "Location", F.col("r_name"), properties(name=F.col("r_name")),
-                F.lit(1.0), F.lit("geography")),
-        _vertex(p, key("P", "p_partkey"), "FinancialInstrument", F.col("p_name"),
-                properties(name=F.col("p_name"), type=F.col("p_type"), issuer=F.col("p_brand"),
-                           face_value=money(F.col("p_retailprice")), cusip=F.col("p_brand"), documents=documents),
-                F.lit(0.6) + F.col("p_size") / F.lit(200.0), F.concat(F.lit("catalogue-"), F.col("p_brand"))),
-        _vertex(o, key("O", "o_orderkey"), "Transaction", key("Order ", "o_orderkey"),
-                properties(amount=money(F.col("o_totalprice")), date=day(F.col("o_orderdate")),
-                           type=F.col("o_orderstatus"), transaction_date=day(F.col("o_orderdate")),
-                           settlement_date=day(settled)),
-                F.lit(0.8), F.concat(F.lit("orders-"), F.year("o_orderdate").cast("string")),
-                F.col("o_orderdate")),
-        # Two metric vertices next to the regions: one row each, made from the table so that no data is built by hand.
-        _vertex(r.filter("r_regionkey = 0"), F.lit("M1"), "FinancialMetric", F.lit("revenue"),
-                properties(name=F.lit("revenue")), F.lit(1.0), F.lit("metrics")),
-        _vertex(r.filter("r_regionkey = 0"), F.lit("M2"), "FinancialMetric", F.lit("orders"),
-                properties(name=F.lit("orders")), F.lit(1.0), F.lit("metrics")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _edge(df: DataFrame, type_: str, src: Column, dst: Column, props: Column, confidence: Column, source: Column,
-          created: Column | None = None, suffix: Column | None = None) -> DataFrame:
-    created = _epoch() if created is None else created.cast("timestamp_ntz")
-    pieces = [F.lit(type_), src, dst] + ([suffix] if suffix is not None else [])
-    return df.select(
-        F.concat_ws(":", *pieces).alias("id"), F.lit(type_).alias("type"), src.alias("src"), dst.alias("dst"),
-        props.alias("properties"), created.alias("created_at"), created.alias("updated_at"),
-        confidence.cast("double").alias("confidence"), source.alias("source_document"),
-    )
+    names = ("customer", "supplier", "nation", "region", "part", "orders")
+    rows = spark.sql(VERTEX_SQL, **{n: table(spark, folder, n) for n in names})
+    return rows.selectExpr("id", "type", "name", "map_filter(p, (k, v) -> v IS NOT NULL) AS properties", "created_at",
+                           "created_at AS updated_at", "confidence", "source_document")
 
 
 def supply_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,89 +90,95 @@ def customer_months(spark: SparkSession, folder: str) -> DataFrame:
             .agg(F.sum("o_totalprice").alias("revenue"), F.count("*").alias("orders")))
 
 
-def metric_edges(spark: SparkSession, folder: str) -> DataFrame:
-    months = customer_months(spark, folder)
-    src = key("C", "o_custkey")
-
-    def of(metric: str, vertex: str, value: Column) -> DataFrame:
-        return _edge(months, "HAS_METRIC", src, F.lit(vertex),
-                     properties(type=F.lit(metric), timestamp=F.col("month"), value=money(value)),
-                     F.lit(0.9), F.lit("orders"),
-                     F.concat(F.col("month"), F.lit("-01 00:00:00")).cast("timestamp_ntz"), F.col("month"))
-
-    return of("revenue", "M1", F.col("revenue")).unionByName(of("orders", "M2", F.col("orders").cast("double")))
+EDGE_SQL = """
+WITH supply AS (SELECT * FROM {pairs}), months AS (SELECT * FROM {months}),
+issued AS (
+  SELECT l_suppkey, l_partkey, min(l_shipdate) AS first_ship, sum(l_quantity) AS size,
+    avg(l_extendedprice / l_quantity) AS price FROM {lineitem} GROUP BY l_suppkey, l_partkey)
+SELECT 'HEADQUARTERED_IN' AS type, concat('C', c_custkey) AS src, concat('N', c_nationkey) AS dst, '' AS suffix,
+  CAST(map() AS MAP<STRING, STRING>) AS p, TIMESTAMP_NTZ '1992-01-01 00:00:00' AS created_at, 1.0D AS confidence,
+  concat('customers-', c_mktsegment) AS source_document FROM {customer}
+UNION ALL SELECT 'HEADQUARTERED_IN', concat('S', s_suppkey), concat('N', s_nationkey), '', CAST(map() AS MAP<STRING, STRING>),
+  TIMESTAMP_NTZ '1992-01-01 00:00:00', 1.0D, 'suppliers' FROM {supplier}
+UNION ALL SELECT 'LOCATED_IN', concat('N', n_nationkey), concat('R', n_regionkey), '', CAST(map() AS MAP<STRING, STRING>),
+  TIMESTAMP_NTZ '1992-01-01 00:00:00', 1.0D, 'geography' FROM {nation}
+UNION ALL SELECT 'SUPPLIES_TO', concat('S', l_suppkey), concat('C', o_custkey), '',
+  map('lines', CAST(lines AS STRING), 'quantity', format_string('%.2f', quantity)), first_ship,
+  round(1.0D - discount, 6), 'suppliers' FROM supply
+UNION ALL SELECT 'ISSUES', concat('S', l_suppkey), concat('P', l_partkey), '',
+  map('issue_date', date_format(first_ship, 'yyyy-MM-dd'), 'issue_price', format_string('%.2f', price),
+    'issue_size', format_string('%.2f', size)), first_ship, 0.95D, 'suppliers' FROM issued
+UNION ALL SELECT 'TRANSACTION', concat('C', o_custkey), concat('O', o_orderkey), '',
+  map('transaction_date', date_format(o_orderdate, 'yyyy-MM-dd'), 'amount', format_string('%.2f', o_totalprice)),
+  o_orderdate, 0.85D, concat('orders-', year(o_orderdate)) FROM {orders}
+UNION ALL SELECT 'HAS_METRIC', concat('C', o_custkey), 'M1', concat(':', month),
+  map('type', 'revenue', 'timestamp', month, 'value', format_string('%.2f', revenue)),
+  CAST(concat(month, '-01 00:00:00') AS TIMESTAMP_NTZ), 0.9D, 'orders' FROM months
+UNION ALL SELECT 'HAS_METRIC', concat('C', o_custkey), 'M2', concat(':', month),
+  map('type', 'orders', 'timestamp', month, 'value', format_string('%.2f', CAST(orders AS DOUBLE))),
+  CAST(concat(month, '-01 00:00:00') AS TIMESTAMP_NTZ), 0.9D, 'orders' FROM months
+UNION ALL SELECT 'DEPENDS_ON', concat('C', o_custkey), concat('S', l_suppkey), '',
+  map('severity', CASE WHEN lines >= 3 THEN 'high' WHEN lines = 2 THEN 'low' END), first_ship, 0.7D, 'suppliers' FROM supply
+UNION ALL SELECT 'EXPOSED_TO', concat('C', c_custkey), concat('N', c_nationkey), '',
+  map('severity', CASE WHEN c_acctbal < -500 THEN 'high' ELSE 'low' END), TIMESTAMP_NTZ '1992-01-01 00:00:00', 0.75D,
+  concat('customers-', c_mktsegment) FROM {customer} WHERE c_acctbal < 0
+"""
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
     """All relationships between the vertices, one table."""
-    c, s, n, o, l = (table(spark, folder, x) for x in ("customer", "supplier", "nation", "orders", "lineitem"))
-    pairs = supply_pairs(spark, folder)
-    issues = (l.groupBy("l_suppkey", "l_partkey")
-              .agg(F.min("l_shipdate").alias("first_ship"), F.sum("l_quantity").alias("size"),
-                   F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price")))
-    none = properties(note=F.lit(None))
-    parts = [
-        _edge(c, "HEADQUARTERED_IN", key("C", "c_custkey"), key("N", "c_nationkey"), none, F.lit(1.0),
-              F.concat(F.lit("customers-"), F.col("c_mktsegment"))),
-        _edge(s, "HEADQUARTERED_IN", key("S", "s_suppkey"), key("N", "s_nationkey"), none, F.lit(1.0),
-              F.lit("suppliers")),
-        _edge(n, "LOCATED_IN", key("N", "n_nationkey"), key("R", "n_regionkey"), none, F.lit(1.0),
-              F.lit("geography")),
-        _edge(pairs, "SUPPLIES_TO", key("S", "l_suppkey"), key("C", "o_custkey"),
-              properties(lines=F.col("lines"), quantity=money(F.col("quantity"))),
-              F.round(F.lit(1.0) - F.col("discount"), 6), F.lit("suppliers"), F.col("first_ship")),
-        _edge(issues, "ISSUES", key("S", "l_suppkey"), key("P", "l_partkey"),
-              properties(issue_date=day(F.col("first_ship")), issue_price=money(F.col("price")),
-                         issue_size=money(F.col("size"))),
-              F.lit(0.95), F.lit("suppliers"), F.col("first_ship")),
-        _edge(o, "TRANSACTION", key("C", "o_custkey"), key("O", "o_orderkey"),
-              properties(transaction_date=day(F.col("o_orderdate")), amount=money(F.col("o_totalprice"))),
-              F.lit(0.85), F.concat(F.lit("orders-"), F.year("o_orderdate").cast("string")), F.col("o_orderdate")),
-        metric_edges(spark, folder),
-        _edge(pairs, "DEPENDS_ON", key("C", "o_custkey"), key("S", "l_suppkey"),
-              properties(severity=F.when(F.col("lines") >= 3, "high").when(F.col("lines") == 2, "low")),
-              F.lit(0.7), F.lit("suppliers"), F.col("first_ship")),
-        _edge(c.filter("c_acctbal < 0"), "EXPOSED_TO", key("C", "c_custkey"), key("N", "c_nationkey"),
-              properties(severity=F.when(F.col("c_acctbal") < -500, "high").otherwise("low")),
-              F.lit(0.75), F.concat(F.lit("customers-"), F.col("c_mktsegment"))),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    names = ("customer", "supplier", "nation", "orders", "lineitem")
+    rows = spark.sql(EDGE_SQL, pairs=supply_pairs(spark, folder), months=customer_months(spark, folder),
+                     **{n: table(spark, folder, n) for n in names})
+    return rows.selectExpr("concat(type, ':', src, ':', dst, suffix) AS id", "type", "src", "dst",
+                           "map_filter(p, (k, v) -> v IS NOT NULL) AS properties", "created_at",
+                           "created_at AS updated_at", "confidence", "source_document")
 
 
 def metric_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Quality metric facts (metric_type, entity_type, ts, value, threshold, confidence_score) from events."""
-    e = table(spark, folder, "events").filter(F.col("event_type").isin(*EVENT_METRICS))
-    return e.select("event_id", _named(F.col("event_type"), EVENT_METRICS).alias("metric_type"),
-                    F.concat(F.lit("E"), (F.col("user_id") % 4).cast("string")).alias("entity_type"),
-                    F.col("ts"), (F.col("value") / F.lit(500.0)).alias("value"), F.lit(0.5).alias("threshold"),
-                    (F.get_json_object("props", "$.k").cast("int") / F.lit(100.0)).alias("confidence_score"))
+    """Quality metric facts (event_id, metric_type, entity_type, ts, value, threshold, confidence_score) from events."""
+    return facts_from_events(table(spark, folder, "events"))
 
 
-def _named(column: Column, names: dict[str, str | None]) -> Column:
-    out = None
-    for k, v in names.items():
-        out = F.when(column == k, F.lit(v)) if out is None else out.when(column == k, F.lit(v))
-    return out
+def facts_from_events(e: DataFrame) -> DataFrame:
+    """The metric reading of a batch or stream of events."""
+    return e.selectExpr(
+        "event_id", "CASE event_type WHEN 'view' THEN 'completeness' WHEN 'click' THEN 'consistency' "
+        "WHEN 'purchase' THEN 'accuracy' WHEN 'signup' THEN 'timeliness' WHEN 'error' THEN 'validity' END AS metric_type",
+        "concat('E', user_id % 4) AS entity_type", "ts", "value / 500.0D AS value", "0.5D AS threshold",
+        "CAST(get_json_object(props, '$.k') AS INT) / 100.0D AS confidence_score").filter("metric_type IS NOT NULL")
 
 
 def status_events(spark: SparkSession, folder: str) -> DataFrame:
     """Processing status events, one document per user."""
-    e = table(spark, folder, "events")
-    return status_from_events(e)
+    return status_from_events(table(spark, folder, "events"))
 
 
 def status_from_events(e: DataFrame) -> DataFrame:
     """The status reading of a batch or stream of events."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.col("event_type")
-    return e.filter(kind.isin(*EVENT_STATUS)).select(
-        "event_id", F.col("user_id").cast("string").alias("document_id"), F.col("ts"),
-        _named(kind, {a: b for a, (b, _) in EVENT_STATUS.items()}).alias("status"),
-        _named(kind, {a: b for a, (_, b) in EVENT_STATUS.items() if b}).alias("stage"),
-        (k / F.lit(100.0)).alias("progress"), k.cast("long").alias("entities_processed"),
-        F.floor(k / 2).cast("long").alias("relationships_processed"),
-        F.when(kind == "error", F.concat(F.lit("k="), (k % 5).cast("string"))).alias("error_message"),
-    )
+    k = "CAST(get_json_object(props, '$.k') AS INT)"
+    return e.selectExpr(
+        "event_id", "CAST(user_id AS STRING) AS document_id", "ts",
+        "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'processing' "
+        "WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status",
+        "CASE event_type WHEN 'view' THEN 'entity_extraction' WHEN 'click' THEN 'graph_storage' END AS stage",
+        f"{k} / 100.0D AS progress", f"CAST({k} AS BIGINT) AS entities_processed",
+        f"CAST({k} DIV 2 AS BIGINT) AS relationships_processed",
+        f"CASE event_type WHEN 'error' THEN concat('k=', {k} % 5) END AS error_message").filter("status IS NOT NULL")
+
+
+STATEMENT_SQL = """
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, v) AS doc_id, l_linenumber AS page, concat(
+    CASE (l_orderkey + l_linenumber) % 5
+      WHEN 0 THEN concat(s_name, ' supplies parts to ', c_name, ' in ', y, '.')
+      WHEN 1 THEN concat(c_name, ' bought a stake in ', s_name, ' for $', v, ' in ', y, '.')
+      WHEN 2 THEN concat(s_name, ' did not invest, though ', c_name, ' competes with ', s_name, '.')
+      WHEN 3 THEN concat(c_name, ' reported revenue of $', v, ' million during fiscal year ', y, '.')
+      ELSE concat(c_name, ' acquired a division of ', s_name, ', revenue growth of 12% yearly.') END,
+    '\\nInvoice #', l_orderkey, ' to the retail market, payment terms: amount due $', v, ' from cash.') AS text
+FROM (SELECT *, format_string('%.2f', l_extendedprice) AS v, CAST(year(l_shipdate) AS STRING) AS y FROM {lines})
+JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
+"""
 
 
 def statements(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,31 +186,10 @@ def statements(spark: SparkSession, folder: str) -> DataFrame:
 
     doc_id is the key of the line with its price (the key alone may repeat), page its line number.
     """
-    l = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                                       "l_extendedprice", "l_shipdate"))
-    o = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    c = table(spark, folder, "customer").select("c_custkey", "c_name")
-    s = table(spark, folder, "supplier").select("s_suppkey", "s_name")
-    rows = (l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-            .join(s, l.l_suppkey == s.s_suppkey))
-    S, C = F.col("s_name"), F.col("c_name")
-    V, Y = money(F.col("l_extendedprice")), F.year("l_shipdate").cast("string")
-    pick = (F.col("l_orderkey") + F.col("l_linenumber")) % 5
-    sentence = (
-        F.when(pick == 0, F.concat(S, F.lit(" supplies parts to "), C, F.lit(" in "), Y, F.lit(".")))
-        .when(pick == 1, F.concat(C, F.lit(" bought a stake in "), S, F.lit(" for $"), V, F.lit(" in "), Y,
-                                  F.lit(".")))
-        .when(pick == 2, F.concat(S, F.lit(" did not invest, though "), C, F.lit(" competes with "), S,
-                                  F.lit(".")))
-        .when(pick == 3, F.concat(C, F.lit(" reported revenue of $"), V, F.lit(" million during fiscal year "), Y,
-                                  F.lit(".")))
-        .otherwise(F.concat(C, F.lit(" acquired a division of "), S, F.lit(", revenue growth of 12% yearly.")))
-    )
-    text = F.concat(sentence, F.lit("\nInvoice #"), F.col("l_orderkey").cast("string"),
-                    F.lit(" to the retail market, payment terms: amount due $"), V, F.lit(" from cash."))
-    return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", V).alias("doc_id"),
-        F.col("l_linenumber").alias("page"), text.alias("text"))
+    lines = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                           "l_extendedprice", "l_shipdate"))
+    names = ("orders", "customer", "supplier")
+    return spark.sql(STATEMENT_SQL, lines=lines, **{n: table(spark, folder, n) for n in names})
 
 
 def company_names(spark: SparkSession, folder: str) -> DataFrame:
