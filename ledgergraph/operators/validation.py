@@ -15,7 +15,6 @@ from ledgergraph.functions.values import get, has, members, number, outside
 ENTITY_CHECKS = ["required", "pattern", "range", "metric", "metric_range", "document"]
 RELATIONSHIP_CHECKS = ["required", "pattern", "range", "date", "metric", "metric_range", "document"]
 DOMAIN_CHECKS = ["required", "pattern", "metric", "metric_range", "compliance", "risk"]
-FINDING = "struct<rule:string,check:string,level:string,field:string,action:string,message:string>"
 
 
 def _by_type(checks: DataFrame, kept: list[str]) -> DataFrame:
@@ -25,53 +24,62 @@ def _by_type(checks: DataFrame, kept: list[str]) -> DataFrame:
             .agg(F.array_sort(F.collect_list(c)).alias("_checks")))
 
 
-def _violation(c: Column) -> Column:
-    """The finding of one check on the row's properties, or null."""
-    props, field, check = F.col("properties"), c["field"], c["check"]
-    there = has(props, field)
-    text = F.coalesce(F.try_element_at(props, field), F.lit("None"))
-    value = number(text)
-    ranged = check.isin("range", "metric_range")
+def _looked_up(c: Column) -> Column:
+    """A check with what the row has for its field."""
+    props = F.col("properties")
+    return F.struct(*[c[n].alias(n) for n in ("rule", "check", "field", "pattern", "min", "max")],
+                    has(props, c["field"]).alias("there"),
+                    F.coalesce(F.try_element_at(props, c["field"]), F.lit("None")).alias("text"))
+
+
+def _measured(c: Column) -> Column:
+    """The same with the number in the text, where the check is about a range."""
+    ranged = c["check"].isin("range", "metric_range") & c["there"]
+    return F.struct(*[c[n].alias(n) for n in ("rule", "check", "field", "pattern", "min", "max", "there", "text")],
+                    F.when(ranged, number(c["text"])).alias("value"))
+
+
+def _judged(c: Column) -> Column:
+    """The same with the action that would put it right; null if nothing is wrong."""
+    check, field, there, value = c["check"], c["field"], c["there"], c["value"]
     action = (
         F.when(check.isin("required", "metric", "date"), F.when(~there, "add"))
-        .when(check == "pattern", F.when(there & ~F.rlike(text, F.concat(F.lit("^(?:"), c["pattern"], F.lit(")"))), "format"))
-        .when(ranged, F.when(there & value.isNull(), "convert")
-              .when(there & outside(value, c["min"], c["max"]), "adjust"))
+        .when(check == "pattern",
+              F.when(there & ~F.rlike(c["text"], F.concat(F.lit("^(?:"), c["pattern"], F.lit(")"))), "format"))
         .when(check == "document", F.when(~F.array_contains("_documents", field), "add"))
         .when(check == "compliance", F.when(~F.array_contains("_compliance", field), "add"))
-        .when(check == "risk", F.when(~F.array_contains("_risks", field), "add")))
-    target = (F.when(check == "document", "documents").when(check == "compliance", "compliance_status")
-              .when(check == "risk", "risk_assessment").otherwise(field))
-    metric = check.startswith("metric")
-    message = (
-        F.when(action == "format", F.concat(F.lit("Field "), field, F.lit(" does not match required pattern")))
-        .when(action == "convert", F.concat(F.when(metric, "Financial metric ").otherwise("Field "), field,
-                                            F.lit(" must be a numeric value")))
-        .when(action == "adjust", F.concat(F.when(metric, "Financial metric ").otherwise("Field "), field,
-                                           F.lit(" value "), text, F.lit(" is outside allowed range ["),
-                                           c["min"].cast("string"), F.lit(", "), c["max"].cast("string"), F.lit("]")))
-        .otherwise(F.concat(
-            F.when(check == "required", "Missing required field: ").when(check == "date", "Missing required date: ")
-            .when(check == "metric", "Missing required financial metric: ")
-            .when(check == "document", "Missing required regulatory document: ")
-            .when(check == "compliance", "Missing compliance requirement: ")
-            .otherwise("Missing required risk factor: "), field)))
-    return F.when(action.isNotNull(), F.struct(
-        c["rule"].alias("rule"), check.alias("check"), F.lit("error").alias("level"), target.alias("field"),
-        action.alias("action"), message.alias("message")))
+        .when(check == "risk", F.when(~F.array_contains("_risks", field), "add"))
+        .when(there, F.when(value.isNull(), "convert").when(outside(value, c["min"], c["max"]), "adjust")))
+    return F.struct(*[c[n].alias(n) for n in ("rule", "check", "field", "min", "max", "text")],
+                    F.lit("error").alias("level"), action.alias("action"))
+
+
+def _message(check: Column, field: Column, action: Column) -> Column:
+    head = F.when(check.startswith("metric"), "Financial metric ").otherwise("Field ")
+    missing = (F.when(check == "required", "Missing required field: ").when(check == "date", "Missing required date: ")
+               .when(check == "metric", "Missing required financial metric: ")
+               .when(check == "document", "Missing required regulatory document: ")
+               .when(check == "compliance", "Missing compliance requirement: ")
+               .otherwise("Missing required risk factor: "))
+    return (F.when(action == "format", F.concat(F.lit("Field "), field, F.lit(" does not match required pattern")))
+            .when(action == "convert", F.concat(head, field, F.lit(" must be a numeric value")))
+            .when(action == "adjust", F.concat(head, field, F.lit(" value "), F.col("text"),
+                                               F.lit(" is outside allowed range ["), F.col("min").cast("string"),
+                                               F.lit(", "), F.col("max").cast("string"), F.lit("]")))
+            .otherwise(F.concat(missing, field)))
 
 
 def validate(subjects: DataFrame, checks: DataFrame, kept: list[str]) -> DataFrame:
-    """``subjects`` (id, type, properties, …) with an array ``findings``; empty where nothing is wrong."""
+    """``subjects`` (id, type, properties, …) with an array ``findings``; empty, or null where no rule applies."""
     props = F.col("properties")
     prepared = subjects.select("*", members(get(props, "documents")).alias("_documents"),
                                members(get(props, "compliance_status")).alias("_compliance"),
                                members(get(props, "risk_assessment")).alias("_risks"))
     joined = prepared.join(F.broadcast(_by_type(checks, kept)), "type", "left")
-    found = F.array_compact(F.transform(F.coalesce("_checks", F.array().cast(
-        "array<struct<rule:string,check:string,field:string,pattern:string,min:double,max:double>>")), _violation))
-    return (joined.withColumn("findings", found)
-            .select(*subjects.columns, "findings"))
+    # One step after another, so that each value is written down once and not copied into every place of use.
+    found = F.filter(F.transform(F.transform(F.transform("_checks", _looked_up), _measured), _judged),
+                     lambda f: f["action"].isNotNull())
+    return joined.withColumn("findings", found).select(*subjects.columns, "findings")
 
 
 def validate_entities(vertices: DataFrame, checks: DataFrame) -> DataFrame:
@@ -89,15 +97,20 @@ def validate_domain(vertices: DataFrame, checks: DataFrame, domain: str) -> Data
 
 def findings(validated: DataFrame) -> DataFrame:
     """One row per finding: subject_id, type, rule, check, level, field, action, message."""
-    return validated.select(F.col("id").alias("subject_id"), "type", F.explode("findings").alias("f")).select(
+    rows = validated.select(F.col("id").alias("subject_id"), "type", F.explode("findings").alias("f")).select(
         "subject_id", "type", "f.*")
+    check, field = F.col("check"), F.col("field")
+    target = (F.when(check == "document", "documents").when(check == "compliance", "compliance_status")
+              .when(check == "risk", "risk_assessment").otherwise(field))
+    return rows.select("subject_id", "type", "rule", "check", "level", target.alias("field"), "action",
+                       _message(check, field, F.col("action")).alias("message"))
 
 
 def report(validated: DataFrame) -> DataFrame:
     """One row per subject: findings, errors, warnings, overall status and confidence."""
     def n(level: str) -> Column:
-        return F.size(F.filter("findings", lambda f: f["level"] == level)).cast("long")
-    rows = validated.select("id", "type", F.size("findings").cast("long").alias("findings"),
+        return F.coalesce(F.size(F.filter("findings", lambda f: f["level"] == level)), F.lit(0)).cast("long")
+    rows = validated.select("id", "type", F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("findings"),
                             n("error").alias("errors"), n("warning").alias("warnings"))
     return _scored(rows)
 
