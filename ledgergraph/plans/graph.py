@@ -433,3 +433,25 @@ def h6_shared_words(spark, sf):
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("w2"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn",
                                                    F.size(F.array_intersect("w", "w2")).alias("shared_words"))
+
+
+# Edge properties as JSON text, keys in the order in which they are set.
+EDGES_JSON = f"""WITH {sql.PAIRS_AND_MONTHS}
+SELECT 'ISSUES:S' || l_suppkey || ':P' || l_partkey AS id, '{{"issue_date":"' || strftime(first_ship, '%Y-%m-%d')
+  || '","issue_price":"' || printf('%.2f', price + 1e-7) || '","issue_size":"' || printf('%.2f', size) || '"}}' AS properties FROM issued
+UNION ALL SELECT 'TRANSACTION:C' || o_custkey || ':O' || o_orderkey, '{{"transaction_date":"' || strftime(o_orderdate, '%Y-%m-%d')
+  || '","amount":"' || printf('%.2f', o_totalprice) || '"}}' FROM orders"""
+
+
+@query(PROPS + """
+SELECT seed, id, similarity, position FROM (SELECT a.id AS seed, b.id, a.n AS similarity,
+    row_number() OVER (PARTITION BY a.id ORDER BY b.n DESC, b.id) AS position
+  FROM (SELECT src AS id, count(*) AS n FROM edges WHERE type = 'SUPPLIES_TO' GROUP BY src) a
+  JOIN (SELECT src, dst AS id, confidence AS n FROM edges WHERE type = 'SUPPLIES_TO') b ON b.src = a.id) WHERE position <= 3""")
+def g2_best_partners(spark, sf):
+    """The three most trusted customers of each supplier, best first, with the supplier's number of customers."""
+    from ledgergraph.functions.ordering import first_n
+    e = _of(spark, sf, "SUPPLIES_TO").select(F.col("src").alias("seed"), F.col("dst").alias("id"), "confidence")
+    n = e.groupBy("seed").agg(F.count("*").alias("similarity"))
+    top = first_n(e, ["seed"], ["-confidence", "id"], 3, F.col("id"))
+    return top.join(n, "seed").select("seed", "id", "similarity", F.col("position").cast("long").alias("position"))

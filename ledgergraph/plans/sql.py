@@ -112,7 +112,7 @@ EPROPS = """eprops AS (
   SELECT 'SUPPLIES_TO:S' || l_suppkey || ':C' || o_custkey AS id, 'SUPPLIES_TO' AS type, unnest(['lines','quantity']) AS key,
     unnest([CAST(lines AS VARCHAR), printf('%.2f', quantity)]) AS value FROM supply
   UNION ALL SELECT 'ISSUES:S' || l_suppkey || ':P' || l_partkey, 'ISSUES', unnest(['issue_date','issue_price','issue_size']),
-    unnest([strftime(first_ship, '%Y-%m-%d'), printf('%.2f', price), printf('%.2f', size)]) FROM issued
+    unnest([strftime(first_ship, '%Y-%m-%d'), printf('%.2f', price + 1e-7), printf('%.2f', size)]) FROM issued
   UNION ALL SELECT 'TRANSACTION:C' || o_custkey || ':O' || o_orderkey, 'TRANSACTION', unnest(['transaction_date','amount']),
     unnest([strftime(o_orderdate, '%Y-%m-%d'), printf('%.2f', o_totalprice)]) FROM orders
   UNION ALL SELECT 'HAS_METRIC:C' || o_custkey || ':M1:' || month, 'HAS_METRIC', unnest(['type','timestamp','value']),

@@ -334,3 +334,22 @@ def e2_relation_statistics(spark, sf):
 SELECT count(*) AS total, count(*) FILTER (confidence >= 0.8) AS high_confidence FROM mentions""")
 def e15_confident_mentions(spark, sf):
     return m.confident_share(_mentions(spark, sf))
+
+
+@query(RELATIONS + f""", kept AS (SELECT * FROM rels WHERE confidence > 0.5 AND src_type IN ({sql.LABELS}) AND dst_type IN ({sql.LABELS})),
+names AS (SELECT *, CASE type WHEN 'FINANCIAL_METRIC' THEN 'FinancialMetric' ELSE upper(type[1:1]) || lower(type[2:]) END AS t FROM mentions)
+SELECT 'vertex' AS kind, t AS type, count(*) AS items, count(DISTINCT (doc_id, "start")) AS ids, round(avg(confidence), 6) AS confidence
+FROM names GROUP BY t
+UNION ALL SELECT 'edge', CASE WHEN rel_type IN ({', '.join("'" + n + "'" for n in kinds.RELATION_TYPES + kinds.EXTRA_ACCEPTED_RELATIONS)})
+  THEN rel_type ELSE 'TRANSACTION' END AS t, count(*), count(DISTINCT (doc_id, src_start, dst_start)), round(avg(confidence), 6)
+FROM kept GROUP BY t""")
+def d14_document_graph(spark, sf):
+    """Texts to vertices and edges, counted by type."""
+    from ledgergraph.operators.document_graph import to_graph
+    v, e = to_graph(b.statements(spark, sf), b.company_names(spark, sf), frames.entity_aliases(spark),
+                    frames.accepted_relations(spark), "2024-01-01 00:00:00")
+
+    def counts(df, kind):
+        return df.groupBy(F.lit(kind).alias("kind"), "type").agg(
+            F.count("*").alias("items"), F.count_distinct("id").alias("ids"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return counts(v, "vertex").unionByName(counts(e, "edge"))

@@ -106,7 +106,7 @@ UNION ALL SELECT 'SUPPLIES_TO', concat('S', l_suppkey), concat('C', o_custkey),
   map('lines', CAST(lines AS STRING), 'quantity', format_string('%.2f', quantity)), first_ship,
   round(1.0D - discount, 6), 'suppliers' FROM supply
 UNION ALL SELECT 'ISSUES', concat('S', l_suppkey), concat('P', l_partkey), '',
-  map('issue_date', date_format(first_ship, 'yyyy-MM-dd'), 'issue_price', format_string('%.2f', price),
+  map('issue_date', date_format(first_ship, 'yyyy-MM-dd'), 'issue_price', format_string('%.2f', price + 1e-7D),
     'issue_size', format_string('%.2f', size)), first_ship, 0.95D, 'suppliers' FROM issued
 UNION ALL SELECT 'TRANSACTION', concat('C', o_custkey), concat('O', o_orderkey), '',
   map('transaction_date', date_format(o_orderdate, 'yyyy-MM-dd'), 'amount', format_string('%.2f', o_totalprice)),
