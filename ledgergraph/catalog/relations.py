@@ -320,13 +320,14 @@ TREND_PHRASES = [
 ]
 
 
+def flag_pattern(entry: str) -> str:
+    """The regular expression of an entry of the flag table."""
+    return entry[3:] if entry.startswith("re:") else rf"\b(?:{entry})\b"
+
+
 def flag_rows() -> list[tuple[str, str, str]]:
     """(group, flag, regular expression)"""
-    return [
-        (group, name, rx[3:] if rx.startswith("re:") else rf"\b(?:{rx})\b")
-        for group, flags in FLAGS.items()
-        for name, rx in flags.items()
-    ]
+    return [(group, name, flag_pattern(entry)) for group, flags in FLAGS.items() for name, entry in flags.items()]
 
 
 def pattern_rows() -> list[tuple[str, int, str, str]]:

@@ -71,7 +71,8 @@ def find_mentions(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     around = F.concat("before", "sentence", "after")
     at = F.length("before") + F.col("start")
     left = F.least(at, F.lit(CONTEXT))
-    return hits.withColumn("type", label_of(F.col("hit"))).select(
+    # Exploding an array of one element keeps the optimizer from copying the label tests into every use of the label.
+    return hits.withColumn("type", F.explode(F.array(label_of(F.col("hit"))))).select(
         *ids, "sent_id", (F.col("sent_start") + F.col("start")).alias("start"),
         (F.col("sent_start") + F.col("end")).alias("end"), F.col("hit").alias("text"), "type",
         confidence(F.col("hit"), F.col("type")).alias("confidence"),

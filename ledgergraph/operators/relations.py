@@ -113,13 +113,19 @@ def extract(mentions: DataFrame, window: int = WINDOW, least: float = THRESHOLD)
     return score(pairs(mentions, window)).filter(F.col("confidence") > least)
 
 
-def flag(context: Column, pattern: str) -> Column:
-    return context.rlike(pattern)
+def flag(context: Column, group: str, name: str) -> Column:
+    """Whether a context raises a flag. A word list is looked for as plain text first, which is quick, and only a
+    context that has one of the words is searched for it as a whole word."""
+    entry = relations.FLAGS[group][name]
+    test = context.rlike(relations.flag_pattern(entry))
+    if entry.startswith("re:"):
+        return test
+    return reduce(lambda a, b: a | b, [F.contains(context, F.lit(w)) for w in entry.split("|")]) & test
 
 
 def flag_columns(context: Column, group: str) -> list[Column]:
     """The flags of one group as boolean columns."""
-    return [flag(context, rx).alias(name) for g, name, rx in relations.flag_rows() if g == group]
+    return [flag(context, group, name).alias(name) for name in relations.FLAGS[group]]
 
 
 def details(rels: DataFrame) -> DataFrame:
@@ -134,7 +140,7 @@ def details(rels: DataFrame) -> DataFrame:
 def flag_counts(contexts: DataFrame) -> DataFrame:
     """How many contexts raise each flag: group, flag, contexts. One aggregation row, then turned long."""
     rows = relations.flag_rows()
-    counts = contexts.agg(*[F.count_if(flag(F.col("context"), rx)).alias(f"f{i}") for i, (_, _, rx) in enumerate(rows)])
+    counts = contexts.agg(*[F.count_if(flag(F.col("context"), g, n)).alias(f"f{i}") for i, (g, n, _) in enumerate(rows)])
     pieces = [F.struct(F.lit(g).alias("group"), F.lit(n).alias("flag"), F.col(f"f{i}").alias("contexts"))
               for i, (g, n, _) in enumerate(rows)]
     return counts.select(F.explode(F.array(*pieces)).alias("z")).select("z.*")

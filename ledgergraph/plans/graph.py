@@ -150,7 +150,7 @@ def c12_industry_points(spark, sf):
 , n AS (SELECT *, row_number() OVER (PARTITION BY entity, metric ORDER BY ts) - 1 AS idx FROM points)
 SELECT entity, metric, count(*) AS points, max_by(value, ts) AS current_value, min(value) AS min_value,
   max(value) AS max_value, round(avg(value) + 1e-7, 4) AS avg_value,
-  round(stddev_pop(value) + 1e-7, 4) AS std_dev, round(regr_slope(value, idx) + 1e-7, 4) AS trend,
+  round(stddev_pop(value) + 1e-7, 4) AS std_dev, round(CASE WHEN count(*) > 1 THEN regr_slope(value, idx) END + 1e-7, 4) AS trend,
   round((max_by(value, ts) - min_by(value, ts)) / min_by(value, ts) + 1e-9, 6) AS growth_rate,
   round(stddev_pop(value) / avg(value) + 1e-9, 6) AS volatility FROM n GROUP BY ALL""")
 def f1_metric_trend(spark, sf):
@@ -170,7 +170,7 @@ def f1_metric_timeline(spark, sf):
 , m AS (SELECT industry, metric, ts, avg(value) AS mean FROM ip GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY industry, metric ORDER BY ts) - 1 AS idx FROM m)
 SELECT industry, metric, count(*) AS timestamps, round(avg(mean) + 1e-7, 4) AS industry_average,
-  round(stddev_pop(mean) / avg(mean) + 1e-9, 6) AS volatility, round(regr_slope(mean, idx) + 1e-7, 4) AS industry_trend
+  round(stddev_pop(mean) / avg(mean) + 1e-9, 6) AS volatility, round(CASE WHEN count(*) > 1 THEN regr_slope(mean, idx) END + 1e-7, 4) AS industry_trend
 FROM n GROUP BY ALL""")
 def f2_industry_trend(spark, sf):
     return t.industry_trend(_industry(spark, sf)).select(

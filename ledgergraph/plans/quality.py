@@ -196,7 +196,7 @@ def i16_metric_series(spark, sf):
   FROM facts)
 SELECT metric_type, entity_type, count(*) AS points, max_by(value, idx) AS current_value, min(value) AS min_value,
   max(value) AS max_value, round(avg(value), 9) AS avg_value, round(stddev_pop(value), 9) AS std_dev,
-  round(regr_slope(value, idx), 9) AS trend FROM n GROUP BY ALL""")
+  round(CASE WHEN count(*) > 1 THEN regr_slope(value, idx) END, 9) AS trend FROM n GROUP BY ALL""")
 def f3_quality_trend(spark, sf):
     r = q.trend(_facts(spark, sf))
     return r.select("metric_type", "entity_type", "points", "current_value", "min_value", "max_value",
