@@ -138,12 +138,15 @@ def details(rels: DataFrame) -> DataFrame:
 
 
 def flag_counts(contexts: DataFrame) -> DataFrame:
-    """How many contexts raise each flag: group, flag, contexts. One aggregation row, then turned long."""
-    rows = relations.flag_rows()
-    counts = contexts.agg(*[F.count_if(flag(F.col("context"), g, n)).alias(f"f{i}") for i, (g, n, _) in enumerate(rows)])
-    pieces = [F.struct(F.lit(g).alias("group"), F.lit(n).alias("flag"), F.col(f"f{i}").alias("contexts"))
-              for i, (g, n, _) in enumerate(rows)]
-    return counts.select(F.explode(F.array(*pieces)).alias("z")).select("z.*")
+    """How many contexts raise each flag: group, flag, contexts; a zero for flags that none raises.
+
+    Each context gives the numbers of its flags, which are counted; the names are joined to the counts.
+    """
+    names = [(i, g, n) for i, (g, n, _) in enumerate(relations.flag_rows())]
+    raised = F.array_compact(F.array(*[F.when(flag(F.col("context"), g, n), F.lit(i)) for i, g, n in names]))
+    counts = contexts.select(F.explode(raised).alias("no")).groupBy("no").agg(F.count("*").alias("contexts"))
+    table = frames.local(contexts.sparkSession, names, "no int, group string, flag string")
+    return F.broadcast(table).join(counts, "no", "left").fillna(0, ["contexts"]).select("group", "flag", "contexts")
 
 
 def sentiment(contexts: DataFrame) -> DataFrame:
