@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgergraph.functions.ordering import places, slopes
 from ledgergraph.functions.values import get, number
+from ledgergraph.session import checkpoint
 
 
 def metric_points(edges: DataFrame) -> DataFrame:
@@ -60,7 +61,8 @@ def industry_points(points: DataFrame, vertices: DataFrame) -> DataFrame:
 def industry_trend(points: DataFrame) -> DataFrame:
     """Mean, slope and volatility of the industry means per timestamp: industry, metric, …"""
     keys = ["industry", "metric"]
-    means = points.groupBy(*keys, "ts").agg(F.avg("value").alias("mean"))
+    # The means are read three times below (statistics, sampling for the sort, sort) and are far fewer than the points.
+    means = checkpoint(points.groupBy(*keys, "ts").agg(F.avg("value").alias("mean")))
     stats = means.groupBy(*keys).agg(F.count("*").alias("timestamps"), F.avg("mean").alias("industry_average"),
                                      F.stddev_pop("mean").alias("_std"))
     stats = stats.withColumn("volatility", _ratio(F.col("_std"), F.col("industry_average"))).drop("_std")
