@@ -225,7 +225,3 @@ def filtered(vertices: DataFrame, edges: DataFrame, node_types: list[str],
     """Vertices and edges of the given types; an edge stays only with both of its ends."""
     v = vertices.filter(F.col("type").isin(*node_types))
     return v, anchored(of_types(edges, edge_types), v)
-
-
-def condition(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, columns)

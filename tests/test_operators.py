@@ -115,7 +115,7 @@ def test_phrases(spark):
 
 def test_chunks_and_statistics(spark):
     df = spark.createDataFrame([(1, "x" * 1201), (2, "")], "doc_id int, text string")
-    assert [len(v) for (v,) in rows(documents.preview(df, most=None), "value")] .sort() is None
+    assert sorted(len(v) for (v,) in rows(documents.preview(df, most=None), "value")) == [201, 500, 500]
     assert documents.preview(df, most=None).count() == 3 and documents.preview(df, most=2).count() == 2
     got = {r.doc_id: (r.word_count, r.character_count, r.line_count) for r in documents.text_statistics(df).collect()}
     assert got == {1: (1, 1201, 1), 2: (0, 0, 1)}
