@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgergraph.llm import binary, quotient, sharding, simhash
+from ledgergraph.llm import binary, counts, packing, quality, quotient, sharding, simhash, templates
 from ledgergraph.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_simhash_anchors")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(documents(spark, sf_dir))
+
+
+@query("op4_retrieval_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), with_ids=False)
+
+
+@query("op6_length_histogram")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.histogram(documents(spark, sf_dir))
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op1_template_leaks")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaked_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
