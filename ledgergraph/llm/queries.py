@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgergraph.llm import binary, counts, packing, quality, quotient, sharding, simhash, templates
+from ledgergraph.llm import binary, counts, licenses, packing, quality, quotient, sharding, simhash, templates
 from ledgergraph.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_template_leaks")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaked_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
