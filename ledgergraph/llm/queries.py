@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgergraph.llm import binary, counts, licenses, packing, quality, quotient, sharding, simhash, templates
+from ledgergraph.llm import binary, counts, licenses, packing, quality, quotient, sharding, simhash, templates, trees
 from ledgergraph.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
+
+
+@query("op5_context_trees")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.score(documents(spark, sf_dir))
