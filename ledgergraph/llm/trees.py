@@ -2,8 +2,10 @@
 
 A byte is coded as eight binary decisions, each with its own tree over the ``DEPTH`` bytes before. A node of a tree
 has the Krichevsky-Trofimov estimate of its counts, and mixes it evenly with the product of its children, over all
-depths. These probabilities depend on counts only, so the trees come from one distributed count of byte strings, and
-the mixture weights of every node follow from the leaves up. Scoring uses the trees as they are after training.
+depths. These probabilities depend on counts only, so the trees come from one distributed count of strings of DEPTH + 1
+bytes, and the mixture weights of every node follow from the leaves up. Contexts that end in the same two bytes share
+all nodes but the topmost, so each such branch is grown and asked in one group, and only its topmost sums go further.
+Scoring uses the trees as they are after training: the score of a byte depends on its string of DEPTH + 1 bytes alone.
 
 Texts are words with A-Z lowered, joined by one blank and closed by a line feed, the end; contexts before a text are
 line feeds. The same tokens make the unigram base score.
@@ -22,15 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgergraph.llm.common import addressed, pieces, ragged, stored, words_of
+from ledgergraph.llm.common import numbered, pieces, ragged, stored, words_of
 
-DEPTH = 3
-BATCH = 6_000_000
+DEPTH = 5
+BATCH = 3_000_000
 END = 10
-FREQUENT = 1 << 18  # words whose counts are broadcast, each of at most WORD_BYTES bytes
+WORDS = 1 << 18  # words whose counts are broadcast, each of at most WORD_BYTES bytes
 WORD_BYTES = 64
-SLICE = 48_000  # context rows of 1 KB that are broadcast at once
-LOG10 = math.log(10)
+GRAMS = 1 << 22  # byte strings whose scores are broadcast: 100 MB as a hash table
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -48,46 +49,136 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 binary decisions (in heap order) from counts of 256 byte values per row."""
-    n, zeros, ones = len(counts), [], []
-    for t in range(8):
-        both = counts.reshape(n, 1 << t, 2, 1 << (7 - t)).sum(3)
-        zeros.append(both[:, :, 0])
-        ones.append(both[:, :, 1])
-    return np.concatenate(zeros, 1), np.concatenate(ones, 1)
-
-
-def byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte value from the probabilities of ones at the 255 decisions."""
-    value = np.arange(256)
-    out = np.zeros((len(one), 256))
-    for t in range(8):
-        p = one[:, (1 << t) - 1 + (value >> (8 - t))]
-        out += np.log10(np.where(value >> (7 - t) & 1, p, 1 - p))
-    return out
-
-
 @dataclass
-class Node:
-    """Nodes of one depth, a row each: estimate of a one, weight of the estimate, log of the weighted probability."""
+class Level:
+    """Nodes of one depth, in order of their key (context and decision): estimate of a one, its weight, logs."""
 
+    keys: np.ndarray
     one: np.ndarray
     share: np.ndarray
     log: np.ndarray
 
-    def mixed(self, child: np.ndarray | float) -> np.ndarray:
-        return self.share * self.one + (1 - self.share) * child
+    def mixed(self, keys: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Probability of a one at these nodes, given that one level down; nodes never seen say one half."""
+        if not len(self.keys):
+            return np.full(len(keys), 0.5)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.share[at] * self.one[at] + (1 - self.share[at]) * below, 0.5)
 
 
-def node(counts: np.ndarray, children: np.ndarray | None = None) -> Node:
-    """Nodes from byte counts and the sums of their children's logs; leaves have no children."""
-    zeros, ones = decisions(counts)
+def level(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray | None = None) -> Level:
+    """Nodes from counts and the sums of their children's logs; leaves have no children."""
     log, one = log_kt(zeros, ones), (ones + 0.5) / (zeros + ones + 1)
     if children is None:
-        return Node(one, np.ones_like(one), log)
+        return Level(keys, one, np.ones_like(one), log)
     share = 1 / (1 + np.exp(np.clip(children - log, -700, 700)))
-    return Node(one, share, np.logaddexp(log, children) - math.log(2))
+    return Level(keys, one, share, np.logaddexp(log, children) - math.log(2))
+
+
+def node_keys(grams: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the nodes that code the last byte of each gram after ``depth`` bytes, and the bits: eight columns."""
+    context = (grams >> 8) & ((1 << 8 * depth) - 1)
+    byte, t = (grams & 0xFF)[:, None], np.arange(8)
+    return context[:, None] << 8 | ((1 << t) - 1 + (byte >> (8 - t))), byte >> (7 - t) & 1
+
+
+def parents(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the same decisions after ``depth`` bytes: the far byte of the context goes."""
+    return (keys >> 8 & ((1 << 8 * depth) - 1)) << 8 | keys & 0xFF
+
+
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of each column of values."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, *(np.bincount(at, v, len(distinct)) for v in values)
+
+
+class Branch:
+    """Levels DEPTH down to 2 of all contexts that end in the same two bytes."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        keys, bits = node_keys(grams, DEPTH)
+        n = np.broadcast_to(counts[:, None], bits.shape)
+        keys, zeros, ones = summed(keys.ravel(), (n * (1 - bits)).ravel(), (n * bits).ravel())
+        self.levels = [level(keys, zeros, ones)]
+        for depth in range(DEPTH - 1, 1, -1):
+            keys, zeros, ones, logs = summed(parents(keys, depth), zeros, ones, self.levels[-1].log)
+            self.levels.append(level(keys, zeros, ones, logs))
+        self.top = pd.DataFrame({"key": parents(keys, 1), "zeros": zeros, "ones": ones, "log": self.levels[-1].log})
+
+    def score(self, grams: np.ndarray, top: list[Level]) -> np.ndarray:
+        """log10 probability of the last byte of each gram; ``top`` has the levels of one byte and of none."""
+        p = 0.5
+        for depth, nodes in zip(range(DEPTH, -1, -1), [*self.levels, *top], strict=True):
+            keys, bits = node_keys(grams, depth)
+            p = nodes.mixed(keys.ravel(), np.broadcast_to(p, keys.shape).ravel()).reshape(keys.shape)
+        return np.log10(np.where(bits == 1, p, 1 - p)).sum(1)
+
+
+def branches(grams: DataFrame):
+    return grams.groupBy(F.shiftright("gram", 8).bitwiseAND(0xFFFF).alias("branch"))
+
+
+def grow_top(grams: DataFrame) -> list[Level]:
+    """The levels of one byte and of none: at most 257 x 255 nodes, from the topmost sums of all branches."""
+
+    def tops(pdf: pd.DataFrame) -> pd.DataFrame:
+        return Branch(pdf["gram"].to_numpy(), pdf["n"].to_numpy()).top
+
+    found = (branches(grams).applyInPandas(tops, "key long, zeros double, ones double, log double").groupBy("key")
+             .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log").alias("log")).toPandas().sort_values("key"))
+    keys, zeros, ones, logs = (found[c].to_numpy() for c in found.columns)
+    one = level(keys.astype(np.int64), zeros, ones, logs)
+    keys, zeros, ones, logs = summed(parents(one.keys, 0), zeros, ones, one.log)
+    return [one, level(keys, zeros, ones, logs)]
+
+
+def gram_scores(grams: DataFrame, top, new: bool = False) -> DataFrame:
+    """``gram, n, log`` for counted grams, or with ``new`` for the rows of ``grams`` whose n is 0."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf[pdf["n"] > 0]
+        asked = pdf[pdf["n"] == 0] if new else known
+        log = Branch(known["gram"].to_numpy(), known["n"].to_numpy()).score(asked["gram"].to_numpy(), top.value)
+        return pd.DataFrame({"gram": asked["gram"], "n": asked["n"], "log": log})
+
+    return branches(grams).applyInPandas(run, "gram long, n long, log double")
+
+
+class Lookup:
+    """An open-addressing hash table from grams to scores."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        at = self._first(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            slot, who = np.unique(at[free], return_index=True)
+            self.keys[slot], self.values[slot] = keys[free[who]], values[free[who]]
+            left = self.keys[at] != keys
+            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each key (0 for unknown ones), and the places of the unknown ones."""
+        at = self._first(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], np.float32(0))
+        unknown = [np.flatnonzero(held < 0)]
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            unknown.append(todo[held < 0])
+            more = ~hit & (held >= 0)
+            todo, at = todo[more], at[more]
+        return out, np.sort(np.concatenate(unknown))
 
 
 def streams(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,33 +207,43 @@ def coded(stops: np.ndarray) -> np.ndarray:
     return mask
 
 
+def grams_of(data: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The DEPTH + 1 bytes up to each coded byte, as one number."""
+    wide = data.astype(np.int64)
+    key = wide[:len(wide) - DEPTH]
+    for i in range(1, DEPTH + 1):
+        key = key << 8 | wide[i:len(wide) - DEPTH + i]
+    return key[mask[DEPTH:]]
+
+
 def gather(docs: DataFrame) -> DataFrame:
     """``gram long, word string, n long``: counts of all strings of DEPTH + 1 bytes and of all words (the end is the
     empty word) in ``docs (text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts, held = np.zeros(0, np.uint32), np.zeros(0, np.int64), []
+        grams, counts, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for batch in pieces(batches, "text", BATCH):
             flat, ends, data, stops = streams(batch.column(0))
-            wide = data.astype(np.uint32)
-            key = np.zeros(len(wide) - DEPTH, np.uint32)
-            for i in range(DEPTH + 1):
-                key = key << np.uint32(8) | wide[i:len(wide) - DEPTH + i]
-            key = key[coded(stops)[DEPTH:]]
+            key = grams_of(data, coded(stops))
             key.sort()
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             held.append((key[first], np.diff(np.append(first, len(key)))))
             if len(held) == 8:
                 grams, counts = added([(grams, counts), *held])
                 held = []
+                if len(grams) > GRAMS:  # as much as a task holds; the rest is added after the shuffle
+                    yield from told(grams, counts)
+                    grams, counts = grams[:0], counts[:0]
             words = flat.value_counts()
             yield pa.record_batch({
                 "gram": pa.nulls(len(words) + 1, pa.int64()),
                 "word": pa.concat_arrays([words.field(0).cast(pa.string()), pa.array([""])]),
                 "n": pa.concat_arrays([words.field(1), pa.array([len(ends)], pa.int64())])})
-        grams, counts = added([(grams, counts), *held])
+        yield from told(*added([(grams, counts), *held]))
+
+    def told(grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(grams), 100_000):
-            part = grams[at:at + 100_000].astype(np.int64)
+            part = grams[at:at + 100_000]
             yield pa.record_batch({"gram": part, "word": pa.nulls(len(part), pa.string()), "n": counts[at:at + 100_000]})
 
     found = docs.select("text").mapInArrow(run, "gram long, word string, n long")
@@ -157,81 +258,6 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-class Branch:
-    """The trees below one last byte: leaves of DEPTH bytes, then nodes of two bytes and of one."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(grams >> 8 & 0xFFFF, kind="stable")  # by the nearer two bytes of the context
-        grams, counts = grams[order], counts[order]
-        self.last = int(grams[0] >> 8 & 0xFF)
-        pair = grams >> 8 & 0xFFFF
-        cuts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])).tolist() + [len(grams)]
-        self.parts, sums, total = [], np.zeros((1, 255)), np.zeros((1, 256))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            contexts, row = np.unique(grams[a:b] >> 8, return_inverse=True)
-            table = np.zeros((len(contexts), 256))
-            table[row, grams[a:b] & 0xFF] = counts[a:b]
-            own = table.sum(0, keepdims=True)
-            middle = node(own, node(table).log.sum(0, keepdims=True))
-            self.parts.append((int(pair[a]), contexts, table, middle))
-            sums += middle.log
-            total += own
-        self.counts, self.node = total, node(total, sums)
-
-    def rows(self, root: Node) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Depth, contexts and log10 probabilities of all byte values after them."""
-        mix = lambda middle, p: root.mixed(self.node.mixed(middle.mixed(p)))
-        for pair, contexts, table, middle in self.parts:
-            yield 3, contexts, byte_logs(mix(middle, node(table).one))
-            yield 2, np.array([pair]), byte_logs(mix(middle, 0.5))
-        yield 1, np.array([self.last]), byte_logs(root.mixed(self.node.mixed(0.5)))
-
-
-def grow(grams: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``code long, logs binary`` (256 float32) for every context seen, and the root's logs.
-
-    Branches of different last bytes are independent below the root, so each is one group, of at most 2^24 strings.
-    """
-    def tops(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Branch(pdf["gram"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame({"counts": [b.counts.tobytes()], "log": [b.node.log.tobytes()]})
-
-    keyed = grams.select("gram", "n").groupBy((F.shiftright("gram", 8).bitwiseAND(0xFF)).alias("last"))
-    found = keyed.applyInPandas(tops, "counts binary, log binary").collect()  # 256 rows at most
-    counts = np.sum([np.frombuffer(r.counts).reshape(1, 256) for r in found] or [np.zeros((1, 256))], axis=0)
-    children = np.sum([np.frombuffer(r.log).reshape(1, 255) for r in found] or [np.zeros((1, 255))], axis=0)
-    root = node(counts, children)
-
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for depth, contexts, logs in Branch(pdf["gram"].to_numpy(), pdf["n"].to_numpy()).rows(root):
-            out += [(int(c) | depth << 24, r.astype("<f4").tobytes()) for c, r in zip(contexts, logs, strict=True)]
-        return pd.DataFrame(out, columns=["code", "logs"])
-
-    return keyed.applyInPandas(rows, "code long, logs binary"), byte_logs(root.mixed(0.5))[0].astype(np.float32)
-
-
-class Rows:
-    """Finds the row of the deepest known context before each byte."""
-
-    def __init__(self, codes: np.ndarray) -> None:
-        self.of = [np.full(1 << (8 * d), -1, np.int32) for d in range(1, DEPTH + 1)]
-        for d in range(1, DEPTH + 1):
-            mine = np.flatnonzero(codes >> 24 == d)
-            self.of[d - 1][codes[mine] & 0xFFFFFF] = mine
-
-    def find(self, data: np.ndarray, coded: np.ndarray) -> np.ndarray:
-        """Row for each coded byte, -1 for the root."""
-        near = data.astype(np.int32)
-        context = (near[:-3] << 16 | near[1:-2] << 8 | near[2:-1])[coded[DEPTH:]]
-        row = self.of[2][context]
-        for d in (2, 1):
-            miss = np.flatnonzero(row < 0)
-            if len(miss):
-                row[miss] = self.of[d - 1][context[miss] & ((1 << 8 * d) - 1)]
-        return row
-
-
 def held_out(doc_id: Column) -> Column:
     """True if crc32 of the id as text is 1 modulo 5; a null id counts as the empty text."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
@@ -246,87 +272,89 @@ def score(docs: DataFrame) -> DataFrame:
     count as empty; repeated rows and null ids are scored each; an empty table gives an empty result; columns other
     than doc_id and text are ignored.
 
-    Counts of the most frequent words and the context rows are broadcast in pieces of bounded size (one pass over the
-    texts for each ``SLICE`` contexts); all other words are joined with their counts.
+    Scores of the most frequent grams and counts of the most frequent words are broadcast, up to a fixed number of
+    them; all others are joined with the few documents that hold them.
     """
     spark = docs.sparkSession
-    rows = addressed(docs).select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     counts = stored(gather(rows.where(~held_out(F.col("doc_id")))), "language-counts")
-    words, grams = counts.where("word IS NOT NULL").select("word", "n"), counts.where("gram IS NOT NULL")
+    words, grams = counts.where("word IS NOT NULL").select("word", "n"), counts.where("gram IS NOT NULL").select("gram", "n")
     n_words, n_all = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     below = math.log10(n_all + 0.5 * (n_words + 1))
 
+    top = spark.sparkContext.broadcast(grow_top(grams))
+    logs = stored(gram_scores(grams, top), "gram-scores")
+    common = logs.where(F.col("n") >= least_frequent(logs, GRAMS)).select("gram", F.col("log").cast("float").alias("log")).toPandas()
     short = words.where(F.octet_length("word") <= WORD_BYTES)
-    least, size = 1 << 62, 0  # the least count of a frequent word
-    for n, c in sorted(short.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().collect(), reverse=True):
-        size += c
-        if size > FREQUENT:
-            break
-        least = n
-    frequent = short.where(F.col("n") >= least).toPandas()
-    table, root = grow(grams)
-    table = stored(table, "contexts")
-    codes = np.sort(table.select("code").toPandas()["code"].to_numpy().astype(np.int64))  # at most 2^24 numbers and some
-    shared = spark.sparkContext.broadcast((codes.astype(np.int32), root, frequent["word"].to_numpy(), np.log10(frequent["n"].to_numpy() + 0.5)))
+    frequent = short.where(F.col("n") >= least_frequent(short, WORDS)).toPandas()
+    shared = spark.sparkContext.broadcast((
+        common["gram"].to_numpy().astype(np.int64), common["log"].to_numpy().astype(np.float32),
+        pa.array(frequent["word"], pa.string()), np.log10(frequent["n"].to_numpy() + 0.5)))
     known_end = int(n_all > 0)
+    end = words.where("word = ''").select("n").first()
+    end_log = math.log10((end.n if end else 0) + 0.5)
 
-    def run(batches: Iterator[pa.RecordBatch], lo: int, hi: int, logs) -> Iterator[pa.RecordBatch]:
-        codes, root, names, values = shared.value
-        names, find, matrix = pa.array(names, pa.string()), Rows(codes), np.concatenate([logs.value, root[None]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, logs, names, values = shared.value
+        table = Lookup(keys, logs)
         for batch in pieces(batches, "text", BATCH):
             flat, ends, data, stops = streams(batch.column(2))
-            mask = coded(stops)
-            row = find.find(data, mask)
-            here = (row >= lo) & (row < hi) if lo else row < hi
-            place = np.where(here & (row >= 0), row - lo, len(matrix) - 1)
-            value = np.where(here, matrix[place, data[mask]], 0).astype(np.float64)
-            size = np.diff(stops, prepend=0) - DEPTH
-            total = np.add.reduceat(value, np.cumsum(size) - size)
-            out = {"row": batch.column(0), "doc_id": batch.column(1), "part": total}
-            n = len(ends)
-            if lo:
-                yield pa.record_batch(out | {"bytes": size, "n_tokens": np.zeros(n, np.int64), "n_known": np.zeros(n, np.int64), "base": np.zeros(n),
-                                             "rare": pa.nulls(n, pa.list_(pa.string())), "times": pa.nulls(n, pa.list_(pa.int64()))})
-                continue
+            n, size = len(ends), np.diff(stops, prepend=0) - DEPTH
+            key = grams_of(data, coded(stops))
+            value, unknown = table.find(key)
+            owner = np.searchsorted(np.cumsum(size), unknown, "right")
+            rare, times, cuts = occurrences(owner, key[unknown], n)
+            out = {"row": batch.column(0), "doc_id": batch.column(1), "bytes": size,
+                   "score": np.add.reduceat(value.astype(np.float64), np.cumsum(size) - size),
+                   "grams": pa.ListArray.from_arrays(cuts, rare), "gram_times": pa.ListArray.from_arrays(cuts, times)}
             count = np.diff(ends, prepend=0)
             owner = np.repeat(np.arange(n), count)
-            coded_words = flat.dictionary_encode()
-            place = pc.fill_null(pc.index_in(coded_words.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False)
-            code = coded_words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            at = place[code] if len(code) else np.zeros(0, np.int64)
+            different = flat.dictionary_encode()
+            place = pc.fill_null(pc.index_in(different.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False)
+            code = different.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            at = place[code] if len(code) else code
             known = at >= 0
-            base = np.bincount(owner[known], values[at[known]], n) + end_log
-            kinds = max(1, len(coded_words.dictionary))
-            pairs, times = np.unique(owner[~known] * kinds + code[~known], return_counts=True)
-            cuts = pa.array(np.searchsorted(pairs, np.arange(n + 1) * kinds).astype(np.int32))
+            rare, times, cuts = occurrences(owner[~known], code[~known], n)
             yield pa.record_batch(out | {
-                "bytes": size, "n_tokens": count + 1, "n_known": np.bincount(owner[known], minlength=n) + known_end, "base": base,
-                "rare": pa.ListArray.from_arrays(cuts, coded_words.dictionary.take(pa.array(pairs % kinds)).cast(pa.string())),
-                "times": pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64)))})
-
-    end = words.where("word = ''").select("n").first()
-    end_log = math.log10((end.n if end else 0) + 0.5)
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, part double, bytes long, n_tokens long, n_known long, base double, rare array<string>, times array<long>"
-    tables = []
-    for lo in range(0, max(1, len(codes)), SLICE):
-        hi = min(lo + SLICE, len(codes))
-        chosen = table.where(F.col("code").between(int(codes[lo]), int(codes[hi - 1]))).toPandas().sort_values("code") if len(codes) else None
-        logs = np.frombuffer(b"".join(chosen["logs"]), "<f4").reshape(-1, 256) if len(codes) else np.zeros((0, 256), np.float32)
-        logs = spark.sparkContext.broadcast(logs)
-        tables.append(stored(rows.mapInArrow(lambda it, lo=lo, hi=hi, logs=logs: run(it, lo, hi, logs), schema), "scored"))
-
-    first = tables[0]
-    pair = F.arrays_zip("rare", "times")
-    others = (first.where(F.size("rare") > 0).select("row", F.explode(pair).alias("p")).select("row", F.col("p.rare").alias("word"), F.col("p.times").alias("times"))
-              .join(words, "word", "left").groupBy("row").agg(
-                  F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("base2"),
-                  F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known2")))
-    total = first.select("row", "doc_id", "bytes", "n_tokens", "n_known", "base", "part")
-    for more in tables[1:]:
-        total = total.join(more.select("row", F.col("part").alias("more")), "row").withColumn("part", F.col("part") + F.col("more")).drop("more")
-    total = total.join(others, "row", "left")
-    return total.select(
+                "n_tokens": count + 1, "n_known": np.bincount(owner[known], minlength=n) + known_end,
+                "base": np.bincount(owner[known], values[at[known]], n) + end_log,
+                "words": pa.ListArray.from_arrays(cuts, different.dictionary.take(rare).cast(pa.string())),
+                "word_times": pa.ListArray.from_arrays(cuts, times)})
+
+    done = stored(rows.select("row", "doc_id", "text").mapInArrow(run, (
+        "row long, doc_id long, bytes long, score double, grams array<long>, gram_times array<long>, n_tokens long, "
+        "n_known long, base double, words array<string>, word_times array<long>")), "scored")
+    each = lambda kind: (done.select("row", F.explode(F.arrays_zip(f"{kind}s", f"{kind}_times")).alias("p"))
+                         .select("row", F.col(f"p.{kind}s").alias(kind), F.col(f"p.{kind}_times").alias("times")))
+    more_words = each("word").join(words, "word", "left").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_base"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"))
+    new = each("gram").select("gram").distinct().join(grams, "gram", "left_anti").select("gram", F.lit(0).cast("long").alias("n"))
+    every = logs.select("gram", "log").union(gram_scores(grams.union(new), top, new=True).select("gram", "log"))
+    more_grams = each("gram").join(every, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    return done.join(more_words, "row", "left").join(more_grams, "row", "left").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("known2", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), F.col("part").alias("score"),
-        (-F.col("part") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), score.alias("score"),
+        (-score * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))
+
+
+def occurrences(owner: np.ndarray, values: np.ndarray, n: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Distinct values of each of ``n`` owners with their counts, flat, and where the owners' lists begin."""
+    distinct, code = np.unique(values, return_inverse=True)
+    kinds = max(1, len(distinct))
+    pairs, times = np.unique(owner * kinds + code, return_counts=True)
+    cuts = np.searchsorted(pairs, np.arange(n + 1) * kinds).astype(np.int32)
+    return pa.array(distinct[pairs % kinds] if len(pairs) else np.zeros(0, np.int64)), pa.array(times.astype(np.int64)), pa.array(cuts)
+
+
+def least_frequent(counts: DataFrame, most: int) -> int:
+    """The least n so that at most ``most`` rows have n or more (n above 2^20 counts as that)."""
+    least, size = (1 << 20) + 1, 0
+    for n, c in sorted(counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().collect(), reverse=True):
+        size += c
+        if size > most:
+            break
+        least = n
+    return least

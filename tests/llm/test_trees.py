@@ -29,7 +29,7 @@ class Sequential:
         self.kt, self.weighted, self.counts = Counter(), Counter(), {}
 
     def path(self, context, decision):
-        return [(context[3 - d:], decision) for d in range(4)]
+        return [(context[trees.DEPTH - d:], decision) for d in range(trees.DEPTH + 1)]
 
     def add(self, context, decision, bit):
         path = self.path(context, decision)
@@ -37,11 +37,11 @@ class Sequential:
             c = self.counts.setdefault(key, [0, 0])
             self.kt[key] += math.log((c[bit] + 0.5) / (sum(c) + 1))
             c[bit] += 1
-        for d in range(3, -1, -1):
+        for d in range(trees.DEPTH, -1, -1):
             self.weighted[path[d]] = self.top(path[d], d)
 
     def top(self, key, d):
-        if d == 3:
+        if d == trees.DEPTH:
             return self.kt[key]
         below = sum(self.weighted.get((bytes([x]) + key[0], key[1]), 0) for x in range(256))
         return np.logaddexp(self.kt[key], below) - math.log(2)
@@ -66,8 +66,9 @@ def bits(byte):
 
 
 def positions(text):
-    data = b"\n\n\n" + " ".join(words(text)).encode() + b"\n"
-    return [(data[i - 3:i], data[i]) for i in range(3, len(data))]
+    deep = trees.DEPTH
+    data = b"\n" * deep + " ".join(words(text)).encode() + b"\n"
+    return [(data[i - deep:i], data[i]) for i in range(deep, len(data))]
 
 
 @pytest.fixture(scope="module")
@@ -79,9 +80,9 @@ def docs():
 
 @pytest.mark.parametrize("small", [False, True])
 def test_scores(spark, docs, small, monkeypatch):
-    if small:  # all words joined, contexts in several passes
-        monkeypatch.setattr(trees, "FREQUENT", 0)
-        monkeypatch.setattr(trees, "SLICE", 7)
+    if small:  # most words and grams are joined, not broadcast
+        monkeypatch.setattr(trees, "WORDS", 1)
+        monkeypatch.setattr(trees, "GRAMS", 5)
     df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n long, word string")
     got = trees.score(df).collect()
     model, seen = Sequential(), Counter()
@@ -112,3 +113,12 @@ def test_nothing_to_learn_from(spark, docs):
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 7, 1e3, 1e9])
     assert np.allclose(trees.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-11)
+
+
+def test_lookup():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 48, 5000))
+    table = trees.Lookup(keys[::2], np.arange(len(keys[::2]), dtype=np.float32))
+    value, unknown = table.find(keys)
+    assert value[::2].tolist() == list(range(len(keys[::2]))) and unknown.tolist() == list(range(1, len(keys), 2))
+    assert trees.Lookup(keys[:0], np.zeros(0, np.float32)).find(keys[:3])[1].tolist() == [0, 1, 2]
