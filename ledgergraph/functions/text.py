@@ -75,4 +75,4 @@ def chunks(text: Column, size: int) -> Column:
 
 def capitalised(text: Column) -> Column:
     """First letter upper case, the rest lower case."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))

@@ -210,8 +210,10 @@ def risk_profile(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         F.sum(F.col("n") * weight).alias("overall_risk_score"))
 
 
-def document_nodes(vertices: DataFrame, max_nodes: int = 100) -> DataFrame:
-    """The vertices shown for each document: the most confident ones, at most ``max_nodes``."""
+def document_nodes(vertices: DataFrame, max_nodes: int | None = 100) -> DataFrame:
+    """The vertices shown for each document: the most confident ones, at most ``max_nodes``, or all."""
+    if max_nodes is None:
+        return vertices
     return first_n(vertices, ["source_document"], ["-confidence", "id"], max_nodes, F.col("id"))
 
 

@@ -56,11 +56,12 @@ def confidence(text: Column, label: Column) -> Column:
     return F.least(base, F.lit(1.0))
 
 
-def find_mentions(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+def find_mentions(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "page"),
+                  reach: int = WINDOW) -> DataFrame:
     """Candidates for mentions in every text, one row each, with document offsets.
 
     Columns: keep..., sent_id, start, end, text, type, confidence, context (50 characters to both sides) and
-    ahead (the rest of the sentence as far as a pair may reach). Works sentence by sentence, since no mention
+    ahead (``reach`` characters of the sentence from the mention on: as far as a pair may reach). Works sentence by sentence, since no mention
     crosses a sentence end, which keeps the cost linear in the text. No shuffle.
     """
     ids = list(keep)
@@ -76,7 +77,7 @@ def find_mentions(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         (F.col("sent_start") + F.col("end")).alias("end"), F.col("hit").alias("text"), "type",
         confidence(F.col("hit"), F.col("type")).alias("confidence"),
         F.substring(around, at - left + 1, left + F.length("hit") + CONTEXT).alias("context"),
-        F.substring(F.col("sentence"), F.col("start") + 1, F.lit(WINDOW)).alias("ahead"))
+        F.substring(F.col("sentence"), F.col("start") + 1, F.lit(reach)).alias("ahead"))
 
 
 def known_labels(mentions: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ ORDER = ["ts", "event_id"]
 
 def subject_metrics(validated: DataFrame, checks: DataFrame) -> DataFrame:
     """Completeness, consistency and validity of each validated subject, and its missing fields."""
-    need = F.broadcast(checks.filter("check = 'required' AND enabled").groupBy("type").agg(F.count("*").alias("_need")))
+    need = checks.filter("check = 'required' AND enabled").groupBy("type").agg(F.count("*").alias("_need"))
     rows = validated.join(need, "type", "left").fillna(0, ["_need"])
 
     def n(*kinds: str) -> Column:
@@ -48,7 +48,7 @@ def latest(facts: DataFrame) -> DataFrame:
 
 def score(last: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted mean of the metrics that are there, per entity type."""
-    w = last.join(F.broadcast(weights), "metric_type")
+    w = last.join(weights, "metric_type")
     return w.groupBy("entity_type").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("score"),
                                         F.count("*").alias("metrics"))
 
@@ -99,7 +99,7 @@ def impact(last: DataFrame, weights: DataFrame) -> DataFrame:
 
     A list holds at most one row per kind of metric, so the window is over a bounded group.
     """
-    below = last.filter("value < threshold").join(F.broadcast(weights), "metric_type", "left")
+    below = last.filter("value < threshold").join(weights, "metric_type", "left")
     rows = below.withColumn("gap", F.col("threshold") - F.col("value")).withColumn(
         "impact_score", F.col("gap") * F.coalesce("weight", F.lit(0.0)))
     w = Window.partitionBy("entity_type").orderBy(F.col("impact_score").desc(), "metric_type")

@@ -21,16 +21,18 @@ QUICK_PHRASE = r"(?:\G|(?<!\w))(\w++(?:\s++\w++)*)"
 def pairs(mentions: DataFrame, window: int = WINDOW, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
     """Ordered pairs of mentions in one sentence that start within ``window`` characters of each other.
 
-    Each mention collects its partners through a range frame on the start offset. Offsets in a sentence differ,
+    The mentions must have been found with a ``reach`` of at least ``window``, or the contexts would be cut: a pair that
+    reaches beyond the text that its mention carries fails. Each mention collects its partners through a range frame on the start offset. Offsets in a sentence differ,
     so a frame holds at most ``window`` rows however long the sentence is. One shuffle by document.
     """
-    if window > WINDOW:
-        raise ValueError(f"mentions carry {WINDOW} characters of text ahead, not {window}")
     w = Window.partitionBy(*keys, "sent_id").orderBy("start").rangeBetween(1, window)
     partner = F.struct("start", "end", "text", "type", "confidence")
     both = (mentions.withColumn("_partners", F.collect_list(partner).over(w))
             .withColumn("t", F.explode("_partners")))
-    context = F.concat(F.substring(F.col("ahead"), F.lit(1), F.col("t.start") - F.col("start")), F.col("t.text"))
+    far = F.col("t.start") - F.col("start")
+    ahead = F.when(F.length("ahead") >= far, F.substring(F.col("ahead"), F.lit(1), far)).otherwise(
+        F.raise_error(F.lit(f"find the mentions with a reach of {window} or more")))
+    context = F.concat(ahead, F.col("t.text"))
     return both.select(
         *keys, "sent_id", F.col("start").alias("src_start"), F.col("text").alias("src_text"),
         F.col("type").alias("src_type"), F.col("confidence").alias("src_confidence"),
@@ -146,7 +148,7 @@ def flag_counts(contexts: DataFrame) -> DataFrame:
     raised = F.array_compact(F.array(*[F.when(flag(F.col("context"), g, n), F.lit(i)) for i, g, n in names]))
     counts = contexts.select(F.explode(raised).alias("no")).groupBy("no").agg(F.count("*").alias("contexts"))
     table = frames.local(contexts.sparkSession, names, "no int, group string, flag string")
-    return F.broadcast(table).join(counts, "no", "left").fillna(0, ["contexts"]).select("group", "flag", "contexts")
+    return table.join(counts, "no", "left").fillna(0, ["contexts"]).select("group", "flag", "contexts")
 
 
 def sentiment(contexts: DataFrame) -> DataFrame:
@@ -165,7 +167,7 @@ def sentiment(contexts: DataFrame) -> DataFrame:
 def sentiment_terms(contexts: DataFrame, terms: DataFrame) -> DataFrame:
     """Long form: number of contexts per polarity, category and term, for a caller's own term table."""
     found = contexts.select(F.explode(words(F.col("context"))).alias("term"))
-    return (found.groupBy("term").count().join(F.broadcast(terms), "term")
+    return (found.groupBy("term").count().join(terms, "term")
             .select("polarity", "category", "term", F.col("count").alias("contexts")))
 
 

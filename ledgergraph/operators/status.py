@@ -140,7 +140,7 @@ def started(states: DataFrame, start: str | None, end: str | None) -> DataFrame:
 def stage_distribution(states: DataFrame, stages: DataFrame) -> DataFrame:
     """Documents per current stage, with a zero for stages that have none."""
     n = states.groupBy(F.col("current_stage").alias("stage")).agg(F.count("*").alias("documents"))
-    return F.broadcast(stages).join(n, "stage", "left").fillna(0, ["documents"])
+    return stages.join(n, "stage", "left").fillna(0, ["documents"])
 
 
 def error_distribution(states: DataFrame) -> DataFrame:

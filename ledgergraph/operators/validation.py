@@ -75,7 +75,7 @@ def validate(subjects: DataFrame, checks: DataFrame, kept: list[str]) -> DataFra
     prepared = subjects.select("*", members(get(props, "documents")).alias("_documents"),
                                members(get(props, "compliance_status")).alias("_compliance"),
                                members(get(props, "risk_assessment")).alias("_risks"))
-    joined = prepared.join(F.broadcast(_by_type(checks, kept)), "type", "left")
+    joined = prepared.join(_by_type(checks, kept), "type", "left")
     # One step after another, so that each value is written down once and not copied into every place of use.
     found = F.filter(F.transform(F.transform(F.transform("_checks", _looked_up), _measured), _judged),
                      lambda f: f["action"].isNotNull())
@@ -199,8 +199,8 @@ def over_cardinality(edges: DataFrame, type_: str, end: str, other: str, most: i
 
 def wrong_endpoints(edges: DataFrame, vertices: DataFrame, rule_table: DataFrame) -> DataFrame:
     """Edges whose source or target type is not the one the rule of the relation asks for."""
-    wanted = F.broadcast(rule_table.filter("kind = 'relationship' AND enabled").select(
-        "rule", F.col("type").alias("rel"), "source_type", "target_type"))
+    wanted = rule_table.filter("kind = 'relationship' AND enabled").select(
+        "rule", F.col("type").alias("rel"), "source_type", "target_type")
     asked = edges.select("id", F.col("type").alias("rel"), "src", "dst").join(wanted, "rel")
     ends = vertices.select("id", "type")
     both = (asked.join(ends.select(F.col("id").alias("src"), F.col("type").alias("src_type")), "src")

@@ -78,10 +78,13 @@ def a6_analytics(spark, sf):
     return d.analytics(_library(spark, sf))
 
 
-@query()
+@query("""SELECT name, lower(regexp_extract(name, '\\.([^./]+)$', 1)) AS suffix, CAST(strlen(html) AS BIGINT) AS length, md5(html) AS md5
+FROM (SELECT *, string_split(url, '/')[-1] AS name FROM pages)""")
 def a7_file_fingerprints(spark, sf):
-    """The files of the tables themselves, up to the size limit, with their MD5."""
-    return f.fingerprints(f.scan(spark, sf, "*.parquet"))
+    """The web pages as files: their addresses and bytes."""
+    pages = table(spark, sf, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("length"),
+                                             F.col("html").cast("binary").alias("content"))
+    return f.fingerprints(pages)
 
 
 @query("""SELECT source || '.' || lang AS name, n_chars AS length, CASE WHEN lang NOT IN ('en', 'fr') THEN 'type'
@@ -131,6 +134,12 @@ def a11_csv_export(spark, sf):
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(folder)
 
 
+# The suppliers' document processed again without some suppliers and edges; edges of other documents to those go too.
+REPROCESSED = GRAPH + """, v AS (SELECT * FROM vertices WHERE confidence >= 0.7::DOUBLE AND (source_document <> 'suppliers' OR id NOT LIKE 'S%1')),
+e AS (SELECT * FROM edges WHERE source_document <> 'suppliers' OR type <> 'DEPENDS_ON')
+SELECT source_document, type, count(*) AS edges FROM e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)
+GROUP BY ALL"""
+
 STORED = GRAPH + """, v AS (SELECT * FROM vertices WHERE confidence >= 0.7::DOUBLE)
 SELECT source_document, type, count(*) AS edges FROM edges WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)
 GROUP BY ALL"""
@@ -149,14 +158,14 @@ def a12_graph_store(spark, sf):
     return _stored_counts(spark, folder)
 
 
-@query(STORED)
+@query(REPROCESSED)
 def a13_reprocessing(spark, sf):
-    """The same after storing everything and then the suppliers' document a second time: nothing is doubled."""
+    """After storing everything and then the suppliers' document again, which now has fewer suppliers and edges."""
     folder = scratch_folder(spark, "graph")
     v, e = b.vertices(spark, sf).filter("confidence >= 0.7"), b.edges(spark, sf)
     store.save_graph(v, e, folder)
     again = "source_document = 'suppliers'"
-    store.save_graph(v.filter(again), e.filter(again), folder)
+    store.save_graph(v.filter(again).filter("id NOT LIKE 'S%1'"), e.filter(again).filter("type <> 'DEPENDS_ON'"), folder)
     return _stored_counts(spark, folder)
 
 

@@ -186,15 +186,22 @@ mentions AS (SELECT *, {CONFIDENCE} AS confidence FROM labelled {known})""")
 
 def pairs(keys: str = "doc_id, page", window: int = 100) -> str:
     """CTE ``pairs`` after ``mentions``."""
-    same = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
-    cols = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
-    return f"""pairs AS (
+    names = [k.strip() for k in keys.split(",")]
+    same = " AND ".join(f"a.{k} = b.{k}" for k in names)
+    cols = ", ".join(f"a.{k}" for k in names)
+    return f"""narrow AS MATERIALIZED (
+  SELECT {keys}, sent_id, "start", "end", text, type, confidence FROM mentions),
+texts AS MATERIALIZED (SELECT DISTINCT {keys}, doc_text FROM mentions),
+met AS MATERIALIZED (
   SELECT {cols}, a.sent_id, a."start" AS src_start, a.text AS src_text, a.type AS src_type,
     a.confidence AS src_confidence, b."start" AS dst_start, b.text AS dst_text, b.type AS dst_type,
-    b.confidence AS dst_confidence,
-    substring(a.doc_text, CAST(a."start" + 1 AS BIGINT), CAST(b."end" - a."start" AS BIGINT)) AS context
-  FROM mentions a JOIN mentions b ON {same} AND a.sent_id = b.sent_id AND a."start" < b."start"
-    AND b."start" - a."start" <= {window})"""
+    b.confidence AS dst_confidence, b."end" AS dst_end
+  FROM narrow a JOIN narrow b ON {same} AND a.sent_id = b.sent_id AND a."start" < b."start"
+    AND b."start" - a."start" <= {window}),
+pairs AS (
+  SELECT a.* EXCLUDE (dst_end),
+    substring(b.doc_text, CAST(a.src_start + 1 AS BIGINT), CAST(a.dst_end - a.src_start AS BIGINT)) AS context
+  FROM met a JOIN texts b ON {same})"""
 
 
 def any_match(column: str, patterns: list[str]) -> str:

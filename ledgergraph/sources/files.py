@@ -25,9 +25,9 @@ def admit(files: DataFrame, suffixes: list[str] | None = None, most: int = docty
     return files.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
-def fingerprints(files: DataFrame, most: int = doctypes.MAX_FILE_BYTES) -> DataFrame:
-    """Name, suffix, size and MD5 of each file up to the size limit. The limit is pushed into the scan, so larger
-    files are never read."""
+def fingerprints(files: DataFrame) -> DataFrame:
+    """Name, suffix, size and MD5 of every file (path, length, content), whatever its size: limits are a matter of
+    admission, which names its reasons."""
     name = F.element_at(F.split("path", "/"), -1)
-    return files.filter(F.col("length") <= most).select(
+    return files.select(
         name.alias("name"), suffix(name).alias("suffix"), "length", F.md5("content").alias("md5"))

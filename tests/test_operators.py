@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgergraph.catalog import frames, kinds, relations, rules
 from ledgergraph.functions import ordering, text, values
-from ledgergraph.operators import classify, corrections, graph, mentions, quality, resolution, status, trends, validation
+from ledgergraph.functions.text import capitalised
+from ledgergraph.operators import classify, corrections, document_graph, graph, mentions, quality, resolution, status, trends, validation
 from ledgergraph.operators import relations as rel
 from ledgergraph.sources import documents, files, store
 from ledgergraph.streaming import runs
@@ -276,19 +277,58 @@ def test_store_replaces_documents(spark, tmp_path):
         sv, se = store.load_graph(spark, folder)
         assert sv.count() == 2 and rows(se, "id") == [("e1",)]
     store.save_graph(v.filter("id = 'a'"), e.filter("false"), folder)
-    assert store.load_graph(spark, folder)[0].count() == 2
+    sv, se = store.load_graph(spark, folder)
+    assert sv.count() == 2 and rows(se, "id") == [("e1",)]
+    assert {p.name for p in (tmp_path / "graph" / "vertices").glob("bucket=*")} <= {f"bucket={i}" for i in range(store.BUCKETS)}
+
+
+def test_store_drops_what_a_run_no_longer_finds(spark, tmp_path):
+    v = vertex(spark, [("a", "N", {}, 1.0, "d1"), ("b", "N", {}, 1.0, "d2"), ("c", "N", {}, 1.0, "d2")])
+    e = edge(spark, [("e1", "T", "a", "b"), ("e2", "T", "a", "c")]).withColumn("source_document", F.lit("d1"))
+    folder = str(tmp_path / "graph")
+    store.save_graph(v, e, folder)
+    store.save_graph(v.filter("id = 'b'"), e.filter("false"), folder)  # d2 has lost c, and d1's edge to it goes
+    assert [rows(x, "id") for x in store.load_graph(spark, folder)] == [[("a",), ("b",)], [("e1",)]]
+    store.save_graph(v.filter("id = 'c'"), e.filter("false"), folder, replace=False)
+    assert [rows(x, "id") for x in store.load_graph(spark, folder)] == [[("a",), ("b",), ("c",)], [("e1",), ("e2",)]]
+    store.save_graph(v.filter("false"), e.filter("false"), folder, documents=spark.createDataFrame([("d2",)], "source_document string"))
+    assert [rows(x, "id") for x in store.load_graph(spark, folder)] == [[("a",)], []]
+
+
+def test_ids_and_order_over_pages(spark):
+    df = spark.createDataFrame([("d", 1, "Cash paid 5% to it."), ("d", 2, "Cash paid 5% to it.")], "doc_id string, page int, text string")
+    none = spark.createDataFrame([], "name string")
+    v, _ = document_graph.to_graph(df, none, frames.entity_aliases(spark), frames.accepted_relations(spark), "2024-01-01 00:00:00")
+    assert v.count() == v.select("id").distinct().count() == 4
+    m = spark.createDataFrame([("d", 2, 0, "DATE"), ("d", 1, 9, "CURRENCY"), ("d", 1, 3, "CURRENCY")], "doc_id string, page int, start int, type string")
+    assert rows(classify.simple_fields(m, 1), "page", "start") == [(1, 3)]
+    assert rows(classify.common_label(m, 1), "label") == [("CURRENCY",)] and rows(classify.common_label(m, None), "label") == [("CURRENCY",)]
 
 
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "A.PDF").write_bytes(b"hello")
     (tmp_path / "in" / "big.pdf").write_bytes(b"x" * 100)
-    got = {r["name"]: (r.suffix, r.md5) for r in files.fingerprints(files.scan(spark, str(tmp_path / "in")), 50).collect()}
-    assert got == {"A.PDF": ("pdf", hashlib.md5(b"hello").hexdigest())}
+    got = {r["name"]: (r.suffix, r.md5) for r in files.fingerprints(files.scan(spark, str(tmp_path / "in"))).collect()}
+    assert got == {"A.PDF": ("pdf", hashlib.md5(b"hello").hexdigest()), "big.pdf": ("pdf", hashlib.md5(b"x" * 100).hexdigest())}
+    large = spark.range(1).selectExpr("'a/b.pdf' AS path", f"{60 * 1024 * 1024}L AS length", "encode(repeat('x', 62914560), 'utf-8') AS content")
+    assert files.fingerprints(large).first().md5 == hashlib.md5(b"x" * 62914560).hexdigest()  # sizes are a matter of admission
     adm = spark.createDataFrame([("a.pdf", 10), ("b.txt", 10), ("c.PDF", 99)], "name string, length long")
     assert rows(files.admit(adm, most=50), "name", "reason") == [("a.pdf", None), ("b.txt", "type"), ("c.PDF", "size")]
 
 
+def test_long_values_and_windows(spark):
+    value = spark.range(1).select(capitalised(F.expr("repeat('aB', 600000)")).alias("v")).first().v
+    assert value == "A" + ("ab" * 600000)[1:]
+    text = "Acme#1 paid 5% " + "and so on " * 20 + "to Beta#2."
+    df = spark.createDataFrame([("d", 1, text)], "doc_id string, page int, text string")
+    far = rel.pairs(mentions.find_mentions(df, reach=250), window=250).collect()
+    assert ("Acme#1", "Beta#2", text[:-1]) in {(r.src_text, r.dst_text, r.context) for r in far}
+    assert ("Acme#1", "Beta#2") not in {(r.src_text, r.dst_text) for r in rel.pairs(mentions.find_mentions(df)).collect()}
+    with pytest.raises(Exception, match="reach of 250"):
+        rel.pairs(mentions.find_mentions(df), window=250).collect()
+
+
 # --- trends and quality --------------------------------------------------------------------------------------------
 
 def test_metric_points_drop_zero(spark):

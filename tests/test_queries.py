@@ -5,17 +5,14 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from ledgergraph.plans import QUERIES
 from tests.oracle import compare, connect
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 CHECKS = entry.oracle_sql()
 
-# Queries that share all their operators with another one in this list run only when asked for (FULL=1).
-REPEATS = {"d1_relation_types", "d2_relation_confidence", "d4_compatible_types", "d5_time_and_negation", "b2_known_labels",
-           "b3_mention_confidence", "e15_confident_mentions", "e1_mention_statistics", "j7_document_types",
-           "v4_required_metrics", "v5_metric_ranges", "v6_required_documents", "v7_required_dates"}
-NAMES = [n for n in entry.queries() if os.environ.get("FULL") or n not in REPEATS]
+NAMES = list(QUERIES)  # those of ledgergraph.llm have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -36,4 +33,4 @@ def test_entry(spark):
 
 def test_names():
     assert set(CHECKS) <= set(entry.queries())
-    assert all(CHECKS.get(n) or n == "a7_file_fingerprints" for n in entry.queries())
+    assert all(CHECKS.get(n) for n in QUERIES)
