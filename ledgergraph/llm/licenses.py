@@ -129,3 +129,25 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         F.array_max("places").cast("long").alias("last_word"), text_of(F.col("base")).alias("base_labels"),
         text_of(F.array_union("base", more)).alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
+
+
+def check_sql() -> str:
+    """The same rows by comparing every block with every template, for an engine without the filters."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in PHRASES.items())
+    wanted = ", ".join(f"('{label}', {quoted(sorted(set(words_in(text))))})" for label, text in TEMPLATES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '{WORD}') AS w FROM documents),
+places AS (SELECT row, i, label FROM (SELECT row, w, unnest(range(len(w))) AS i FROM d) JOIN (VALUES {phrases}) AS p(phrase, label)
+    ON w[i + 1 : i + len(phrase)] = phrase),
+base AS (SELECT row, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM places GROUP BY row),
+blocks AS (SELECT row, w[i + 1 : i + {BLOCK_WORDS}] AS b FROM (SELECT row, w, unnest(range(0, len(w), {BLOCK_STEP})) AS i FROM d)),
+shares AS (SELECT row, label, len(list_intersect(own, b)) AS shared, len(own) AS n FROM blocks, (VALUES {wanted}) AS t(label, own)),
+matched AS (SELECT row, list(DISTINCT label) AS labels, max(shared / n) AS best FROM shares WHERE shared >= ceil({THRESHOLD} * n - 1e-9) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, lo AS first_word, hi AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(matched.labels, [])))), ','), '') AS labels,
+  CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base ON d.row = base.row LEFT JOIN matched ON d.row = matched.row"""

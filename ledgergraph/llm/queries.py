@@ -65,7 +65,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaked_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@query("op10_license_scan")
+@query("op10_license_scan", licenses.check_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
