@@ -96,6 +96,66 @@ def confirm_names(mentions: DataFrame, names: DataFrame) -> DataFrame:
             .drop("_name", "_known"))
 
 
+# A word of a name: from a letter or digit to the last one before white space, whatever stands between.
+NAME_WORD = r"[\p{L}\p{N}_](?:\S*[\p{L}\p{N}_])?"
+
+
+def name_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(NAME_WORD), F.lit(0))
+
+
+def known_names(docs: DataFrame, names: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "page"),
+                reach: int = WINDOW) -> DataFrame:
+    """Names of any form in every text, with the columns of :func:`find_mentions`.
+
+    ``names`` has a name and, if names are not all of companies, a label. Text and names are compared word by word, in
+    lower case and without the marks around words. Words of the text that begin a name are found first, then the
+    runs of words as long as such names are; both are equi-joins. Within a sentence the match that begins first wins,
+    and of those the longest. A name does not go beyond a sentence.
+    """
+    ids = list(keep)
+    label = F.col("label") if "label" in names.columns else F.lit("COMPANY")
+    known = (names.select(name_words(F.col("name")).alias("_w"), label.alias("label")).where(F.size("_w") > 0)
+             .groupBy("_w").agg(F.min("label").alias("type")).select(F.array_join("_w", " ").alias("_name"), "_w", "type"))
+    heads = known.groupBy(F.element_at("_w", 1).alias("_head")).agg(F.collect_set(F.size("_w")).alias("_sizes"))
+    sents = explode_sentences(docs, text, ids, margin=CONTEXT).withColumnRenamed("start", "sent_start")
+    words = explode_matches(sents, "sentence", NAME_WORD, [*ids, "sent_id", "sent_start", "before", "after"])
+    begun = words.withColumn("_head", F.lower("hit")).join(heads, "_head")
+    rest = F.substr(F.col("sentence"), F.col("start") + 1)
+    run = (begun.withColumn("_n", F.explode("_sizes"))
+           .withColumn("_hit", F.regexp_extract(rest, r"^\S+(?:\s+\S+)*", 0)))
+    run = run.withColumn("_parts", F.regexp_extract_all(F.col("_hit"), F.lit(NAME_WORD), F.lit(0)))
+    run = run.where(F.size("_parts") >= F.col("_n")).withColumn("_name", F.lower(F.array_join(F.slice("_parts", F.lit(1), F.col("_n")), " ")))
+    found = run.join(known.select("_name", "type"), "_name")
+    # The end is that of the last of n words: what a split after n words leaves is cut from the rest of the sentence.
+    gaps = F.slice(F.split("_hit", NAME_WORD, -1), F.lit(1), F.col("_n"))
+    size = F.aggregate(F.zip_with(gaps, F.slice("_parts", F.lit(1), F.col("_n")), lambda g, w: F.length(g) + F.length(w)), F.lit(0), lambda a, b: a + b)
+    found = found.withColumn("end", F.col("start") + size)
+    span = F.struct("start", (-F.col("end")).alias("last"), "end", "type")
+    group = found.groupBy(*ids, "sent_id", "sent_start", "sentence", "before", "after").agg(F.array_sort(F.collect_set(span)).alias("_all"))
+    taken = F.aggregate("_all", F.filter("_all", lambda s: F.lit(False)),
+                        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), acc).otherwise(F.concat(acc, F.array(s))))
+    rows = group.select(*ids, "sent_id", "sent_start", "sentence", "before", "after", F.explode(taken).alias("_s")).select("*", "_s.start", "_s.end", "_s.type")
+    hit = F.substr(F.col("sentence"), F.col("start") + 1, F.col("end") - F.col("start"))
+    around, at = F.concat("before", "sentence", "after"), F.length("before") + F.col("start")
+    left = F.least(at, F.lit(CONTEXT))
+    return rows.select(
+        *ids, "sent_id", (F.col("sent_start") + F.col("start")).alias("start"), (F.col("sent_start") + F.col("end")).alias("end"),
+        hit.alias("text"), "type", confidence(hit, F.col("type")).alias("confidence"),
+        F.substring(around, at - left + 1, left + F.length(hit) + CONTEXT).alias("context"),
+        F.substring(F.col("sentence"), F.col("start") + 1, F.lit(reach)).alias("ahead"))
+
+
+def with_names(mentions: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """Mentions with names from a dictionary in place of company candidates; what overlaps a name goes."""
+    m, n = mentions.filter("type <> 'COMPANY'").alias("m"), found.alias("n")
+    same = F.lit(True)
+    for k in (*keys, "sent_id"):
+        same = same & (F.col(f"m.{k}") == F.col(f"n.{k}"))
+    apart = m.join(n, same & (F.col("m.start") < F.col("n.end")) & (F.col("n.start") < F.col("m.end")), "left_anti")
+    return apart.unionByName(found.select(*mentions.columns))
+
+
 def sentences(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return explode_sentences(docs, text, list(keep))
 

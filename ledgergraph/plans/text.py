@@ -83,6 +83,23 @@ def b5_known_companies(spark, sf):
             .agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("documents")))
 
 
+# Names of several words: the first three words of each benchmark text, as companies and persons in turn.
+_NAMES = f"""names AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '{m.NAME_WORD}')[1:3] AS w,
+  CASE WHEN item_id % 2 = 0 THEN 'COMPANY' ELSE 'PERSON' END AS label FROM benchmark)"""
+
+
+@query("WITH " + sql.sentences("documents", "doc_id, text") + f""", {_NAMES},
+known AS (SELECT array_to_string(w, ' ') AS name, min(label) AS type FROM names GROUP BY 1),
+lines AS (SELECT doc_id, sent_id, ' ' || array_to_string(regexp_extract_all(lower(sentence), '{m.NAME_WORD}'), ' ') || ' ' AS line FROM sents)
+SELECT DISTINCT doc_id, CAST(sent_id AS BIGINT) AS sent_id, name, type FROM lines JOIN known ON contains(line, ' ' || name || ' ')""")
+def b5_names_of_any_form(spark, sf):
+    """Names of several words, companies and persons, found in the free texts."""
+    first = F.array_join(F.slice(m.name_words(F.col("text")), 1, 3), " ")
+    names = table(spark, sf, "benchmark").select(first.alias("name"), F.when(F.col("item_id") % 2 == 0, "COMPANY").otherwise("PERSON").alias("label"))
+    found = m.known_names(table(spark, sf, "documents").select("doc_id", "text"), names, keep=("doc_id",))
+    return found.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), F.array_join(m.name_words(F.col("text")), " ").alias("name"), "type").distinct()
+
+
 _TERM = "the"
 
 

@@ -295,6 +295,21 @@ def test_store_drops_what_a_run_no_longer_finds(spark, tmp_path):
     assert [rows(x, "id") for x in store.load_graph(spark, folder)] == [[("a",)], []]
 
 
+def test_names_of_any_form(spark):
+    text = 'Anna Maria Lee of "Acme Holdings Ltd" met 3M, then Acme#12 and ACME  holdings; Acme Holdings Ltd. Lee left.'
+    df = spark.createDataFrame([("d", 1, text)], "doc_id string, page int, text string")
+    names = spark.createDataFrame([("Acme Holdings Ltd", "COMPANY"), ("acme holdings", "COMPANY"), ("3M", "COMPANY"), ("Acme#12", "COMPANY"),
+                                   ("anna maria lee", "PERSON"), ("Maria Lee", "PERSON"), ("...", "PERSON"), (None, "PERSON")], "name string, label string")
+    found = mentions.known_names(df, names)
+    want = [("Anna Maria Lee", "PERSON"), ("Acme Holdings Ltd", "COMPANY"), ("3M", "COMPANY"), ("Acme#12", "COMPANY"),
+            ("ACME  holdings", "COMPANY"), ("Acme Holdings Ltd", "COMPANY")]
+    got = sorted(found.collect(), key=lambda r: r.start)
+    assert [(r.text, r.type) for r in got] == want and all(text[r.start:r.end] == r.text for r in got)
+    both = mentions.with_names(mentions.find_mentions(df), found)
+    assert rows(both.filter("type <> 'PERSON'"), "text") == sorted([(t,) for t, k in want if k == "COMPANY"], key=str)
+    assert mentions.known_names(df, names.limit(0)).count() == 0
+
+
 def test_ids_and_order_over_pages(spark):
     df = spark.createDataFrame([("d", 1, "Cash paid 5% to it."), ("d", 2, "Cash paid 5% to it.")], "doc_id string, page int, text string")
     none = spark.createDataFrame([], "name string")
