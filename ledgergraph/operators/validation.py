@@ -6,6 +6,8 @@ and are tried inside the row. Only violations become rows, and the report of an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,6 +199,24 @@ def over_cardinality(edges: DataFrame, type_: str, end: str, other: str, most: i
     return _finding(many, F.col(end), rule, "cardinality", "error", F.lit(other))
 
 
+def over_roles(edges: DataFrame, type_: str, limits: dict[str, int], rule: str) -> DataFrame:
+    """Persons (dst) with more roles than allowed, and those who have one role in more companies (src) than allowed."""
+    jobs = edges.filter(F.col("type") == type_).select("src", "dst", get(F.col("properties"), "role").alias("role"))
+    roles = jobs.where("role IS NOT NULL").select("dst", "role").distinct().groupBy("dst").count()
+    companies = jobs.where("role IS NOT NULL").distinct().groupBy("dst", "role").count()
+    many = roles.where(F.col("count") > limits["max_roles_per_person"]).select("dst", F.lit("max_roles_per_person").alias("limit"))
+    many = many.union(companies.where(F.col("count") > limits["max_companies_per_role"]).select("dst", F.lit("max_companies_per_role")).distinct())
+    return _finding(many, F.col("dst"), rule, "cardinality", "error", F.col("limit"))
+
+
+def declared_constraints(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Findings for all unique fields, periods and cardinalities that the rule catalogue declares."""
+    found = [not_unique(vertices, spec["type"], field, rule) for rule, spec in rules.ENTITY_RULES.items() for field in spec.get("unique", [])]
+    found += [wrong_period(vertices, spec["type"], *spec["period"], rule) for rule, spec in rules.ENTITY_RULES.items() if "period" in spec]
+    found += [over_roles(edges, spec["type"], spec["cardinality"], rule) for rule, spec in rules.RELATIONSHIP_RULES.items() if "cardinality" in spec]
+    return reduce(DataFrame.unionByName, found)
+
+
 def wrong_endpoints(edges: DataFrame, vertices: DataFrame, rule_table: DataFrame) -> DataFrame:
     """Edges whose source or target type is not the one the rule of the relation asks for."""
     wanted = rule_table.filter("kind = 'relationship' AND enabled").select(

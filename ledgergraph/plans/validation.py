@@ -237,18 +237,19 @@ def e18_file_summary(spark, sf):
 
 
 @query(f"""WITH {sql.VERTICES}, {sql.VPROPS}
-SELECT id AS subject_id, 'company_required_fields' AS rule, 'unique' AS "check", 'error' AS level, 'ticker' AS field
-FROM vprops WHERE type = 'Company' AND key = 'ticker' QUALIFY count(*) OVER (PARTITION BY value) > 1""")
+SELECT id AS subject_id, 'company_required_fields' AS rule, 'unique' AS "check", 'error' AS level, key AS field
+FROM vprops WHERE type = 'Company' AND key IN ('ticker', 'name') QUALIFY count(*) OVER (PARTITION BY key, value) > 1""")
 def x1_not_unique(spark, sf):
-    return v.not_unique(b.vertices(spark, sf), "Company", "ticker", "company_required_fields")
+    """All fields that the catalogue declares unique."""
+    return v.declared_constraints(b.vertices(spark, sf), b.edges(spark, sf)).filter("check = 'unique'")
 
 
 @query("""
 SELECT 'O' || o_orderkey AS subject_id, 'transaction_required_fields' AS rule, 'period' AS "check", 'error' AS level,
   'settlement_date' AS field FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def x2_wrong_period(spark, sf):
-    return v.wrong_period(b.vertices(spark, sf), "Transaction", "transaction_date", "settlement_date",
-                          "transaction_required_fields")
+    """All periods that the catalogue declares."""
+    return v.declared_constraints(b.vertices(spark, sf), b.edges(spark, sf)).filter("check = 'period'")
 
 
 @query(GRAPH + """

@@ -310,6 +310,18 @@ def test_names_of_any_form(spark):
     assert mentions.known_names(df, names.limit(0)).count() == 0
 
 
+def test_declared_constraints(spark):
+    v = vertex(spark, [("a", "Company", {"name": "x", "ticker": "T"}, 1.0, "d"), ("b", "Company", {"name": "x", "ticker": "U"}, 1.0, "d"),
+                       ("p", "Person", {"birth_date": "2001-01-01", "death_date": "1999-01-01"}, 1.0, "d"),
+                       ("q", "Person", {"birth_date": "1901-01-01"}, 1.0, "d")])
+    e = spark.createDataFrame([("1", "EMPLOYMENT", "a", "p", {"role": "cook"}), ("2", "EMPLOYMENT", "b", "p", {"role": "cook"}),
+                               ("3", "EMPLOYMENT", "a", "q", {"role": "cook"}), ("4", "EMPLOYMENT", "a", "q", {"role": "clerk"}),
+                               ("5", "EMPLOYMENT", "a", "a", {})], "id string, type string, src string, dst string, properties map<string,string>")
+    assert rows(validation.declared_constraints(v, e), "subject_id", "check", "field") == [
+        ("a", "unique", "name"), ("b", "unique", "name"), ("p", "cardinality", "max_companies_per_role"), ("p", "period", "death_date"),
+        ("q", "cardinality", "max_roles_per_person")]
+
+
 def test_ids_and_order_over_pages(spark):
     df = spark.createDataFrame([("d", 1, "Cash paid 5% to it."), ("d", 2, "Cash paid 5% to it.")], "doc_id string, page int, text string")
     none = spark.createDataFrame([], "name string")
