@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgergraph.session import scratch_folder
 
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 6_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,3 +91,51 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
     return np.arange(total, dtype=np.int64) + shift
+
+
+class Lookup:
+    """An open-addressing hash table from numbers of 0 to 2^63 - 1 to values."""
+
+    def __init__(self, dtype: type) -> None:
+        self.size, self.bits = 0, 10
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, dtype)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add keys that differ from each other and from those that are there."""
+        self.size += len(keys)
+        if 2 * self.size > len(self.keys):
+            old, kept = self.keys >= 0, (self.keys, self.values)
+            self.bits = int(4 * self.size).bit_length()
+            self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, self.values.dtype)
+            self._place(kept[0][old], kept[1][old])
+        self._place(keys, values)
+
+    def _place(self, keys: np.ndarray, values: np.ndarray) -> None:
+        at = self._first(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            slot, who = np.unique(at[free], return_index=True)
+            self.keys[slot], self.values[slot] = keys[free[who]], values[free[who]]
+            left = self.keys[at] != keys
+            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each key (0 for unknown ones), and the places of the unknown ones."""
+        at = self._first(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], self.values.dtype.type(0))
+        unknown = [np.flatnonzero(held < 0)]
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            unknown.append(todo[held < 0])
+            more = ~hit & (held >= 0)
+            todo, at = todo[more], at[more]
+        return out, np.sort(np.concatenate(unknown))

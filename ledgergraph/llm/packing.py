@@ -29,9 +29,13 @@ QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 
 
+def id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, end_id: int, tokenizer: str) -> DataFrame:
-    """``doc_id, ids binary (uint32), near long, df binary``: a row per document, and one per task with the document
-    frequency of every id (int64) and no ids."""
+    """``doc_id, ids binary, near long, df binary``: a row per document, and one per task with the document frequency of
+    every id (int64) and no ids. Ids are stored as :func:`id_type` says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -43,18 +47,20 @@ def encoded(docs: DataFrame, end_id: int, tokenizer: str) -> DataFrame:
             ids, ends = encode.encode(batch.column(1))
             lengths = np.diff(ends, prepend=0)
             doc = np.repeat(np.arange(len(ends)), lengths)
-            seen = np.unique(doc * size + ids)
+            narrow = np.uint32 if len(ends) * size < 1 << 32 else np.uint64
+            seen = np.unique(doc.astype(narrow) * narrow(size) + ids.astype(narrow))
             df += np.bincount(seen % size, minlength=size)
             near = np.full(len(ends), -1, np.int64)
             full = np.flatnonzero(lengths)
             if len(full):
                 near[full] = np.minimum.reduceat(mixed[ids], (ends - lengths)[full])
             at = np.arange(1, len(ends) + 1)
-            marked = np.full(len(ids) + len(ends), end_id, "<u4")
+            kind = np.dtype(id_type(size))
+            marked = np.full(len(ids) + len(ends), end_id, kind)
             keep = np.ones(len(marked), bool)
             keep[ends + at - 1] = False
             marked[keep] = ids
-            offsets = np.concatenate([[0], 4 * (ends + at)])
+            offsets = np.concatenate([[0], kind.itemsize * (ends + at)])
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(marked)])
             yield pa.record_batch([batch.column(0), data.cast(pa.binary()), pa.array(near), pa.nulls(len(ends), pa.binary())], names=["doc_id", "ids", "near", "df"])
             n += len(ends)
@@ -183,12 +189,13 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 2, tokenizer: str
     rows = stored(encoded(docs, end_id, tokenizer), "encoded")
     idf = rows.sparkSession.sparkContext.broadcast(inverse_frequencies(rows))  # one number per id of the vocabulary
     whole = rows.where("ids IS NOT NULL").select("doc_id", "ids", "near")
-    average = whole.agg(F.avg(F.octet_length("ids") / 4)).first()[0] or 1.0
+    kind = np.dtype(id_type(max(encoder(tokenizer).size, end_id + 1)))
+    average = whole.agg(F.avg(F.octet_length("ids") / kind.itemsize)).first()[0] or 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(idf.value, average, window)
         base = TaskContext.get().partitionId() << 32
-        for names, docs in _shards(batches):
+        for names, docs in _shards(batches, kind):
             packer.add(docs)
             done, packer.out = packer.out, []
             for at in range(0, len(done), 4096):
@@ -199,23 +206,24 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 2, tokenizer: str
     return made
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+def _shards(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
     names, docs, size = [], [], 0
     for batch in batches:
         for name, n, data in zip(batch.column(0).to_pylist(), value_lengths(batch.column(1)).tolist(), batch.column(1), strict=True):
-            if docs and (len(docs) >= SHARD_DOCS or size + n // 4 > SHARD_TOKENS):
+            n //= kind.itemsize
+            if docs and (len(docs) >= SHARD_DOCS or size + n > SHARD_TOKENS):
                 yield names, docs
                 names, docs, size = [], [], 0
             names.append(name)
-            docs.append(np.frombuffer(data.as_buffer(), "<u4").copy())
-            size += n // 4
+            docs.append(np.frombuffer(data.as_buffer(), kind).copy())
+            size += n
     if docs:
         yield names, docs
 
 
 def _table(names: list, docs: list[np.ndarray], done: list, base: int, with_ids: bool) -> pa.RecordBatch:
     doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*done, strict=True))
-    parts = [docs[d][s:s + n].tobytes() for d, s, n, _, _ in done]
+    parts = [docs[d][s:s + n].astype("<u4").tobytes() for d, s, n, _, _ in done]
     columns = {
         "doc_id": pa.array([names[d] for d in doc], pa.int64()), "start": start, "length": length,
         "ids_crc32": np.array([zlib.crc32(p) for p in parts], np.int64), "doc_tokens": np.array([len(docs[d]) for d in doc], np.int64),

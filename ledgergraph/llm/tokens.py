@@ -6,13 +6,14 @@ import os
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from ledgergraph.llm.common import ragged, words_of
+from ledgergraph.llm.common import Lookup, ragged, words_of
 
-CACHED_PARTS = 1_000_000
+CACHED_PARTS = 2_000_000
 _PART = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -81,7 +82,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.parts: dict[str, int] = {}
+        self.parts = Lookup(np.int64)
         self.part_ids = _Rows()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,18 +106,25 @@ class WordEncoder:
         alone = pc.or_(pc.match_substring(words, "'"), pc.match_substring(words, "<|"))
         flat, ends = words_of(pc.if_else(alone, words, spaced))
         coded = flat.dictionary_encode()
-        rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        rows = self._rows(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
         ids, lengths = self.part_ids.take(rows)
         return ids, np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], ends])]
 
-    def _rows(self, parts: list[str]) -> np.ndarray:
-        """Row of each part in the table of ids."""
-        if len(self.parts) + len(parts) > CACHED_PARTS:
+    def _rows(self, parts: pa.Array) -> np.ndarray:
+        """Row of each of these distinct parts in the table of ids; parts are known by 63 bits of a hash."""
+        if self.part_ids.rows + len(parts) > CACHED_PARTS:
             self._clear()
-        new = [p for p in parts if p not in self.parts]
-        self._encode_parts([p for p in new if "'" not in p])
-        self._encode_each([p for p in new if "'" in p])
-        return np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        names = parts.to_numpy(zero_copy_only=False)
+        keys = (pd.util.hash_array(names, categorize=False) >> np.uint64(1)).astype(np.int64)
+        rows, unknown = self.parts.find(keys)
+        if len(unknown):
+            marked = np.array(["'" in p for p in names[unknown]])
+            before = self.part_ids.rows
+            self._encode_parts(names[unknown[~marked]].tolist())
+            self._encode_each(names[unknown[marked]].tolist())
+            rows[np.concatenate([unknown[~marked], unknown[marked]])] = np.arange(before, self.part_ids.rows)
+            self.parts.add(keys[unknown], rows[unknown])
+        return rows
 
     def _encode_parts(self, parts: list[str], step: int = 32) -> None:
         groups = [parts[i:i + step] for i in range(0, len(parts), step)]
@@ -125,16 +133,12 @@ class WordEncoder:
             if len(ends) != len(group) or ends[-1] != len(got):
                 self._encode_each(group)
             else:
-                self._keep(group, got, np.diff(ends, prepend=0))
+                self.part_ids.add(got, np.diff(ends, prepend=0))
 
     def _encode_each(self, parts: list[str]) -> None:
         got = self._ids(parts)
         if got:
-            self._keep(parts, np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)))
-
-    def _keep(self, parts: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
-        self.parts.update(zip(parts, range(self.part_ids.rows, self.part_ids.rows + len(parts)), strict=True))
-        self.part_ids.add(flat, lengths)
+            self.part_ids.add(np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
