@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 SENTENCE_BREAK = r"[.!?]+\s+|\n+"
 
 
-def _running_starts(lengths: Column) -> Column:
-    """Offsets at which consecutive pieces of the given lengths start."""
+BLOCK = 64
+
+
+def _running(values: Column) -> Column:
+    """Sum of all values before each one, by a fold that copies what it has at every step: for short arrays."""
     return F.aggregate(
-        lengths,
+        values,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
         lambda acc, n: F.struct((acc["at"] + n).alias("at"),
                                 F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
@@ -24,14 +27,27 @@ def _running_starts(lengths: Column) -> Column:
     )
 
 
-def explode_pieces(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
-    """One row per gap and following match: keep..., text, pos, gap_start, gap, hit (null after the last gap)."""
+def _cut(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
+    """keep..., text and, as arrays, the gaps between matches, the matches, and where each gap starts.
+
+    Starts are running sums within blocks, moved by the running sums of the blocks. Each array has a column of its own,
+    since an expression inside a lambda would be computed anew for every element.
+    """
     cut = df.select(*keep, F.col(text),
                     F.split(F.col(text), pattern, -1).alias("_gaps"),
                     F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("_hits"))
-    cut = cut.withColumn("_starts", _running_starts(
-        F.zip_with("_gaps", "_hits", lambda g, h: F.coalesce(F.length(g), F.lit(0))
-                   + F.coalesce(F.length(h), F.lit(0)))))
+    cut = cut.withColumn("_lengths", F.zip_with("_gaps", "_hits", lambda g, h: F.coalesce(F.length(g), F.lit(0))
+                                                + F.coalesce(F.length(h), F.lit(0))))
+    places = F.sequence(F.lit(0), F.floor((F.size("_lengths") - 1) / BLOCK).cast("int"))
+    cut = cut.withColumn("_blocks", F.transform(places, lambda b: F.slice("_lengths", b * BLOCK + 1, BLOCK)))
+    sums = F.transform("_blocks", lambda block: F.aggregate(block, F.lit(0), lambda x, y: x + y))
+    moved = F.zip_with("_blocks", _running(sums), lambda block, at: F.transform(_running(block), lambda x: x + at))
+    return cut.withColumn("_starts", F.flatten(moved))
+
+
+def explode_pieces(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
+    """One row per gap and following match: keep..., text, pos, gap_start, gap, hit (null after the last gap)."""
+    cut = _cut(df, text, pattern, keep)
     return cut.select(*keep, text, F.posexplode(F.arrays_zip("_starts", "_gaps", "_hits")).alias("pos", "_z")).select(
         *keep, text, "pos", F.col("_z._starts").alias("gap_start"), F.col("_z._gaps").alias("gap"),
         F.col("_z._hits").alias("hit"))
@@ -44,16 +60,48 @@ def explode_matches(df: DataFrame, text: str, pattern: str, keep: list[str]) ->
             .select(*keep, text, "pos", "start", (F.col("start") + F.length("hit")).alias("end"), "hit"))
 
 
+def _with_margins(cut: DataFrame, margin: int, near: int = 8) -> DataFrame:
+    """``_before`` and ``_after`` of each gap, up to ``margin`` characters, from the ends of the pieces around it.
+
+    The last characters of a text are those of its pieces' ends, so only these are joined: of the ``near`` pieces
+    next to a gap, and only if those are too short, of as many as there are characters wanted.
+    """
+    whole = F.zip_with("_gaps", "_hits", lambda g, h: F.concat(F.coalesce(g, F.lit("")), F.coalesce(h, F.lit(""))))
+    cut = cut.withColumn("_whole", whole)
+    cut = cut.withColumns({"_tails": F.transform("_whole", lambda p: F.substring(p, -margin, margin)),
+                           "_heads": F.transform("_whole", lambda p: F.substring(p, 1, margin))})
+
+    def joined(ends: str, first: Column, count: Column) -> Column:
+        return F.array_join(F.slice(ends, first + 1, F.greatest(count, F.lit(0))), "")
+
+    def before(i: Column) -> Column:
+        def last(n: int) -> Column:
+            start = F.greatest(i - n, F.lit(0))
+            return joined("_tails", start, i - start)
+        close = last(near)
+        return F.substring(F.when((F.length(close) >= margin) | (i <= near), close).otherwise(last(margin)), -margin, margin)
+
+    def after(i: Column) -> Column:
+        def next_(n: int) -> Column:
+            return F.concat(F.coalesce(F.get("_hits", i), F.lit("")), joined("_heads", i + 1, F.least(F.size("_heads") - i - 1, F.lit(n))))
+        close = next_(near)
+        return F.substring(F.when((F.length(close) >= margin) | (F.size("_heads") - i <= near), close).otherwise(next_(margin)), 1, margin)
+
+    places = F.sequence(F.lit(0), F.size("_gaps") - 1)
+    return cut.withColumns({"_before": F.transform(places, before), "_after": F.transform(places, after)})
+
+
 def explode_sentences(df: DataFrame, text: str, keep: list[str], margin: int = 0) -> DataFrame:
     """One row per sentence: keep..., sent_id, start, end, sentence and, if asked, its margins before and after."""
-    rows = explode_pieces(df, text, SENTENCE_BREAK, keep).filter("gap <> ''")
-    start, end = F.col("gap_start"), F.col("gap_start") + F.length("gap")
-    out = [*keep, F.col("pos").alias("sent_id"), start.alias("start"), end.alias("end"), F.col("gap").alias("sentence")]
+    cut = _cut(df, text, SENTENCE_BREAK, keep)
+    names = ["_starts", "_gaps"]
     if margin:
-        lead = F.least(start, F.lit(margin))
-        out += [F.substring(F.col(text), start - lead + 1, lead).alias("before"),
-                F.substring(F.col(text), end + 1, F.lit(margin)).alias("after")]
-    return rows.select(*out)
+        cut = _with_margins(cut, margin)
+        names += ["_before", "_after"]
+    rows = cut.select(*keep, F.posexplode(F.arrays_zip(*names)).alias("sent_id", "_z")).filter("_z._gaps <> ''")
+    start = F.col("_z._starts")
+    out = [*keep, "sent_id", start.alias("start"), (start + F.length("_z._gaps")).alias("end"), F.col("_z._gaps").alias("sentence")]
+    return rows.select(*out, *([F.col("_z._before").alias("before"), F.col("_z._after").alias("after")] if margin else []))
 
 
 def word_count(text: Column) -> Column:
@@ -67,10 +115,7 @@ def words(text: Column) -> Column:
 
 def chunks(text: Column, size: int) -> Column:
     """Pieces of ``size`` characters in order."""
-    n = F.ceil(F.length(text) / F.lit(size)).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1),
-                                     lambda i: F.substring(text, i * size + 1, F.lit(size)))) \
-            .otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def capitalised(text: Column) -> Column:
