@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgergraph.llm.common import numbered, pieces, ragged, stored, words_of
+from ledgergraph.llm.common import Lookup, numbered, pieces, ragged, stored, words_of
 
 DEPTH = 5
 BATCH = 3_000_000
@@ -145,42 +145,6 @@ def gram_scores(grams: DataFrame, top, new: bool = False) -> DataFrame:
     return branches(grams).applyInPandas(run, "gram long, n long, log double")
 
 
-class Lookup:
-    """An open-addressing hash table from grams to scores."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        at = self._first(keys)
-        while len(keys):
-            free = np.flatnonzero(self.keys[at] < 0)
-            slot, who = np.unique(at[free], return_index=True)
-            self.keys[slot], self.values[slot] = keys[free[who]], values[free[who]]
-            left = self.keys[at] != keys
-            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
-
-    def _first(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score of each key (0 for unknown ones), and the places of the unknown ones."""
-        at = self._first(keys)
-        held = self.keys[at]
-        out = np.where(held == keys, self.values[at], np.float32(0))
-        unknown = [np.flatnonzero(held < 0)]
-        todo = np.flatnonzero((held != keys) & (held >= 0))
-        at = at[todo]
-        while len(todo):
-            at = (at + 1) & ((1 << self.bits) - 1)
-            held = self.keys[at]
-            hit = held == keys[todo]
-            out[todo[hit]] = self.values[at[hit]]
-            unknown.append(todo[held < 0])
-            more = ~hit & (held >= 0)
-            todo, at = todo[more], at[more]
-        return out, np.sort(np.concatenate(unknown))
-
-
 def streams(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts, where each text's words end; the bytes to code, each text after DEPTH line feeds; and where
     each text's bytes end."""
@@ -284,19 +248,19 @@ def score(docs: DataFrame) -> DataFrame:
 
     top = spark.sparkContext.broadcast(grow_top(grams))
     logs = stored(gram_scores(grams, top), "gram-scores")
-    common = logs.where(F.col("n") >= least_frequent(logs, GRAMS)).select("gram", F.col("log").cast("float").alias("log")).toPandas()
+    common = logs.where(F.col("n") >= least_frequent(logs, GRAMS)).select("gram", F.col("log").cast("float").alias("log")).toArrow()
     short = words.where(F.octet_length("word") <= WORD_BYTES)
-    frequent = short.where(F.col("n") >= least_frequent(short, WORDS)).toPandas()
+    frequent = short.where(F.col("n") >= least_frequent(short, WORDS)).toArrow()
     shared = spark.sparkContext.broadcast((
-        common["gram"].to_numpy().astype(np.int64), common["log"].to_numpy().astype(np.float32),
-        pa.array(frequent["word"], pa.string()), np.log10(frequent["n"].to_numpy() + 0.5)))
+        common["gram"].to_numpy(), common["log"].to_numpy(), frequent["word"].combine_chunks(), np.log10(frequent["n"].to_numpy() + 0.5)))
     known_end = int(n_all > 0)
     end = words.where("word = ''").select("n").first()
     end_log = math.log10((end.n if end else 0) + 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs, names, values = shared.value
-        table = Lookup(keys, logs)
+        table = Lookup(np.float32)
+        table.add(keys, logs)
         for batch in pieces(batches, "text", BATCH):
             flat, ends, data, stops = streams(batch.column(2))
             n, size = len(ends), np.diff(stops, prepend=0) - DEPTH

@@ -118,7 +118,9 @@ def test_log_gamma():
 def test_lookup():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 1 << 48, 5000))
-    table = trees.Lookup(keys[::2], np.arange(len(keys[::2]), dtype=np.float32))
+    table = trees.Lookup(np.float32)
+    for part in np.array_split(np.arange(len(keys[::2])), 3):
+        table.add(keys[::2][part], part.astype(np.float32))
     value, unknown = table.find(keys)
     assert value[::2].tolist() == list(range(len(keys[::2]))) and unknown.tolist() == list(range(1, len(keys), 2))
-    assert trees.Lookup(keys[:0], np.zeros(0, np.float32)).find(keys[:3])[1].tolist() == [0, 1, 2]
+    assert trees.Lookup(np.int64).find(keys[:3])[1].tolist() == [0, 1, 2]
