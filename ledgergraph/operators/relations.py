@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgergraph.catalog import frames, relations
-from ledgergraph.functions.text import words
+from ledgergraph.functions.text import explode_sentences, words
 from ledgergraph.operators.mentions import WINDOW
 
 THRESHOLD = 0.5
@@ -131,12 +131,22 @@ def flag_columns(context: Column, group: str) -> list[Column]:
 
 
 def details(rels: DataFrame) -> DataFrame:
-    """Context details of each relation: the general flag groups, and the others where the relation type asks."""
+    """Context details of each relation: the general flag groups, and the others where the relation type asks; words of
+    sentiment and certainty; and, for relations about metrics, the metric, ratio and trend phrases."""
     out = {g: F.struct(*flag_columns(F.col("context"), g)) for g in ("temporal", "quantitative")}
     for types, groups in relations.EXTRA_GROUPS:
         for g in groups:
             out[g] = F.when(F.col("rel_type").isin(*types), F.struct(*flag_columns(F.col("context"), g)))
-    return rels.select("*", *[c.alias(f"{g}_details") for g, c in out.items()])
+    about = F.col("rel_type").isin(*relations.PHRASE_RELATIONS)
+    phrases = {name: F.when(about, _phrase_array(patterns, groups)) for name, (patterns, groups) in PHRASES.items()}
+    rows = certainty(sentiment(rels))
+    return rows.select("*", *[c.alias(f"{g}_details") for g, c in out.items()], *[c.alias(f"{n}_phrases") for n, c in phrases.items()])
+
+
+def with_sentences(rels: DataFrame, docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """Relations with the text of their sentence."""
+    sents = explode_sentences(docs, text, list(keys)).select(*keys, "sent_id", "sentence")
+    return rels.join(sents, [*keys, "sent_id"])
 
 
 def flag_counts(contexts: DataFrame) -> DataFrame:
@@ -180,8 +190,14 @@ def certainty(contexts: DataFrame) -> DataFrame:
                            F.array_sort(F.array_intersect(have, both)).alias("certainty_words"))
 
 
-def _phrases(contexts: DataFrame, patterns: list[tuple[str, str]], groups: list[str], keep: list[str]) -> DataFrame:
-    """One row per match of each pattern, its groups as columns.
+# The phrase patterns of each kind, and what their groups are called.
+PHRASES = {"metric": (relations.METRIC_PHRASES, ["metric", "value", "value2"]),
+           "ratio": (relations.RATIO_PHRASES, ["numerator", "denominator", "value", "value2"]),
+           "trend": (relations.TREND_PHRASES, ["metric", "value"])}
+
+
+def _phrase_array(patterns: list[tuple[str, str]], groups: list[str]) -> Column:
+    """The matches of all patterns in the context, each with its groups.
 
     Every pattern starts with a free run of words, which is slow to look for. So a text is searched only if the
     rest of the pattern, which is quick, is in it, and the groups are read from the short match.
@@ -197,23 +213,27 @@ def _phrases(contexts: DataFrame, patterns: list[tuple[str, str]], groups: list[
             *[F.trim(F.regexp_extract(hit, "(?i)" + rx, g + 1)).alias(col) if g < n
               else F.lit(None).cast("string").alias(col) for g, col in enumerate(groups)]))
 
-    found = F.flatten(F.array_compact(F.array(*[matches(name, rx) for name, rx in patterns])))
-    return contexts.select(*keep, F.explode(found).alias("z")).select(*keep, "z.*")
+    return F.flatten(F.array_compact(F.array(*[matches(name, rx) for name, rx in patterns])))
+
+
+def _phrases(contexts: DataFrame, kind: str, keep: list[str]) -> DataFrame:
+    """One row per match of each pattern of a kind, its groups as columns."""
+    return contexts.select(*keep, F.explode(_phrase_array(*PHRASES[kind])).alias("z")).select(*keep, "z.*")
 
 
 def metric_phrases(contexts: DataFrame, keep: list[str]) -> DataFrame:
-    out = _phrases(contexts, relations.METRIC_PHRASES, ["metric", "value", "value2"], keep)
+    out = _phrases(contexts, "metric", keep)
     return out.withColumn("kind", F.when(F.col("value2").isNull(), "single").otherwise("range"))
 
 
 def ratio_phrases(contexts: DataFrame, keep: list[str]) -> DataFrame:
-    out = _phrases(contexts, relations.RATIO_PHRASES, ["numerator", "denominator", "value", "value2"], keep)
+    out = _phrases(contexts, "ratio", keep)
     return out.withColumn("ratio", F.concat_ws("_to_", "numerator", "denominator")).withColumn(
         "kind", F.when(F.col("value2").isNull(), "single").otherwise("range"))
 
 
 def trend_phrases(contexts: DataFrame, keep: list[str]) -> DataFrame:
-    return _phrases(contexts, relations.TREND_PHRASES, ["metric", "value"], keep)
+    return _phrases(contexts, "trend", keep)
 
 
 def statistics(rels: DataFrame) -> DataFrame:

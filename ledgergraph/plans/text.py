@@ -200,27 +200,50 @@ def d6_relations(spark, sf):
                                         F.round("confidence", 6).alias("confidence"))
 
 
-_T, _Q, _FIN = ({n: rx for g, n, rx in relations.flag_rows() if g == group}
-                for group in ("temporal", "quantitative", "financial"))
-
-
 def _flag_sql(rx: str) -> str:
     return f"regexp_matches(context, {sql.text_literal(rx)})"
 
 
-@query(RELATIONS + f"""
+def _types_sql(group: str) -> str | None:
+    """The relation types that a group of flags is for; none for all."""
+    return next((", ".join(f"'{t}'" for t in types) for types, groups in relations.EXTRA_GROUPS if group in groups), None)
+
+
+def _detail_sql(group: str, name: str, rx: str) -> str:
+    types = _types_sql(group)
+    test = _flag_sql(rx) if types is None else f"CASE WHEN rel_type IN ({types}) THEN {_flag_sql(rx)} END"
+    return f"{test} AS {group}_{name}"
+
+
+def _phrase_count_sql(kind: str) -> str:
+    found = " + ".join(f"len(regexp_extract_all(context, {sql.text_literal('(?i)' + rx)}))" for _, rx in r.PHRASES[kind][0])
+    types = ", ".join(f"'{t}'" for t in relations.PHRASE_RELATIONS)
+    return f"CASE WHEN rel_type IN ({types}) THEN CAST({found} AS INTEGER) END AS {kind}_phrases"
+
+
+def _has_sql(terms: list[str]) -> str:
+    return f"list_has_any(w, [{', '.join(sql.text_literal(t) for t in terms)}])"
+
+
+def _polarity_sql(polarity: str) -> str:
+    hits = " + ".join(f"len(list_intersect(w, [{', '.join(sql.text_literal(t) for t in dict.fromkeys(terms))}]))" for terms in relations.SENTIMENT[polarity].values())
+    return f"CAST({hits} AS INTEGER) AS {polarity}"
+
+
+@query(RELATIONS + f""", kept AS (SELECT *, list_distinct(string_split_regex(lower(context), '\\s+')) AS w FROM rels WHERE confidence > 0.5)
 SELECT doc_id, page, CAST(src_start AS BIGINT) AS src_start, CAST(dst_start AS BIGINT) AS dst_start, src_text, dst_text,
-  {', '.join(f'{_flag_sql(rx)} AS temporal_{n}' for n, rx in _T.items())},
-  {', '.join(f'{_flag_sql(rx)} AS quantitative_{n}' for n, rx in _Q.items())},
-  {', '.join(f"CASE WHEN rel_type IN ('HAS_METRIC', 'HAS_REVENUE') THEN {_flag_sql(rx)} END AS financial_{n}"
-             for n, rx in _FIN.items())}
-FROM rels WHERE confidence > 0.5""")
+  {', '.join(_detail_sql(*row) for row in relations.flag_rows())},
+  {', '.join(_polarity_sql(p) for p in relations.SENTIMENT)},
+  {_has_sql(relations.HIGH_CERTAINTY)} AS is_high_certainty, {_has_sql(relations.LOW_CERTAINTY)} AS is_low_certainty,
+  {', '.join(_phrase_count_sql(k) for k in r.PHRASES)} FROM kept""")
 def d7_relation_details(spark, sf):
+    """All groups of flags, words of sentiment and certainty, and the number of phrases of each kind."""
     rows = r.details(_relations(spark, sf))
     return rows.select("doc_id", "page", F.col("src_start").cast("long").alias("src_start"),
                        F.col("dst_start").cast("long").alias("dst_start"), "src_text", "dst_text",
-                       *[F.col(f"{g}_details.{n}").alias(f"{g}_{n}")
-                         for g, names in (("temporal", _T), ("quantitative", _Q), ("financial", _FIN)) for n in names])
+                       *[F.col(f"{g}_details.{n}").alias(f"{g}_{n}") for g, n, _ in relations.flag_rows()],
+                       *relations.SENTIMENT, "is_high_certainty", "is_low_certainty",
+                       *[F.when(F.col(f"{k}_phrases").isNotNull(), F.size(f"{k}_phrases")).alias(f"{k}_phrases") for k in r.PHRASES])
 
 
 @query(MENTIONS + ", " + sql.pairs() + " " + " UNION ALL ".join(
