@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,18 +59,22 @@ def confidence(text: Column, label: Column) -> Column:
 
 
 def find_mentions(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "page"),
-                  reach: int = WINDOW) -> DataFrame:
+                  reach: int = WINDOW, per_sentence: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Candidates for mentions in every text, one row each, with document offsets.
 
+    ``per_sentence`` names further columns that are worked out once for each sentence and go to all its mentions.
+
     Columns: keep..., sent_id, start, end, text, type, confidence, context (50 characters to both sides) and
     ahead (``reach`` characters of the sentence from the mention on: as far as a pair may reach). Works sentence by sentence, since no mention
     crosses a sentence end, which keeps the cost linear in the text. No shuffle.
     """
     ids = list(keep)
+    more = per_sentence or {}
     sents = explode_sentences(docs, text, ids, margin=CONTEXT).select(
-        *ids, "sent_id", F.col("start").alias("sent_start"), "sentence", "before", "after")
+        *ids, "sent_id", F.col("start").alias("sent_start"), "sentence", "before", "after",
+        *[make(F.col("sentence")).alias(name) for name, make in more.items()])
     hits = explode_matches(sents, "sentence", mention_pattern(),
-                           [*ids, "sent_id", "sent_start", "before", "after"])
+                           [*ids, "sent_id", "sent_start", "before", "after", *more])
     around = F.concat("before", "sentence", "after")
     at = F.length("before") + F.col("start")
     left = F.least(at, F.lit(CONTEXT))
@@ -77,7 +83,7 @@ def find_mentions(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         (F.col("sent_start") + F.col("end")).alias("end"), F.col("hit").alias("text"), "type",
         confidence(F.col("hit"), F.col("type")).alias("confidence"),
         F.substring(around, at - left + 1, left + F.length("hit") + CONTEXT).alias("context"),
-        F.substring(F.col("sentence"), F.col("start") + 1, F.lit(reach)).alias("ahead"))
+        F.substring(F.col("sentence"), F.col("start") + 1, F.lit(reach)).alias("ahead"), *more)
 
 
 def known_labels(mentions: DataFrame) -> DataFrame:
@@ -105,7 +111,7 @@ def name_words(text: Column) -> Column:
 
 
 def known_names(docs: DataFrame, names: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "page"),
-                reach: int = WINDOW) -> DataFrame:
+                reach: int = WINDOW, per_sentence: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Names of any form in every text, with the columns of :func:`find_mentions`.
 
     ``names`` has a name and, if names are not all of companies, a label. Text and names are compared word by word, in
@@ -118,6 +124,7 @@ def known_names(docs: DataFrame, names: DataFrame, text: str = "text", keep: tup
     known = (names.select(name_words(F.col("name")).alias("_w"), label.alias("label")).where(F.size("_w") > 0)
              .groupBy("_w").agg(F.min("label").alias("type")).select(F.array_join("_w", " ").alias("_name"), "_w", "type"))
     heads = known.groupBy(F.element_at("_w", 1).alias("_head")).agg(F.collect_set(F.size("_w")).alias("_sizes"))
+    more = per_sentence or {}
     sents = explode_sentences(docs, text, ids, margin=CONTEXT).withColumnRenamed("start", "sent_start")
     words = explode_matches(sents, "sentence", NAME_WORD, [*ids, "sent_id", "sent_start", "before", "after"])
     begun = words.withColumn("_head", F.lower("hit")).join(heads, "_head")
@@ -143,7 +150,8 @@ def known_names(docs: DataFrame, names: DataFrame, text: str = "text", keep: tup
         *ids, "sent_id", (F.col("sent_start") + F.col("start")).alias("start"), (F.col("sent_start") + F.col("end")).alias("end"),
         hit.alias("text"), "type", confidence(hit, F.col("type")).alias("confidence"),
         F.substring(around, at - left + 1, left + F.length(hit) + CONTEXT).alias("context"),
-        F.substring(F.col("sentence"), F.col("start") + 1, F.lit(reach)).alias("ahead"))
+        F.substring(F.col("sentence"), F.col("start") + 1, F.lit(reach)).alias("ahead"),
+        *[make(F.col("sentence")).alias(name) for name, make in more.items()])
 
 
 def with_names(mentions: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:

@@ -12,6 +12,7 @@ from ledgergraph.functions.text import explode_sentences, words
 from ledgergraph.operators.mentions import WINDOW
 
 THRESHOLD = 0.5
+CANDIDATES = "candidates"
 
 # The free run of words, begun only at the start of a word or where the last match ended, and without going back
 # inside a word or a gap: neither loses a match, and both save most of the search.
@@ -37,7 +38,8 @@ def pairs(mentions: DataFrame, window: int = WINDOW, keys: tuple[str, ...] = ("d
         *keys, "sent_id", F.col("start").alias("src_start"), F.col("text").alias("src_text"),
         F.col("type").alias("src_type"), F.col("confidence").alias("src_confidence"),
         F.col("t.start").alias("dst_start"), F.col("t.text").alias("dst_text"), F.col("t.type").alias("dst_type"),
-        F.col("t.confidence").alias("dst_confidence"), context.alias("context"))
+        F.col("t.confidence").alias("dst_confidence"), context.alias("context"),
+        *[c for c in (CANDIDATES,) if c in mentions.columns])
 
 
 def _any(context: Column, patterns: list[str]) -> Column:
@@ -75,6 +77,18 @@ def _fired(low: Column) -> Column:
     return F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))
 
 
+def candidates(sentence: Column) -> Column:
+    """The patterns that any context within a sentence can have: what a context has, its sentence has too."""
+    return _fired(F.lower(sentence))
+
+
+def _fired_of(low: Column, some: Column) -> Column:
+    """The same for given patterns only."""
+    terms = F.array(*[F.array(*[F.struct(F.lit(v).alias("v"), F.lit(p).alias("p")) for v, p in zip(verbs, preps)])
+                      for _, verbs, preps in relations.RELATION_PATTERNS])
+    return F.filter(some, lambda i: F.exists(F.get(terms, i), lambda t: F.contains(low, t["v"]) & F.contains(low, t["p"])))
+
+
 def pattern_quality(low: Column, verbs: Column, preps: Column) -> Column:
     """0.6 of the share of verbs present plus 0.4 of the share of particles present."""
     def share(values):
@@ -87,7 +101,9 @@ def score(pair_rows: DataFrame) -> DataFrame:
 
     All patterns are tried inside the row, so there is no join and no shuffle. Ties go to the first declared type.
     """
-    rows = pair_rows.withColumn("_low", F.lower("context")).withColumn("_fired", _fired(F.col("_low")))
+    rows = pair_rows.withColumn("_low", F.lower("context"))
+    known = CANDIDATES in pair_rows.columns
+    rows = rows.withColumn("_fired", _fired_of(F.col("_low"), F.col(CANDIDATES)) if known else _fired(F.col("_low")))
     low, context = F.col("_low"), F.col("context")
     kind = F.concat_ws(">", "src_type", "dst_type")
 
@@ -107,11 +123,17 @@ def score(pair_rows: DataFrame) -> DataFrame:
            .withColumn("is_temporal", is_timed(context)).withColumn("is_negated", is_negated(context)))
     best = hit.withColumn("_best", F.array_max(F.transform("_hit", rated)))
     return best.select("*", F.col("_best.type").alias("rel_type"), F.col("_best.confidence").alias("confidence")) \
-        .drop("_low", "_fired", "_hit", "_best")
+        .drop("_low", "_fired", "_hit", "_best", CANDIDATES)
 
 
 def extract(mentions: DataFrame, window: int = WINDOW, least: float = THRESHOLD) -> DataFrame:
-    """Relations between mentions: pairs, scored, above the threshold."""
+    """Relations between mentions: pairs, scored, above the threshold.
+
+    Mentions that were found with ``per_sentence={"candidates": candidates}`` save most of the work: those of sentences
+    without a pattern go before the pairs are made, and a context is tried for the patterns of its sentence only.
+    """
+    if CANDIDATES in mentions.columns:
+        mentions = mentions.where(F.size(CANDIDATES) > 0)
     return score(pairs(mentions, window)).filter(F.col("confidence") > least)
 
 

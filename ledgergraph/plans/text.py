@@ -20,7 +20,8 @@ def _mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _relations(spark: SparkSession, sf: str) -> DataFrame:
-    return r.extract(_mentions(spark, sf))
+    found = m.find_mentions(b.statements(spark, sf), per_sentence={r.CANDIDATES: r.candidates})
+    return r.extract(m.confirm_names(found, b.company_names(spark, sf)))
 
 
 MENTIONS = "WITH " + sql.STATEMENT_MENTIONS
