@@ -17,7 +17,9 @@ HEADLINES = [
     "e7_risk_profile", "c6_paths_from_regions", "c7_subgraph_edges", "h3_similar_customers", "h2_merged_vertices",
     "v10_entity_findings", "v11_relationship_findings", "e8_entity_reports", "k29_applied_log", "i8_by_day",
     "i9_correlations", "i14_quartiles", "f5_anomalies", "s3_current_status", "s2_status_stream", "a9_text_statistics",
-    "b1_mentions", "d6_relations", "j1_classified_statements",
+    "b1_mentions", "d6_relations", "j1_classified_statements", "x6_dangling", "c8_neighbours_of_nations",
+    "i2_endpoint_validity", "d7_relation_details", "d8_context_flags", "d14_document_graph", "c11_mentions_to_fields",
+    "k30_suggested_corrections",
 ]
 
 

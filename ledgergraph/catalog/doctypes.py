@@ -118,20 +118,9 @@ GENERATED_CONFIDENCE = 0.7
 
 # Files that are let in, and the largest size.
 ACCEPTED_SUFFIXES = ["pdf"]
-READABLE_SUFFIXES = ["pdf", "png", "jpg", "jpeg", "tiff", "bmp"]
 MAX_FILE_BYTES = 50 * 1024 * 1024
 
 
-def pattern_rows() -> list[tuple[str, int, str, str, int]]:
-    """(document type, declared order, kind, pattern, weight)"""
-    return [
-        (name, ord_, kind, pattern, weight)
-        for ord_, (name, spec) in enumerate(DOCUMENT_TYPES.items())
-        for kind, key, weight in (("keyword", "keywords", 1), ("regex", "patterns", 2))
-        for pattern in spec[key]
-    ]
-
-
 def field_rows() -> list[tuple[str, int, str, str, bool]]:
     """(document type, ordinal, name, key, required)"""
     types = [(name, spec["fields"]) for name, spec in DOCUMENT_TYPES.items()] + [("unknown", GENERIC_FIELDS)]

@@ -31,10 +31,6 @@ def rule_catalogue(spark: SparkSession) -> DataFrame:
                                            "source_type string, target_type string, enabled boolean")
 
 
-def relation_patterns(spark: SparkSession) -> DataFrame:
-    return local(spark, relations.pattern_rows(), "rel_type string, ord int, verb string, prep string")
-
-
 def compatibility(spark: SparkSession) -> DataFrame:
     return local(spark, relations.compatibility_rows(), "src_type string, rel_type string, dst_type string")
 
@@ -43,11 +39,6 @@ def sentiment_terms(spark: SparkSession) -> DataFrame:
     return local(spark, relations.sentiment_rows(), "polarity string, category string, term string")
 
 
-def document_patterns(spark: SparkSession) -> DataFrame:
-    return local(spark, doctypes.pattern_rows(),
-                 "doc_type string, ord int, kind string, pattern string, weight int")
-
-
 def document_fields(spark: SparkSession) -> DataFrame:
     return local(spark, doctypes.field_rows(),
                  "doc_type string, ordinal int, name string, key string, required boolean")

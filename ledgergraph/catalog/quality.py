@@ -23,9 +23,6 @@ ADVICE = [
     ("validity", "invalid_values", "validate_data", 0.9),
 ]
 
-# Thresholds of the computed entity and relationship metrics.
-THRESHOLDS = {"completeness": 0.8, "consistency": 0.9, "validity": 0.9, "endpoint_validity": 1.0}
-
 # Weight of an error and of a warning in the confidence of a validation report.
 ERROR_WEIGHT, WARNING_WEIGHT = 0.7, 0.3
 

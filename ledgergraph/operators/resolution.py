@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,11 +112,3 @@ def similar(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, threshold:
     both = p.join(n, ["seed", "id"], "full").fillna(0.0, ["p", "n"])
     scored = both.withColumn("similarity", F.col("p") * 0.5 + F.col("n") * 0.5).filter(F.col("similarity") >= threshold)
     return scored.join(vertices.select("id", "name", "type"), "id").select("seed", "id", "name", "type", "similarity")
-
-
-def apply_rows(df: DataFrame, keys: list[str], function: Callable, schema: str) -> DataFrame:
-    """Escape hatch for merges that no aggregate function can say: a pandas function per group.
-
-    Each group goes to one task whole, so this is for keys whose groups are known to be small.
-    """
-    return df.groupBy(*keys).applyInPandas(function, schema)

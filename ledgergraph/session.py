@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",  # merge spells before the shuffle
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -56,6 +58,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which every executor can reach, for tables written on the way."""
+    """A new folder beside the checkpoints, which every executor can reach, for tables written on the way.
+
+    Such tables stay for as long as a result may read them; whoever runs the session clears the folder afterwards.
+    """
     use_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
