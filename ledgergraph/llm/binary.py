@@ -120,7 +120,7 @@ class Reader:
 def write_ids(docs: DataFrame, folder: str, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:
     """Write the ids of all texts, each followed by ``end_id``, in ascending doc_id order.
 
-    Each task of a range sort by doc_id (nulls first, then by text) writes one file under a name of its own, so that
+    Each task of a range sort by doc_id (nulls first, then by a hash of the text) writes one file under a name of its own, so that
     a repeated task leaves a file that nobody lists. Returns the manifest, stored in the folder and in file order:
     part, path, n_docs, n_ids, first_id (ids in all files before).
     """
@@ -145,8 +145,9 @@ def write_ids(docs: DataFrame, folder: str, end_id: int = 1, tokenizer: str | No
             n_docs, n_ids = writer.close()
             yield pa.record_batch({"part": [TaskContext.get().partitionId()], "path": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    rows = texts(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    made = rows.mapInArrow(write, "part long, path string, n_docs long, n_ids long")
+    rows = texts(docs).withColumn("tie", F.xxhash64("text"))  # ranges are drawn from samples of the keys, so no texts there
+    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    made = rows.select("doc_id", "text").mapInArrow(write, "part long, path string, n_docs long, n_ids long")
     made.write.parquet(f"{folder}/files")
     files = docs.sparkSession.read.parquet(f"{folder}/files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
@@ -186,7 +187,7 @@ def round_trip(docs: DataFrame, end_id: int = 1, tokenizer: str | None = None) -
     """Write all documents' ids to files and read them back: doc_id, start, n_tokens, ids_crc32.
 
     A null text counts as empty and gives the end id alone; rows with a null id come first and keep it; repeated ids
-    follow in the order of their texts; an empty table gives no file and an empty result; other columns are ignored.
+    follow in the order of a hash of their texts; an empty table gives no file and an empty result; other columns are ignored.
     """
     folder = scratch_folder(docs.sparkSession, "token-ids")
     return read_ids(write_ids(docs, folder, end_id, tokenizer), folder).drop("ids")
