@@ -144,8 +144,8 @@ def matched_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = None
     for i in range(slices):
-        part = windows.where(F.pmod("hash", F.lit(slices)) == i).select("hash").distinct().toPandas()["hash"].to_numpy()
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(part.astype(np.int64).view(np.uint64)))
+        part = windows.where(F.pmod("hash", F.lit(slices)) == i).select("hash").distinct().toArrow()["hash"].to_numpy()
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(part.view(np.uint64)))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             wanted = known.value
