@@ -30,19 +30,22 @@ def _running(values: Column) -> Column:
 def _cut(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
     """keep..., text and, as arrays, the gaps between matches, the matches, and where each gap starts.
 
-    Starts are running sums within blocks, moved by the running sums of the blocks. Each array has a column of its own,
-    since an expression inside a lambda would be computed anew for every element.
+    Starts of more than a block of pieces are running sums within blocks, moved by the running sums of the blocks.
+    Exploding an array of one element, and a column for each array, keep the optimizer from copying the cuts into every
+    use, where a lambda would compute them anew for every element.
     """
-    cut = df.select(*keep, F.col(text),
-                    F.split(F.col(text), pattern, -1).alias("_gaps"),
-                    F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("_hits"))
-    cut = cut.withColumn("_lengths", F.zip_with("_gaps", "_hits", lambda g, h: F.coalesce(F.length(g), F.lit(0))
-                                                + F.coalesce(F.length(h), F.lit(0))))
+    both = F.struct(F.split(F.col(text), pattern, -1).alias("gaps"),
+                    F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("hits"))
+    cut = df.select(*keep, F.col(text), F.explode(F.array(both)).alias("_both"))
+    cut = cut.select(*keep, text, F.col("_both.gaps").alias("_gaps"), F.col("_both.hits").alias("_hits"))
+    lengths = F.zip_with("_gaps", "_hits", lambda g, h: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(h), F.lit(0)))
+    cut = cut.withColumn("_lengths", F.explode(F.array(lengths)))
+    many = F.size("_lengths") > BLOCK
     places = F.sequence(F.lit(0), F.floor((F.size("_lengths") - 1) / BLOCK).cast("int"))
-    cut = cut.withColumn("_blocks", F.transform(places, lambda b: F.slice("_lengths", b * BLOCK + 1, BLOCK)))
+    cut = cut.withColumn("_blocks", F.when(many, F.transform(places, lambda b: F.slice("_lengths", b * BLOCK + 1, BLOCK))))
     sums = F.transform("_blocks", lambda block: F.aggregate(block, F.lit(0), lambda x, y: x + y))
     moved = F.zip_with("_blocks", _running(sums), lambda block, at: F.transform(_running(block), lambda x: x + at))
-    return cut.withColumn("_starts", F.flatten(moved))
+    return cut.withColumn("_starts", F.when(many, F.flatten(moved)).otherwise(_running(F.col("_lengths"))))
 
 
 def explode_pieces(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
