@@ -33,8 +33,8 @@ BLOCK = 1024
 LINKS_HELD = 2_000_000
 
 
-def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """The 64-bit SimHash of each text over the XXH64 (seed 42) of its word shingles, repeats included."""
+def shingles_of(texts: pa.Array, shingle: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Number of word shingles of each text, and (text, XXH64 with seed 42) of the shingles in turn, repeats included, in parts."""
     flat, ends = words_of(pc.ascii_lower(texts))
     spaced = pc.binary_join_element_wise(flat, "", " ")  # each word and a blank: shingles are slices of the buffer
     if not pa.types.is_large_string(spaced.type):
@@ -47,13 +47,23 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     doc = np.repeat(np.arange(len(ends)), count)
     first = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + starts[doc]
     last = np.minimum(first + shingle, ends[doc])
-    ones = np.zeros((len(ends), 64), np.int64)
-    for at in range(0, len(doc), 1 << 17):
-        part = slice(at, at + (1 << 17))
-        h = np.fromiter((xxhash.xxh64_intdigest(data[a:b], 42) for a, b in zip(offset[first[part]].tolist(), (offset[last[part]] - 1).tolist(), strict=True)), np.uint64)
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(doc), 1 << 17):
+            part = slice(at, at + (1 << 17))
+            yield doc[part], np.fromiter((xxhash.xxh64_intdigest(data[a:b], 42) for a, b in zip(offset[first[part]].tolist(), (offset[last[part]] - 1).tolist(), strict=True)), np.uint64)
+
+    return count, parts()
+
+
+def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """The 64-bit SimHash of each text over the XXH64 (seed 42) of its word shingles, repeats included."""
+    count, parts = shingles_of(texts, shingle)
+    ones = np.zeros((len(count), 64), np.int64)
+    for doc, h in parts:
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        cuts = np.flatnonzero(np.diff(doc[part], prepend=-1))
-        ones[doc[part][cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(doc, prepend=-1))
+        ones[doc[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
     set_bits = 2 * ones > count[:, None]
     return np.packbits(set_bits, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
@@ -187,16 +197,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     first = F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
     nodes = stored(rows.groupBy("fp").agg(first.alias("first")), "nodes")
-    reached = components(links(nodes, bits, segments))
-    labelled = nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    best = F.min_by("first", F.struct(F.col("first.doc_id").isNull(), F.col("first.doc_id"), F.col("first.row")))
-    least = labelled.groupBy("label").agg(best.alias("least"))
-    known = labelled.join(least, "label").select("fp", "least")
-    return rows.join(known, "fp").select(
+    return labelled(rows, nodes, links(nodes, bits, segments)).select(
         "row", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))
 
 
+def labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (with fp) and ``least``: of the ``nodes (fp, first)`` that the links reach the least doc_id and row."""
+    reached = components(links)
+    known = nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    best = F.min_by("first", F.struct(F.col("first.doc_id").isNull(), F.col("first.doc_id"), F.col("first.row")))
+    least = known.groupBy("label").agg(best.alias("least"))
+    return rows.join(known.join(least, "label").select("fp", "least"), "fp")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """:func:`near_duplicates` of any table with doc_id and text."""
     return near_duplicates(numbered(docs.select("doc_id", "text"))).drop("row", "kept")
