@@ -3,6 +3,8 @@
 Windows of template tokens are hashed and joined with the benchmark's, so a question whose parameters were changed
 still meets its original. What stands in the placeholders then has to map one to one: the same value of the item to
 the same value of the document, and back.
+
+The first word of a sentence or line may be capitalised for its place or as a name: windows are hashed by both readings.
 """
 
 from __future__ import annotations
@@ -40,22 +42,31 @@ LITERAL, NUMBER, UNIT, NAME = range(4)
 _NUMBER = r"^[0-9]+([.,:/][0-9]+)*(st|nd|rd|th|%|[a-z]{1,3})?$"
 _NAME = r"^\p{Lu}[\p{Ll}'’-]+$"
 BASE = np.uint64(0x9E3779B97F4A7C15)
+LINE = "\x1e"  # stands for a line break among the words
 
 
 @dataclass
 class Tokens:
-    """Template tokens of a batch: hash, kind, code of the word in ``words``; where each text's tokens end."""
+    """Template tokens of a batch: hash, kind, whether a literal may be a name, code of the word
+    in ``words``; where each text's tokens end."""
 
     hashes: np.ndarray
     kinds: np.ndarray
+    unsure: np.ndarray
     codes: np.ndarray
     ends: np.ndarray
     words: pa.Array
 
 
 def tokens_of(texts: pa.Array) -> Tokens:
-    """Words without the marks around them, lowered; numbers, units after a number and names within a sentence typed."""
-    flat, ends = words_of(texts)
+    """Words without the marks around them, lowered; numbers, units after a number and names within a sentence typed.
+
+    Capitalised words at the start of a text, a sentence or a line stay literal and are unsure.
+    """
+    flat, ends = words_of(pc.replace_substring_regex(texts, "[\n\x0b\x0c\r\u0085\u2028\u2029]+", f" {LINE} "))
+    line = pc.equal(flat, LINE).to_numpy(zero_copy_only=False).astype(bool)
+    fresh = np.concatenate([[False], line])[:-1][~line]  # the first word of a line
+    flat, ends = flat.filter(pa.array(~line)), np.concatenate([[0], np.cumsum(~line)])[ends]
     coded = flat.dictionary_encode()
     index, raw = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
     core = pc.utf8_trim(raw, characters=TRIMMED)
@@ -70,12 +81,13 @@ def tokens_of(texts: pa.Array) -> Tokens:
 
     begins = np.zeros(len(index) + 1, bool)
     begins[np.concatenate([[0], ends])] = True
-    first = np.concatenate([[True], stops[index]])[:-1] | begins[:-1]  # of a sentence
+    first = np.concatenate([[True], stops[index]])[:-1] | begins[:-1] | fresh  # of a sentence
     kinds = np.zeros(len(index), np.int8)
     kinds[name[index] & ~first] = NAME
     kinds[number[index]] = NUMBER
     after = np.concatenate([[False], kinds == NUMBER])[:-1] & ~begins[:-1]
     kinds[unit[index] & after] = UNIT
+    unsure = name[index] & first & (kinds == LITERAL)
 
     keep = full[index]
     ends = np.concatenate([[0], np.cumsum(keep)])[ends]
@@ -83,34 +95,49 @@ def tokens_of(texts: pa.Array) -> Tokens:
     typed = hashes[index]
     for kind in (NUMBER, UNIT, NAME):
         typed[kinds == kind] = np.uint64(kind)
-    return Tokens(typed, kinds, index, ends, lower)
+    return Tokens(typed, kinds, unsure[keep], index, ends, lower)
 
 
-def windows_of(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every window of ``size`` tokens that lies in one text and has literals enough."""
+def windows_of(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hash and reading of every window of ``size`` tokens that lies in one text and has literals enough.
+
+    Bit i of a reading is set if token i, which is unsure, is read as a name; a window has a row for each reading.
+    """
     n = len(t.hashes) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total, literals, cut = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(len(t.hashes) + 1, np.int64)
     for i in range(size):
         total = total * BASE + t.hashes[i:i + n]
         literals += t.kinds[i:i + n] == LITERAL
     cut[t.ends] = 1
     crossed = np.cumsum(cut)
-    at = np.flatnonzero((crossed[np.arange(n) + size - 1] == crossed[:n]) & (literals * WINDOW >= LITERALS * size))
-    return at, total[at] ^ np.uint64(size)
-
-
-def _slots(t: Tokens, starts: np.ndarray, size: int) -> list[list[str | None]]:
+    spare = literals * WINDOW - LITERALS * size
+    at = np.flatnonzero((crossed[np.arange(n) + size - 1] == crossed[:n]) & (spare >= 0))
+    total, spare, reading = total[at], spare[at], np.zeros(len(at), np.int64)
+    power = 1
+    for i in reversed(range(size)):
+        more = np.flatnonzero(t.unsure[at + i] & (spare >= WINDOW))
+        named = total[more] + (np.uint64(NAME) - t.hashes[at[more] + i]) * np.uint64(power)
+        at, total, spare, reading = (np.concatenate(x) for x in (
+            (at, at[more]), (total, named), (spare, spare[more] - WINDOW), (reading, reading[more] | 1 << i)))
+        power = power * int(BASE) % (1 << 64)
+    return at, total ^ np.uint64(size), reading
+
+
+def _slots(t: Tokens, starts: np.ndarray, size: int, reading: np.ndarray) -> list[list[str | None]]:
     at = starts[:, None] + np.arange(size)
-    codes = np.where(t.kinds[at] != LITERAL, t.codes[at], -1)
+    codes = np.where((t.kinds[at] != LITERAL) | (reading[:, None] >> np.arange(size) & 1 == 1), t.codes[at], -1)
     used = np.unique(codes[codes >= 0])
     words = dict(zip(used.tolist(), t.words.take(pa.array(used)).to_pylist(), strict=True))
     return [[words.get(c) for c in row] for row in codes.tolist()]
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """``item (a number per row), item_id, windows, size, at, hash, slots`` of benchmark items (item_id, text)."""
+    """``item (a number per row), item_id, windows, size, at, hash, slots`` of benchmark items (item_id, text).
+
+    ``windows`` counts the places of an item that have a window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -118,15 +145,15 @@ def item_windows(items: DataFrame) -> DataFrame:
             starts = np.concatenate([[0], t.ends[:-1]])
             size_of = np.minimum(t.ends - starts, WINDOW)
             for size in np.unique(size_of[size_of >= SHORTEST]).tolist():
-                at, hashes = windows_of(t, size)
+                at, hashes, reading = windows_of(t, size)
                 owner = np.searchsorted(t.ends, at, "right")
                 mine = size_of[owner] == size
-                at, hashes, owner = at[mine], hashes[mine], owner[mine]
+                at, hashes, reading, owner = at[mine], hashes[mine], reading[mine], owner[mine]
                 take = pa.array(owner)
                 yield pa.record_batch({
                     "item": batch.column(0).take(take), "item_id": batch.column(1).take(take),
-                    "windows": np.bincount(owner, minlength=len(starts))[owner].astype(np.int64), "size": np.full(len(at), size, np.int64),
-                    "at": at - starts[owner], "hash": hashes.view(np.int64), "slots": pa.array(_slots(t, at, size), pa.list_(pa.string()))})
+                    "windows": np.bincount(owner[reading == 0], minlength=len(starts))[owner].astype(np.int64), "size": np.full(len(at), size, np.int64),
+                    "at": at - starts[owner], "hash": hashes.view(np.int64), "slots": pa.array(_slots(t, at, size, reading), pa.list_(pa.string()))})
 
     items = numbered(items.select("item_id", "text"), "item")
     items = items.select("item", F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -153,15 +180,15 @@ def matched_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 t = tokens_of(batch.column(2))
                 starts = np.concatenate([[0], t.ends[:-1]])
                 for size in sizes if len(wanted) else ():
-                    at, hashes = windows_of(t, size)
+                    at, hashes, reading = windows_of(t, size)
                     place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
                     hit = wanted[place] == hashes
-                    at, hashes = at[hit], hashes[hit]
+                    at, hashes, reading = at[hit], hashes[hit], reading[hit]
                     owner = np.searchsorted(t.ends, at, "right")
                     take = pa.array(owner)
                     yield pa.record_batch({
                         "row": batch.column(0).take(take), "doc_id": batch.column(1).take(take), "place": at - starts[owner],
-                        "hash": hashes.view(np.int64), "values": pa.array(_slots(t, at, size), pa.list_(pa.string()))})
+                        "hash": hashes.view(np.int64), "values": pa.array(_slots(t, at, size, reading), pa.list_(pa.string()))})
 
         one = docs.mapInArrow(run, f"row {row}, doc_id long, place long, hash long, values array<string>")
         found = one if found is None else found.union(one)
@@ -175,8 +202,8 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, agreement: fl
     document and item: row, doc_id, item_id, share (of the item's windows found), slots (placeholders compared),
     agreement (share of them that map one to one) and verbatim (all slots have their own value). Matches are taken
     along runs where document and item go in step; a run whose slots disagree doesn't count. Null texts have no
-    windows; items of fewer than ``SHORTEST`` tokens can't be found; items of fewer than ``WINDOW`` tokens match
-    whole; null ids are kept; repeated rows match each; empty tables give an empty result; other columns are ignored.
+    windows; items of fewer than ``SHORTEST`` tokens, or with too few literals in every window, can't be found; items of fewer than ``WINDOW``
+    tokens match whole; null ids are kept; repeated rows match each; empty tables give an empty result; other columns are ignored.
     """
     windows = stored(item_windows(items), "item-windows")
     found = stored(matched_windows(docs, windows), "matched-windows")
