@@ -5,6 +5,7 @@ still meets its original. What stands in the placeholders then has to map one to
 the same value of the document, and back.
 
 The first word of a sentence or line may be capitalised for its place or as a name: windows are hashed by both readings.
+An item that has no window with literals enough is looked up by windows of its plain words instead, values included.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from ledgergraph.llm.common import numbered, pieces, stored, words_of
 
 WINDOW = 8
 LITERALS = 5  # of a window of WINDOW tokens that must not be placeholders
-SHORTEST = 4  # items of fewer tokens have no window
+SHORTEST = 4  # items of fewer tokens have no template window
 SHARE = 0.3  # of an item's windows that a document must hold
 AGREEMENT = 0.7  # of the slots that must map one to one
 SLICE = 4_000_000  # window hashes that are broadcast at once: 32 MB
@@ -47,10 +48,11 @@ LINE = "\x1e"  # stands for a line break among the words
 
 @dataclass
 class Tokens:
-    """Template tokens of a batch: hash, kind, whether a literal may be a name, code of the word
+    """Template tokens of a batch: hash, hash of the plain word, kind, whether a literal may be a name, code of the word
     in ``words``; where each text's tokens end."""
 
     hashes: np.ndarray
+    plain: np.ndarray
     kinds: np.ndarray
     unsure: np.ndarray
     codes: np.ndarray
@@ -92,29 +94,35 @@ def tokens_of(texts: pa.Array) -> Tokens:
     keep = full[index]
     ends = np.concatenate([[0], np.cumsum(keep)])[ends]
     index, kinds = index[keep], kinds[keep]
-    typed = hashes[index]
+    plain = hashes[index]
+    typed = plain.copy()
     for kind in (NUMBER, UNIT, NAME):
         typed[kinds == kind] = np.uint64(kind)
-    return Tokens(typed, kinds, unsure[keep], index, ends, lower)
+    return Tokens(typed, plain, kinds, unsure[keep], index, ends, lower)
 
 
 def windows_of(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, hash and reading of every window of ``size`` tokens that lies in one text and has literals enough.
 
-    Bit i of a reading is set if token i, which is unsure, is read as a name; a window has a row for each reading.
+    Bit i of a reading is set if token i, which is unsure, is read as a name; a window has a row for each reading. A
+    negative size means windows of so many plain words, whatever they are.
     """
+    exact, size = size < 0, abs(size)
     n = len(t.hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes = t.plain if exact else t.hashes
     total, literals, cut = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(len(t.hashes) + 1, np.int64)
     for i in range(size):
-        total = total * BASE + t.hashes[i:i + n]
+        total = total * BASE + hashes[i:i + n]
         literals += t.kinds[i:i + n] == LITERAL
     cut[t.ends] = 1
     crossed = np.cumsum(cut)
     spare = literals * WINDOW - LITERALS * size
-    at = np.flatnonzero((crossed[np.arange(n) + size - 1] == crossed[:n]) & (spare >= 0))
+    at = np.flatnonzero((crossed[np.arange(n) + size - 1] == crossed[:n]) & (exact | (spare >= 0)))
     total, spare, reading = total[at], spare[at], np.zeros(len(at), np.int64)
+    if exact:
+        return at, total ^ np.uint64(1 << 32 | size), reading
     power = 1
     for i in reversed(range(size)):
         more = np.flatnonzero(t.unsure[at + i] & (spare >= WINDOW))
@@ -126,6 +134,8 @@ def windows_of(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _slots(t: Tokens, starts: np.ndarray, size: int, reading: np.ndarray) -> list[list[str | None]]:
+    if size < 0:
+        return [[None] * -size] * len(starts)
     at = starts[:, None] + np.arange(size)
     codes = np.where((t.kinds[at] != LITERAL) | (reading[:, None] >> np.arange(size) & 1 == 1), t.codes[at], -1)
     used = np.unique(codes[codes >= 0])
@@ -136,7 +146,7 @@ def _slots(t: Tokens, starts: np.ndarray, size: int, reading: np.ndarray) -> lis
 def item_windows(items: DataFrame) -> DataFrame:
     """``item (a number per row), item_id, windows, size, at, hash, slots`` of benchmark items (item_id, text).
 
-    ``windows`` counts the places of an item that have a window.
+    ``size`` is negative for windows of plain words. ``windows`` counts the places of an item that have a window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +154,13 @@ def item_windows(items: DataFrame) -> DataFrame:
             t = tokens_of(batch.column(2))
             starts = np.concatenate([[0], t.ends[:-1]])
             size_of = np.minimum(t.ends - starts, WINDOW)
-            for size in np.unique(size_of[size_of >= SHORTEST]).tolist():
+            found = np.zeros(len(starts), bool)
+            for size in (*np.unique(size_of[size_of >= SHORTEST]).tolist(), *range(-WINDOW, 0)):
                 at, hashes, reading = windows_of(t, size)
                 owner = np.searchsorted(t.ends, at, "right")
-                mine = size_of[owner] == size
+                mine = (size_of[owner] == abs(size)) & (~found[owner] if size < 0 else True)
                 at, hashes, reading, owner = at[mine], hashes[mine], reading[mine], owner[mine]
+                found[owner] |= size > 0
                 take = pa.array(owner)
                 yield pa.record_batch({
                     "item": batch.column(0).take(take), "item_id": batch.column(1).take(take),
@@ -202,8 +214,9 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, agreement: fl
     document and item: row, doc_id, item_id, share (of the item's windows found), slots (placeholders compared),
     agreement (share of them that map one to one) and verbatim (all slots have their own value). Matches are taken
     along runs where document and item go in step; a run whose slots disagree doesn't count. Null texts have no
-    windows; items of fewer than ``SHORTEST`` tokens, or with too few literals in every window, can't be found; items of fewer than ``WINDOW``
-    tokens match whole; null ids are kept; repeated rows match each; empty tables give an empty result; other columns are ignored.
+    windows; items without a template window (fewer than ``SHORTEST`` tokens, or too few literals in every window) are
+    found with their own values only, by windows of plain words, and have no slots; items of fewer than ``WINDOW``
+    tokens match whole; items without words can't be found; null ids are kept; repeated rows match each; empty tables give an empty result; other columns are ignored.
     """
     windows = stored(item_windows(items), "item-windows")
     found = stored(matched_windows(docs, windows), "matched-windows")

@@ -1,4 +1,4 @@
-"""Names and capitals at the start of sentences and lines."""
+"""Names and capitals at the start of sentences and lines; items without template windows."""
 
 from ledgergraph.llm import templates
 
@@ -29,3 +29,11 @@ def test_every_reading_of_a_window_is_hashed():
     t = templates.tokens_of(pa.array(["One. Yes. No. so it is then now"]))
     at, hashes, reading = templates.windows_of(t, 8)
     assert len(set(hashes.tolist())) == len(at) == 4 and sorted(reading.tolist()) == [0, 2, 4, 6]
+
+
+def test_items_without_template_windows_are_found_verbatim(spark):
+    items = ["What is 17 times 24?", "Compute 12 + 7 * 3 - 4", "Anna Bob", "1 2 3 4 5 6 7 8 9 10 11 12", "...", "the sum of 2 and many old things"]
+    docs = [f"some words before it. {x} and some words after it" for x in items]
+    docs += ["what is 18 times 24?", "Compute 12 + 7 * 3 - 5", "Anna and Bob", "1 2 3 4 5 6 7 9 8 10 11 12"]
+    got = found(spark, docs, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 5)} and all(r.verbatim for r in got.values())
