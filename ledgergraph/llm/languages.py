@@ -24,6 +24,7 @@ SEED = 71
 BATCH, ROWS = 1_000_000, 512  # bytes and texts that are bundled at once
 PART = 1 << 20  # code points of a long text that are bundled at once
 WIDTH = 1 << 12  # trigrams that one matrix product takes
+DIRECT = 1 << 22  # trigrams that an alphabet can have and still be counted in a table
 KNOWN = 1 << 14  # trigrams whose vectors a task keeps: 64 MB
 MOST_LANGUAGES = 2048  # profiles are broadcast: 8 KB each, 16 MB at most
 UNKNOWN = "und"
@@ -34,16 +35,17 @@ class Letters:
     """Random vectors of letters, and which code points are letters; both are found once per task."""
 
     def __init__(self) -> None:
-        self.kind: dict[int, bool] = {}
+        self.kind = np.full(0x110000, -1, np.int8)  # -1: not asked yet
         self.vectors: dict[int, np.ndarray] = {}
 
     def among(self, codes: np.ndarray) -> np.ndarray:
         """True for the letters of an array of code points."""
-        distinct, at = np.unique(codes, return_inverse=True)
-        for c in distinct.tolist():
-            if c not in self.kind:
+        kind = self.kind[codes]
+        if (kind < 0).any():
+            for c in np.unique(codes[kind < 0]).tolist():
                 self.kind[c] = chr(c).isalpha()
-        return np.array([self.kind[c] for c in distinct.tolist()], bool)[at] if len(codes) else np.zeros(0, bool)
+            kind = self.kind[codes]
+        return kind > 0
 
     def vector(self, code: int) -> np.ndarray:
         if code not in self.vectors:
@@ -78,8 +80,11 @@ class Trigrams:
         return out
 
 
-def trigrams(letters: Letters, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Codes of all trigrams and the text each is of, in parts of bounded size, however long a text is."""
+def symbols(letters: Letters, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Letters and single blanks of all texts and the text each is of, in parts of bounded size, however long a text is.
+
+    Each text is between two blanks, and a part begins with the last two symbols of the one before.
+    """
     padded = [f" {t.lower()} " for t in texts]
     line, ends = "".join(padded), np.cumsum([len(t) for t in padded])
     z, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -91,15 +96,30 @@ def trigrams(letters: Letters, texts: list[str]) -> Iterator[tuple[np.ndarray, n
         kept[1:] |= (z[:-1] != BLANK) | (owner[1:] != owner[:-1])
         kept[0] = True
         z, owner = z[kept], owner[kept]
-        whole = owner[:-2] == owner[2:]
-        yield (z[:-2] << 42 | z[1:-1] << 21 | z[2:])[whole], owner[:-2][whole]
+        yield z, owner
+
+
+def trigrams(z: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct trigrams of symbols, ascending, and for each place its number and the text it is of."""
+    present = np.flatnonzero(np.bincount(z))
+    rank = np.zeros(present[-1] + 1 if len(present) else 0, np.int64)
+    rank[present] = np.arange(len(present))
+    m, whole = len(present), owner[:-2] == owner[2:]
+    code = ((rank[z[:-2]] * m + rank[z[1:-1]]) * m + rank[z[2:]])[whole]
+    if m**3 <= DIRECT:
+        seen = np.zeros(m**3, bool)
+        seen[code] = True
+        distinct, kind = np.flatnonzero(seen), (np.cumsum(seen) - 1)[code]
+    else:
+        distinct, kind = np.unique(code, return_inverse=True)
+    return present[distinct // (m * m)] << 42 | present[distinct // m % m] << 21 | present[distinct % m], kind, owner[:-2][whole]
 
 
 def bundles(known: Trigrams, texts: list[str], group: np.ndarray, n: int) -> np.ndarray:
     """The sums of the trigram vectors of the texts of each of ``n`` groups."""
     out = np.zeros((n, DIM))
-    for codes, owner in trigrams(known.letters, texts):
-        distinct, kind = np.unique(codes, return_inverse=True)
+    for z, of in symbols(known.letters, texts):
+        distinct, kind, owner = trigrams(z, of)
         for at in range(0, len(distinct), WIDTH):
             columns = distinct[at:at + WIDTH]
             mine = (kind >= at) & (kind < at + WIDTH)
@@ -109,18 +129,18 @@ def bundles(known: Trigrams, texts: list[str], group: np.ndarray, n: int) -> np.
     return out
 
 
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", BATCH):
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def held_out(doc_id: Column) -> Column:
     """True if crc32 of the id as text is 1 modulo 3; a null id counts as the empty text."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
     return F.pmod(F.crc32(text.cast("binary")), F.lit(3)) == 1
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text", BATCH):
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """``lang string, at int, value long``: the bundle of each language of ``docs (text, lang)``, one row per dimension."""
 
