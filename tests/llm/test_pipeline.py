@@ -11,7 +11,8 @@ import corpus_pipeline
 from ledgergraph.llm import queries
 from ledgergraph.llm.common import stored
 from tests.llm.test_sharding_dedup_binary import tokens
-from tests.llm.test_simhash import fingerprint, reach
+from tests.llm.test_simhash import reach
+from tests.llm.test_similar import alike, shingles
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row long, fp long, kept boolean, hash string"
 
@@ -67,10 +68,10 @@ def test_stages(spark, folder):
     assert Counter((d, t or "") for d, t in after.elements()) == Counter((d, t) for t, d in best.items())
 
     before, after = kept[2]
-    label = reach({fingerprint(t) for _, t in before}, lambda x, y: (x ^ y).bit_count() <= 4)
+    label = reach({shingles(t) for _, t in before}, alike)
     groups = defaultdict(list)
     for d, t in before.elements():
-        groups[label[fingerprint(t)]].append(d)
+        groups[label[shingles(t)]].append(d)
     least = Counter(min((d for d in g if d is not None), default=None) for g in groups.values())
     assert Counter(d for d, _ in after.elements()) == least and len(least) < sum(before.values())
 
