@@ -94,19 +94,24 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """An open-addressing hash table from numbers of 0 to 2^63 - 1 to values."""
+    """An open-addressing hash table from numbers of 0 to 2^63 - 1 to values; ``room`` keys fit without a rebuild.
 
-    def __init__(self, dtype: type) -> None:
-        self.size, self.bits = 0, 10
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, dtype)
+    Between a third and two thirds of the places are taken, so a table of 8-byte values has 24 to 48 bytes a key.
+    """
+
+    def __init__(self, dtype: type, room: int = 0) -> None:
+        self.size = 0
+        self._empty(max(1024, int(room / 0.6) + 1), dtype)
+
+    def _empty(self, places: int, dtype: type) -> None:
+        self.keys, self.values = np.full(places, -1, np.int64), np.zeros(places, dtype)
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Add keys that differ from each other and from those that are there."""
         self.size += len(keys)
-        if 2 * self.size > len(self.keys):
+        if self.size > 0.65 * len(self.keys):
             old, kept = self.keys >= 0, (self.keys, self.values)
-            self.bits = int(4 * self.size).bit_length()
-            self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, self.values.dtype)
+            self._empty(int(self.size / 0.35), kept[1].dtype)
             self._place(kept[0][old], kept[1][old])
         self._place(keys, values)
 
@@ -117,10 +122,16 @@ class Lookup:
             slot, who = np.unique(at[free], return_index=True)
             self.keys[slot], self.values[slot] = keys[free[who]], values[free[who]]
             left = self.keys[at] != keys
-            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
+            keys, values, at = keys[left], values[left], self._next(at[left])
 
     def _first(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+        return (mixed * np.uint64(len(self.keys)) >> np.uint64(32)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        at = at + 1
+        at[at == len(self.keys)] = 0
+        return at
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Value of each key (0 for unknown ones), and the places of the unknown ones."""
@@ -131,7 +142,7 @@ class Lookup:
         todo = np.flatnonzero((held != keys) & (held >= 0))
         at = at[todo]
         while len(todo):
-            at = (at + 1) & ((1 << self.bits) - 1)
+            at = self._next(at)
             held = self.keys[at]
             hit = held == keys[todo]
             out[todo[hit]] = self.values[at[hit]]

@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from ledgergraph.llm.common import Lookup, numbered, pieces, ragged, stored, words_of
 
 DEPTH = 5
-BATCH = 3_000_000
+BATCH = 500_000  # bytes that are coded at once: about 40 MB of arrays
+HELD = 1 << 21  # distinct byte strings that a task counts before it sends them on
 END = 10
 WORDS = 1 << 18  # words whose counts are broadcast, each of at most WORD_BYTES bytes
 WORD_BYTES = 64
-GRAMS = 1 << 22  # byte strings whose scores are broadcast: 100 MB as a hash table
+GRAMS = 1 << 21  # byte strings whose scores are broadcast, as a hash table of 20 bytes each: 42 MB
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -180,6 +181,15 @@ def grams_of(data: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return key[mask[DEPTH:]]
 
 
+def strings(data: np.ndarray, stops: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The strings of a stream with the text each is of, in parts of bounded size however long a text is."""
+    mask = coded(stops)
+    for at in range(0, len(data), BATCH):
+        start = max(0, at - DEPTH)
+        part = slice(start, at + BATCH)
+        yield grams_of(data[part], mask[part]), np.searchsorted(stops, start + DEPTH + np.flatnonzero(mask[part][DEPTH:]), "right")
+
+
 def gather(docs: DataFrame) -> DataFrame:
     """``gram long, word string, n long``: counts of all strings of DEPTH + 1 bytes and of all words (the end is the
     empty word) in ``docs (text)``."""
@@ -188,16 +198,14 @@ def gather(docs: DataFrame) -> DataFrame:
         grams, counts, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for batch in pieces(batches, "text", BATCH):
             flat, ends, data, stops = streams(batch.column(0))
-            key = grams_of(data, coded(stops))
-            key.sort()
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            held.append((key[first], np.diff(np.append(first, len(key)))))
-            if len(held) == 8:
-                grams, counts = added([(grams, counts), *held])
-                held = []
-                if len(grams) > GRAMS:  # as much as a task holds; the rest is added after the shuffle
-                    yield from told(grams, counts)
-                    grams, counts = grams[:0], counts[:0]
+            for key, _ in strings(data, stops):
+                held.append(np.unique(key, return_counts=True))
+                if sum(len(h[0]) for h in held) > HELD // 4:
+                    grams, counts = added([(grams, counts), *held])
+                    held = []
+                    if len(grams) > HELD:  # as much as a task holds; the rest is added after the shuffle
+                        yield from told(grams, counts)
+                        grams, counts = grams[:0], counts[:0]
             words = flat.value_counts()
             yield pa.record_batch({
                 "gram": pa.nulls(len(words) + 1, pa.int64()),
@@ -251,25 +259,26 @@ def score(docs: DataFrame) -> DataFrame:
     common = logs.where(F.col("n") >= least_frequent(logs, GRAMS)).select("gram", F.col("log").cast("float").alias("log")).toArrow()
     short = words.where(F.octet_length("word") <= WORD_BYTES)
     frequent = short.where(F.col("n") >= least_frequent(short, WORDS)).toArrow()
-    shared = spark.sparkContext.broadcast((
-        common["gram"].to_numpy(), common["log"].to_numpy(), frequent["word"].combine_chunks(), np.log10(frequent["n"].to_numpy() + 0.5)))
+    table = Lookup(np.float32, common.num_rows)
+    table.add(common["gram"].to_numpy(), common["log"].to_numpy())
+    shared = spark.sparkContext.broadcast((table, frequent["word"].combine_chunks(), np.log10(frequent["n"].to_numpy() + 0.5)))
     known_end = int(n_all > 0)
     end = words.where("word = ''").select("n").first()
     end_log = math.log10((end.n if end else 0) + 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs, names, values = shared.value
-        table = Lookup(np.float32)
-        table.add(keys, logs)
+        table, names, values = shared.value
         for batch in pieces(batches, "text", BATCH):
             flat, ends, data, stops = streams(batch.column(2))
             n, size = len(ends), np.diff(stops, prepend=0) - DEPTH
-            key = grams_of(data, coded(stops))
-            value, unknown = table.find(key)
-            owner = np.searchsorted(np.cumsum(size), unknown, "right")
-            rare, times, cuts = occurrences(owner, key[unknown], n)
-            out = {"row": batch.column(0), "doc_id": batch.column(1), "bytes": size,
-                   "score": np.add.reduceat(value.astype(np.float64), np.cumsum(size) - size),
+            score, new, whose = np.zeros(n), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for key, owner in strings(data, stops):
+                value, unknown = table.find(key)
+                score += np.bincount(owner, value, n)
+                new.append(key[unknown])
+                whose.append(owner[unknown])
+            rare, times, cuts = occurrences(np.concatenate(whose), np.concatenate(new), n)
+            out = {"row": batch.column(0), "doc_id": batch.column(1), "bytes": size, "score": score,
                    "grams": pa.ListArray.from_arrays(cuts, rare), "gram_times": pa.ListArray.from_arrays(cuts, times)}
             count = np.diff(ends, prepend=0)
             owner = np.repeat(np.arange(n), count)

@@ -75,7 +75,8 @@ def positions(text):
 def docs():
     rng = random.Random(1)
     out = [(i, " ".join(rng.choices(["th", "the", "Ön", "a\tb", "zz"], k=rng.randrange(6)))) for i in range(24)]
-    return out + [(30, None), (31, ""), (None, "the A"), (4, out[4][1]), (40, "never Seen ü")]
+    out += [(30, None), (31, ""), (None, "the A"), (4, out[4][1]), (40, "never Seen ü")]
+    return out + [(d, " ".join(rng.choices(["th", "a", "rare", "bb", "Ön"], k=250))) for d in (51, 52, 55, 59)]  # long for the batches
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -83,6 +84,8 @@ def test_scores(spark, docs, small, monkeypatch):
     if small:  # most words and grams are joined, not broadcast
         monkeypatch.setattr(trees, "WORDS", 1)
         monkeypatch.setattr(trees, "GRAMS", 5)
+        monkeypatch.setattr(trees, "BATCH", 40)  # and long texts are coded in parts
+        monkeypatch.setattr(trees, "HELD", 20)
     df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n long, word string")
     got = trees.score(df).collect()
     model, seen = Sequential(), Counter()
@@ -123,4 +126,8 @@ def test_lookup():
         table.add(keys[::2][part], part.astype(np.float32))
     value, unknown = table.find(keys)
     assert value[::2].tolist() == list(range(len(keys[::2]))) and unknown.tolist() == list(range(1, len(keys), 2))
+    roomy = trees.Lookup(np.float32, len(keys))
+    places = len(roomy.keys)
+    roomy.add(keys, np.arange(len(keys), dtype=np.float32))
+    assert len(roomy.keys) == places < 2 * len(keys) and roomy.find(keys)[0].tolist() == list(range(len(keys)))
     assert trees.Lookup(np.int64).find(keys[:3])[1].tolist() == [0, 1, 2]
