@@ -11,13 +11,14 @@ letter here. Bundles of a batch are one matrix product: counts of the batch's tr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgergraph.llm.common import pieces
+from ledgergraph.llm.common import Lookup, pieces
 
 DIM = 1024
 SEED = 71
@@ -25,14 +26,14 @@ BATCH, ROWS = 1_000_000, 512  # bytes and texts that are bundled at once
 PART = 1 << 20  # code points of a long text that are bundled at once
 WIDTH = 1 << 12  # trigrams that one matrix product takes
 DIRECT = 1 << 22  # trigrams that an alphabet can have and still be counted in a table
-KNOWN = 1 << 14  # trigrams whose vectors a task keeps: 64 MB
+KNOWN = 1 << 14  # trigrams whose vectors a worker keeps: 64 MB
 MOST_LANGUAGES = 2048  # profiles are broadcast: 8 KB each, 16 MB at most
 UNKNOWN = "und"
 BLANK = 32
 
 
 class Letters:
-    """Random vectors of letters, and which code points are letters; both are found once per task."""
+    """Random vectors of letters, and which code points are letters."""
 
     def __init__(self) -> None:
         self.kind = np.full(0x110000, -1, np.int8)  # -1: not asked yet
@@ -54,22 +55,28 @@ class Letters:
 
 
 class Trigrams:
-    """Vectors of the trigrams that a task has met, in order of their codes; forgotten when there are too many."""
+    """Vectors of the trigrams that a worker has met, a row each; forgotten when there are too many."""
 
     def __init__(self) -> None:
         self.letters = Letters()
-        self.codes, self.vectors = np.zeros(0, np.int64), np.zeros((0, DIM), np.float32)
-
-    def places(self, codes: np.ndarray) -> np.ndarray:
-        """Rows of ``vectors`` of distinct ascending codes, which are added where they are new."""
-        new = codes[~np.isin(codes, self.codes, assume_unique=True)]
+        self.vectors = np.empty((KNOWN, DIM), np.float32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places, self.size = Lookup(np.int64), 0
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of ``vectors`` of at most ``KNOWN`` distinct codes, which are added where they are new."""
+        rows, new = self.places.find(codes)
+        if self.size + len(new) > KNOWN:
+            self._forget()
+            new = np.arange(len(codes))
         if len(new):
-            if len(self.codes) + len(new) > KNOWN:
-                self.codes, self.vectors, new = self.codes[:0], self.vectors[:0], codes
-            every = np.concatenate([self.codes, new])
-            order = np.argsort(every, kind="stable")
-            self.codes, self.vectors = every[order], np.concatenate([self.vectors, self.bound(new)])[order]
-        return np.searchsorted(self.codes, codes)
+            rows[new] = np.arange(self.size, self.size + len(new))
+            self.vectors[self.size:self.size + len(new)] = self.bound(codes[new])
+            self.places.add(codes[new], rows[new])
+            self.size += len(new)
+        return rows
 
     def bound(self, codes: np.ndarray) -> np.ndarray:
         out = np.ones((len(codes), DIM), np.float32)
@@ -80,6 +87,12 @@ class Trigrams:
         return out
 
 
+@cache
+def trigram_table() -> Trigrams:
+    """One table for each Python worker."""
+    return Trigrams()
+
+
 def symbols(letters: Letters, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Letters and single blanks of all texts and the text each is of, in parts of bounded size, however long a text is.
 
@@ -120,12 +133,14 @@ def bundles(known: Trigrams, texts: list[str], group: np.ndarray, n: int) -> np.
     out = np.zeros((n, DIM))
     for z, of in symbols(known.letters, texts):
         distinct, kind, owner = trigrams(z, of)
-        for at in range(0, len(distinct), WIDTH):
-            columns = distinct[at:at + WIDTH]
-            mine = (kind >= at) & (kind < at + WIDTH)
-            counts = np.bincount(group[owner[mine]] * len(columns) + kind[mine] - at, minlength=n * len(columns))
-            places = known.places(columns)
-            out += counts.reshape(n, -1).astype(np.float32) @ known.vectors[places]  # whole numbers below 2^24: exact
+        for at in range(0, len(distinct), KNOWN):
+            mine = slice(None) if len(distinct) <= KNOWN else (kind >= at) & (kind < at + KNOWN)
+            row, to = known.rows(distinct[at:at + KNOWN])[kind[mine] - at], group[owner[mine]]
+            for low in range(0, known.size, WIDTH):
+                width = min(WIDTH, known.size - low)
+                some = slice(None) if known.size <= WIDTH else (row >= low) & (row < low + width)
+                counts = np.bincount(to[some] * width + row[some] - low, minlength=n * width)
+                out += counts.reshape(n, -1).astype(np.float32) @ known.vectors[low:low + width]  # whole numbers below 2^24: exact
     return out
 
 
@@ -145,7 +160,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """``lang string, at int, value long``: the bundle of each language of ``docs (text, lang)``, one row per dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = Trigrams(), {}
+        known, sums = trigram_table(), {}
         for batch in parts(batches):
             langs = batch.column(1).dictionary_encode()
             found = bundles(known, batch.column(0).to_pylist(), langs.indices.to_numpy().astype(np.int64), len(langs.dictionary))
@@ -181,7 +196,7 @@ def predict(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((np.array([*languages, UNKNOWN], object), matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (names, directions) = Trigrams(), shared.value
+        known, (names, directions) = trigram_table(), shared.value
         for batch in parts(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             found = bundles(known, texts, np.arange(len(texts)), len(texts))

@@ -79,7 +79,7 @@ def test_very_long_text_in_parts(spark, monkeypatch):
         np.testing.assert_array_equal(languages.bundles(languages.Trigrams(), [text, "", text[:50]], np.array([0, 1, 2]), 3), [want, want * 0, bundle(text[:50])])
     monkeypatch.undo()
     monkeypatch.setattr(languages, "WIDTH", 8)
-    monkeypatch.setattr(languages, "KNOWN", 20)
+    monkeypatch.setattr(languages, "KNOWN", 60)
     np.testing.assert_array_equal(languages.bundles(languages.Trigrams(), [text], np.array([0]), 1), [want])
     long = "ing the to " * 300_000
     monkeypatch.undo()
