@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgergraph.session import scratch_folder
 
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that ``column`` holds at most ``limit`` bytes, or one row, in each."""
+    """Cut record batches so that ``column`` holds at most ``limit`` bytes, or one row, in each.
+
+    After the last one, the worker gives memory back that Arrow keeps for reuse; the worker lives on for other stages.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -61,6 +64,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def value_lengths(column: pa.Array) -> np.ndarray:

@@ -13,7 +13,7 @@ import regex
 
 from ledgergraph.llm.common import Lookup, ragged, words_of
 
-CACHED_PARTS = 2_000_000
+CACHED_PARTS = 500_000  # kept by a worker for all its tasks: about 35 MB
 _PART = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -46,9 +46,9 @@ class _Rows:
     def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
         ends = self.used + np.cumsum(lengths)
         if self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:self.used], np.zeros(2 * max(len(flat), self.used), np.uint32)])
+            self.flat = np.concatenate([self.flat[:self.used], np.zeros(max(len(flat), self.used // 2), np.uint32)])
         if self.rows + 1 + len(ends) > len(self.ends):
-            self.ends = np.concatenate([self.ends[:self.rows + 1], np.zeros(2 * max(len(ends), self.rows), np.int64)])
+            self.ends = np.concatenate([self.ends[:self.rows + 1], np.zeros(max(len(ends), self.rows // 2), np.int64)])
         self.flat[self.used:self.used + len(flat)] = flat
         self.ends[self.rows + 1:self.rows + 1 + len(ends)] = ends
         self.used, self.rows = self.used + len(flat), self.rows + len(ends)
