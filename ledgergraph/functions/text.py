@@ -63,6 +63,34 @@ def explode_matches(df: DataFrame, text: str, pattern: str, keep: list[str]) ->
             .select(*keep, text, "pos", "start", (F.col("start") + F.length("hit")).alias("end"), "hit"))
 
 
+def explode_runs(df: DataFrame, text: str, pattern: str, keep: list[str], most: int) -> DataFrame:
+    """One row per match with the matches that follow: keep..., run (array of start, end, word, at most ``most``).
+
+    The text isn't carried along, so the cost is linear in it, times ``most``.
+    """
+    cut = _cut(df, text, pattern, keep)
+    match = lambda z: F.struct((z["_starts"] + F.length(z["_gaps"])).alias("start"),
+                               (z["_starts"] + F.length(z["_gaps"]) + F.length(z["_hits"])).alias("end"), z["_hits"].alias("word"))
+    matches = F.transform(F.filter(F.arrays_zip("_starts", "_gaps", "_hits"), lambda z: z["_hits"].isNotNull()), match)
+    rows = cut.select(*keep, F.explode(F.array(matches)).alias("_m")).where(F.size("_m") > 0)
+    return rows.select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.size("_m")), lambda i: F.slice("_m", i, most))).alias("run"))
+
+
+CUT = 512
+
+
+def cut_line(text: Column) -> Column:
+    """A long text in pieces of ``CUT`` characters, for :func:`part_of`; a short one stays whole."""
+    return F.when(F.length(text) > 2 * CUT, chunks(text, CUT)).otherwise(F.array(text))
+
+
+def part_of(cuts: Column, at: Column, size: Column) -> Column:
+    """``size`` characters from position ``at`` (from 0) of a text in pieces, without going through the whole text."""
+    first = F.when(F.size(cuts) == 1, F.lit(0)).otherwise(F.floor(at / CUT).cast("int"))
+    some = F.array_join(F.slice(cuts, first + 1, F.floor(size / CUT).cast("int") + 2), "")
+    return F.substring(some, at - first * CUT + 1, size)
+
+
 def _with_margins(cut: DataFrame, margin: int, near: int = 8) -> DataFrame:
     """``_before`` and ``_after`` of each gap, up to ``margin`` characters, from the ends of the pieces around it.
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgergraph.catalog import kinds, relations
-from ledgergraph.functions.text import explode_matches, explode_sentences
+from ledgergraph.functions.text import cut_line, explode_matches, explode_runs, explode_sentences, part_of
 
-NUMBER = r"\d+(?:,\d+)*(?:\.\d+)?"
+# A number ends where a word ends. PLAIN_NUMBER goes back group by group to find that end, which takes a call for each
+# group; NUMBER takes a group only if it ends there, and finds the same numbers in lists of any length.
+PLAIN_NUMBER = r"\d+(?:,\d+)*(?:\.\d+)?"
+NUMBER = r"\d++(?:,\d++(?!\w))*+(?:\.\d++(?!\w))?"
 NAME = r"[A-Za-z]+#[0-9]+"
 CONTEXT = 50
 WINDOW = 100
@@ -21,32 +25,43 @@ def _word_pattern(heads: str, tails: str) -> str:
     return rf"(?:{'|'.join(heads.split())}){tail}\b"
 
 
-def label_patterns() -> list[tuple[str, str]]:
+def label_patterns(number: str = NUMBER) -> list[tuple[str, str]]:
     """(label, pattern) in the order in which they are tried at a position."""
     scales = "|".join(relations.CURRENCY_SCALES.split())
     out = [("COMPANY", NAME),
            ("DATE", r"\d{4}-\d{2}-\d{2}\b"),
-           ("PERCENTAGE", rf"{NUMBER} ?%"),
-           ("CURRENCY", rf"[{relations.CURRENCY_SIGNS}]?{NUMBER}(?: (?:{scales}))?\b")]
+           ("PERCENTAGE", rf"{number} ?%"),
+           ("CURRENCY", rf"[{relations.CURRENCY_SIGNS}]?{number}(?: (?:{scales}))?\b")]
     return out + [(label, _word_pattern(h, t)) for label, h, t in relations.MENTION_WORDS]
 
 
-def mention_pattern() -> str:
+def mention_pattern(number: str = NUMBER) -> str:
     """One alternation over all labels, so that matches do not overlap.
 
     A match starts with a currency sign or at the start of a word; asking for that first keeps the search short.
     """
-    return rf"(?i)[{relations.CURRENCY_SIGNS}]{NUMBER}(?: (?:{'|'.join(relations.CURRENCY_SCALES.split())}))?\b" \
-           rf"|\b(?:{'|'.join(p for _, p in label_patterns())})"
+    return rf"(?i)[{relations.CURRENCY_SIGNS}]{number}(?: (?:{'|'.join(relations.CURRENCY_SCALES.split())}))?\b" \
+           rf"|\b(?:{'|'.join(p for _, p in label_patterns(number))})"
+
+
+NUMERIC = ("DATE", "PERCENTAGE", "CURRENCY")
 
 
 def label_of(hit: Column) -> Column:
-    """The label whose pattern the whole match satisfies, first pattern first."""
-    out = None
-    for label, pattern in label_patterns():
-        test = hit.rlike(f"(?i)^(?:{pattern})$")
-        out = F.when(test, F.lit(label)) if out is None else out.when(test, F.lit(label))
-    return out
+    """The label whose pattern the whole match satisfies, first pattern first.
+
+    The first character tells whether the patterns of numbers or those of words are to be tried.
+    """
+    def first(labels: list[tuple[str, str]]) -> Column:
+        out = None
+        for label, pattern in labels:
+            test = hit.rlike(f"(?i)^(?:{pattern})$")
+            out = F.when(test, F.lit(label)) if out is None else out.when(test, F.lit(label))
+        return out
+
+    every = label_patterns()
+    numeric = F.substring(hit, 1, 1).rlike(rf"[\d{relations.CURRENCY_SIGNS}]")
+    return F.when(numeric, first([p for p in every if p[0] in NUMERIC])).otherwise(first([p for p in every if p[0] not in NUMERIC]))
 
 
 def confidence(text: Column, label: Column) -> Column:
@@ -69,21 +84,30 @@ def find_mentions(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     crosses a sentence end, which keeps the cost linear in the text. No shuffle.
     """
     ids = list(keep)
-    more = per_sentence or {}
-    sents = explode_sentences(docs, text, ids, margin=CONTEXT).select(
-        *ids, "sent_id", F.col("start").alias("sent_start"), "sentence", "before", "after",
-        *[make(F.col("sentence")).alias(name) for name, make in more.items()])
-    hits = explode_matches(sents, "sentence", mention_pattern(),
-                           [*ids, "sent_id", "sent_start", "before", "after", *more])
-    around = F.concat("before", "sentence", "after")
-    at = F.length("before") + F.col("start")
+    sents = _lines(docs, text, ids, per_sentence or {})
+    rest = [c for c in sents.columns if c != "sentence"]
+    hits = explode_matches(sents, "sentence", mention_pattern(), rest)
+    return _shown(hits.withColumn("type", label_of(F.col("hit"))), ids, reach, list(per_sentence or {}))
+
+
+def _lines(docs: DataFrame, text: str, ids: list[str], more: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Sentences with their margins, cut for quick access: ids..., sent_id, sent_start, size, lead (characters before the
+    sentence), line (the cuts), sentence and the columns of ``more``."""
+    sents = explode_sentences(docs, text, ids, margin=CONTEXT)
+    return sents.select(
+        *ids, "sent_id", F.col("start").alias("sent_start"), (F.col("end") - F.col("start")).alias("size"), F.length("before").alias("lead"),
+        cut_line(F.concat("before", "sentence", "after")).alias("line"), "sentence", *[make(F.col("sentence")).alias(name) for name, make in more.items()])
+
+
+def _shown(spans: DataFrame, ids: list[str], reach: int, more: list[str]) -> DataFrame:
+    """The columns of :func:`find_mentions` for spans (start, end, type) in lines."""
+    line, at, size = F.col("line"), F.col("lead") + F.col("start"), F.col("end") - F.col("start")
     left = F.least(at, F.lit(CONTEXT))
-    return hits.withColumn("type", label_of(F.col("hit"))).select(
-        *ids, "sent_id", (F.col("sent_start") + F.col("start")).alias("start"),
-        (F.col("sent_start") + F.col("end")).alias("end"), F.col("hit").alias("text"), "type",
-        confidence(F.col("hit"), F.col("type")).alias("confidence"),
-        F.substring(around, at - left + 1, left + F.length("hit") + CONTEXT).alias("context"),
-        F.substring(F.col("sentence"), F.col("start") + 1, F.lit(reach)).alias("ahead"), *more)
+    hit = F.col("hit") if "hit" in spans.columns else part_of(line, at, size)
+    return spans.select(
+        *ids, "sent_id", (F.col("sent_start") + F.col("start")).alias("start"), (F.col("sent_start") + F.col("end")).alias("end"),
+        hit.alias("text"), "type", confidence(hit, F.col("type")).alias("confidence"), part_of(line, at - left, left + size + CONTEXT).alias("context"),
+        part_of(line, at, F.least(F.lit(reach), F.col("size") - F.col("start"))).alias("ahead"), *more)
 
 
 def known_labels(mentions: DataFrame) -> DataFrame:
@@ -115,51 +139,47 @@ def known_names(docs: DataFrame, names: DataFrame, text: str = "text", keep: tup
     """Names of any form in every text, with the columns of :func:`find_mentions`.
 
     ``names`` has a name and, if names are not all of companies, a label. Text and names are compared word by word, in
-    lower case and without the marks around words. Words of the text that begin a name are found first, then the
-    runs of words as long as such names are; both are equi-joins. Within a sentence the match that begins first wins,
-    and of those the longest. A name does not go beyond a sentence.
+    lower case and without the marks around words. Each word of the text that begins a name brings the words that follow
+    it, as many as the longest name has; runs of as many words as the names with that first word have are looked up. Both
+    look-ups are equi-joins of narrow rows, so the cost is linear in the text. Within a sentence the match that begins
+    first wins, and of those the longest. A name does not go beyond a sentence.
     """
     ids = list(keep)
     label = F.col("label") if "label" in names.columns else F.lit("COMPANY")
     known = (names.select(name_words(F.col("name")).alias("_w"), label.alias("label")).where(F.size("_w") > 0)
              .groupBy("_w").agg(F.min("label").alias("type")).select(F.array_join("_w", " ").alias("_name"), "_w", "type"))
     heads = known.groupBy(F.element_at("_w", 1).alias("_head")).agg(F.collect_set(F.size("_w")).alias("_sizes"))
-    more = per_sentence or {}
-    sents = explode_sentences(docs, text, ids, margin=CONTEXT).withColumnRenamed("start", "sent_start")
-    words = explode_matches(sents, "sentence", NAME_WORD, [*ids, "sent_id", "sent_start", "before", "after"])
-    begun = words.withColumn("_head", F.lower("hit")).join(heads, "_head")
-    rest = F.substr(F.col("sentence"), F.col("start") + 1)
-    run = (begun.withColumn("_n", F.explode("_sizes"))
-           .withColumn("_hit", F.regexp_extract(rest, r"^\S+(?:\s+\S+)*", 0)))
-    run = run.withColumn("_parts", F.regexp_extract_all(F.col("_hit"), F.lit(NAME_WORD), F.lit(0)))
-    run = run.where(F.size("_parts") >= F.col("_n")).withColumn("_name", F.lower(F.array_join(F.slice("_parts", F.lit(1), F.col("_n")), " ")))
-    found = run.join(known.select("_name", "type"), "_name")
-    # The end is that of the last of n words: what a split after n words leaves is cut from the rest of the sentence.
-    gaps = F.slice(F.split("_hit", NAME_WORD, -1), F.lit(1), F.col("_n"))
-    size = F.aggregate(F.zip_with(gaps, F.slice("_parts", F.lit(1), F.col("_n")), lambda g, w: F.length(g) + F.length(w)), F.lit(0), lambda a, b: a + b)
-    found = found.withColumn("end", F.col("start") + size)
-    span = F.struct("start", (-F.col("end")).alias("last"), "end", "type")
-    group = found.groupBy(*ids, "sent_id", "sent_start", "sentence", "before", "after").agg(F.array_sort(F.collect_set(span)).alias("_all"))
+    most = known.agg(F.max(F.size("_w"))).first()[0] or 1
+    key = [*ids, "sent_id"]
+    sents = explode_sentences(docs, text, ids).select(*key, "sentence")
+    begun = explode_runs(sents, "sentence", NAME_WORD, key, most).withColumn("_head", F.lower(F.element_at("run", 1)["word"])).join(heads, "_head")
+    runs = begun.select(*key, "run", F.explode("_sizes").alias("_n")).where(F.size("run") >= F.col("_n"))
+    name = F.array_join(F.transform(F.slice("run", F.lit(1), F.col("_n")), lambda w: F.lower(w["word"])), " ")
+    spans = runs.select(*key, F.element_at("run", 1)["start"].alias("start"), F.get("run", F.col("_n") - 1)["end"].alias("end"), name.alias("_name"))
+    longest = spans.join(known.select("_name", "type"), "_name").groupBy(*key, "start").agg(F.max(F.struct("end", "type")).alias("_m"))
+    # Matches that hang together by overlaps are one group; within it they are taken in order.
+    order = Window.partitionBy(*key).orderBy("start")
+    before = F.max("_m.end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    groups = longest.withColumn("_new", F.when(F.col("start") < before, 0).otherwise(1)).withColumn("_group", F.sum("_new").over(order))
+    every = F.array_sort(F.collect_list(F.struct("start", F.col("_m.end").alias("end"), F.col("_m.type").alias("type"))))
     taken = F.aggregate("_all", F.filter("_all", lambda s: F.lit(False)),
                         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), acc).otherwise(F.concat(acc, F.array(s))))
-    rows = group.select(*ids, "sent_id", "sent_start", "sentence", "before", "after", F.explode(taken).alias("_s")).select("*", "_s.start", "_s.end", "_s.type")
-    hit = F.substr(F.col("sentence"), F.col("start") + 1, F.col("end") - F.col("start"))
-    around, at = F.concat("before", "sentence", "after"), F.length("before") + F.col("start")
-    left = F.least(at, F.lit(CONTEXT))
-    return rows.select(
-        *ids, "sent_id", (F.col("sent_start") + F.col("start")).alias("start"), (F.col("sent_start") + F.col("end")).alias("end"),
-        hit.alias("text"), "type", confidence(hit, F.col("type")).alias("confidence"),
-        F.substring(around, at - left + 1, left + F.length(hit) + CONTEXT).alias("context"),
-        F.substring(F.col("sentence"), F.col("start") + 1, F.lit(reach)).alias("ahead"),
-        *[make(F.col("sentence")).alias(name) for name, make in more.items()])
+    rows = groups.groupBy(*key, "_group").agg(every.alias("_all")).select(*key, F.inline(taken))
+    lines = _lines(docs, text, ids, per_sentence or {}).drop("sentence")
+    return _shown(_joined(rows, lines, key, "inner"), ids, reach, list(per_sentence or {}))
+
+
+def _joined(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys of which null ones are equal, with the keys of ``a``."""
+    other = b.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in b.columns])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return a.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def with_names(mentions: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
     """Mentions with names from a dictionary in place of company candidates; what overlaps a name goes."""
     m, n = mentions.filter("type <> 'COMPANY'").alias("m"), found.alias("n")
-    same = F.lit(True)
-    for k in (*keys, "sent_id"):
-        same = same & (F.col(f"m.{k}") == F.col(f"n.{k}"))
+    same = reduce(lambda x, y: x & y, [F.col(f"m.{k}").eqNullSafe(F.col(f"n.{k}")) for k in (*keys, "sent_id")])
     apart = m.join(n, same & (F.col("m.start") < F.col("n.end")) & (F.col("n.start") < F.col("m.end")), "left_anti")
     return apart.unionByName(found.select(*mentions.columns))
 

@@ -161,7 +161,7 @@ def sentences(source: str, keys: str, name: str = "sents") -> str:
 
 def label_case(column: str) -> str:
     whens = " ".join(f"WHEN regexp_full_match({column}, {text_literal('(?i)' + p)}) THEN '{label}'"
-                     for label, p in m.label_patterns())
+                     for label, p in m.label_patterns(m.PLAIN_NUMBER))
     return f"CASE {whens} END"
 
 
@@ -176,7 +176,7 @@ def mentions(source: str, keys: str, text: str = "text", names: bool = True) ->
     known = "WHERE type <> 'COMPANY' OR lower(text) IN (SELECT lower(c_name) FROM customer UNION " \
             "SELECT lower(s_name) FROM supplier)" if names else ""
     return (sentences(source, f"{keys}, {text}") + ", "
-            + pieces("sents", f"{keys}, {text}, sent_id, sent_start", m.mention_pattern(), "mp", "sentence") + f""",
+            + pieces("sents", f"{keys}, {text}, sent_id, sent_start", m.mention_pattern(m.PLAIN_NUMBER), "mp", "sentence") + f""",
 labelled AS (
   SELECT {keys}, {text} AS doc_text, sent_id, sent_start + gap_start + length(gap) AS "start",
     sent_start + gap_start + length(gap) + length(hit) AS "end", hit AS text, {label_case('hit')} AS type
