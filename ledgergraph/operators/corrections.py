@@ -121,71 +121,134 @@ def repeated(entities: DataFrame, fields: list[str]) -> DataFrame:
     return rows.join(again, names).select("id", "times")
 
 
-def _step(props: Column, c: Column) -> Column:
-    """One correction (strategy, field, params) on a property map; the map as it was if it does not apply."""
-    field, params = c["field"], c["params"]
-    there, old = F.map_contains_key(props, field), F.try_element_at(props, field)
-
+def _changed(old: Column, strategy: Column, params: Column) -> Column:
+    """The value that a format, a conversion or an adjustment makes of another one; null if it can't."""
     def param(name: str) -> Column:
         return F.try_element_at(params, F.lit(name))
-    low, high, now = (param("min").try_cast("double"), param("max").try_cast("double"), old.try_cast("double"))
-    kind = param("type")
-    new = (F.when(c["strategy"] == "update", param("value"))
-           .when(c["strategy"] == "format", F.replace(param("format"), F.lit("{}"), old))
-           .when(c["strategy"] == "convert",
-                 F.when(kind == "int", old.try_cast("double").cast("bigint").cast("string"))
-                 .when(kind == "float", now.cast("string"))
-                 .when(kind == "bool", (F.length(old) > 0).cast("string"))
-                 .when(kind == "date", F.trim(old).try_cast("timestamp_ntz").cast("string")).otherwise(old))
-           .when(c["strategy"] == "adjust",
-                 F.when(low.isNotNull() & high.isNotNull(), F.greatest(low, F.least(now, high)).cast("string"))))
-    rest = F.map_filter(props, lambda k, _: k != field)
-
-    def with_value(v: Column) -> Column:
-        return F.map_concat(rest, F.map_from_arrays(F.array(field), F.array(v)))
-    return (F.when((c["strategy"] == "add") & ~there, with_value(param("value")))
-            .when((c["strategy"] == "remove") & there, rest)
-            .when(c["strategy"].isin("update", "format", "convert", "adjust") & there, with_value(F.coalesce(new, old)))
-            .otherwise(props))
+    low, high, now = param("min").try_cast("double"), param("max").try_cast("double"), old.try_cast("double")
+    kind, form = param("type"), param("format")
+    return (F.when(strategy == "format", F.when(form.isNull(), old).otherwise(F.replace(form, F.lit("{}"), old)))
+            .when(strategy == "convert",
+                  F.when(kind == "int", now.cast("bigint").cast("string"))
+                  .when(kind == "float", now.cast("string"))
+                  .when(kind == "bool", (F.length(old) > 0).cast("string"))
+                  .when(kind == "date", F.trim(old).try_cast("timestamp_ntz").cast("string")).otherwise(old))
+            .when(strategy == "adjust", F.when(now.isNull(), F.lit(None)).when(
+                low.isNotNull() & high.isNotNull(), F.greatest(low, F.least(now, high)).cast("string")).otherwise(old)))
+
+
+TAIL = ["format", "convert", "adjust"]
+
+
+def logged_values(entities: DataFrame, corrections: DataFrame) -> DataFrame:
+    """``id, field, there, value``: what the active corrections of a log make of each field that they name.
+
+    Corrections of a field work in order of priority, then id, and touch no other field. So a field's log is cut by
+    aggregates: what comes before its last removal doesn't count, nor what comes before the last update after that, and
+    an addition counts if the field isn't there yet. Only the formats, conversions and adjustments after these points
+    are put in order and worked through, field by field; the log of a subject never meets in one row.
+    """
+    key, order = ["id", "field"], F.struct("priority", "correction_id")
+    fields = entities.select("id", F.map_keys("properties").alias("_fields"))
+    log = corrections.filter("is_active").select(F.col("subject_id").alias("id"), "field", "strategy", "params", order.alias("at"))
+    log = log.join(fields, "id").select(*key, "strategy", "params", "at", F.coalesce(F.array_contains("_fields", F.col("field")), F.lit(False)).alias("had"))
+    kind = F.col("strategy")
+
+    def of(name: str, value: Column | str = "at") -> Column:
+        return F.when(kind == name, F.col(value) if isinstance(value, str) else value)
+
+    removed = log.groupBy(*key).agg(F.max(of("remove")).alias("removed"))
+    rows = log.join(removed, key).where(F.col("removed").isNull() | (F.col("at") > F.col("removed")) | ((kind == "remove") & (F.col("at") == F.col("removed"))))
+    given = F.try_element_at("params", F.lit("value"))
+    begun = rows.groupBy(*key).agg(
+        F.first("removed").alias("_removed"), F.first("had").alias("_had"), F.min(of("add")).alias("_added"), F.min_by(given, of("add")).alias("_first"))
+    begun = begun.select(*key, (F.col("_had") & F.col("_removed").isNull()).alias("_kept"), "_added", "_first")
+    rows = rows.join(begun, key).where(F.col("_kept") | (F.col("at") >= F.col("_added")))
+    effective = (kind == "update") & given.isNotNull()
+    updated = rows.groupBy(*key).agg(F.max(F.when(effective, F.col("at"))).alias("_updated"), F.max_by(given, F.when(effective, F.col("at"))).alias("_new"))
+    tail = rows.join(updated, key).where(kind.isin(*TAIL) & (F.col("_updated").isNull() | (F.col("at") > F.col("_updated"))))
+    step = F.struct("at", "strategy", F.map_entries("params").alias("pairs"))
+    steps = tail.groupBy(*key).agg(F.sort_array(F.collect_list(step)).alias("_steps"))
+    base = begun.join(updated, key, "left").join(steps, key, "left").join(entities.select("id", "properties"), "id")
+    old = F.when(F.col("_updated").isNotNull(), F.col("_new")).when(F.col("_kept"), F.try_element_at("properties", F.col("field"))).otherwise(F.col("_first"))
+    start = base.select(*key, (F.col("_kept") | F.col("_added").isNotNull()).alias("there"), old.alias("_old"), "_steps")
+    value = F.aggregate("_steps", F.col("_old"), lambda v, c: F.coalesce(_changed(v, c["strategy"], F.map_from_entries(c["pairs"])), v))
+    return start.select(*key, "there", F.coalesce(value, F.col("_old")).alias("value"))
+
+
+def with_values(entities: DataFrame, values: DataFrame) -> DataFrame:
+    """Entities with the properties of ``values`` (id, field, there, value) in place of their own."""
+    touched = values.groupBy("id").agg(F.collect_set("field").alias("_touched"),
+                                       F.collect_list(F.when(F.col("there"), F.struct("field", "value"))).alias("_now"))
+    rest = F.map_filter("properties", lambda k, _: ~F.array_contains("_touched", k))
+    fixed = F.map_concat(rest, F.map_from_entries("_now"))
+    return entities.join(touched, "id", "left").withColumn(
+        "properties", F.when(F.col("_touched").isNull(), F.col("properties")).otherwise(fixed)).select(*entities.columns)
 
 
 def apply_logged(entities: DataFrame, corrections: DataFrame) -> DataFrame:
     """Entities after their active corrections (correction_id, subject_id, strategy, field, params, priority, is_active).
 
-    Corrections of one entity work in order of priority, then id; "add" without a value adds a null.
+    Corrections of one entity work in order of priority, then id; "add" without a value adds a null. What cannot be
+    read as the number or date that a correction needs stays as it is.
     """
-    entry = F.struct("priority", "correction_id", "strategy", "field", F.map_entries("params").alias("pairs"))
-    todo = (corrections.filter("is_active").groupBy(F.col("subject_id").alias("id"))
-            .agg(F.sort_array(F.collect_list(entry)).alias("_sorted"))
-            .select("id", F.transform("_sorted", lambda x: F.struct(
-                x["strategy"].alias("strategy"), x["field"].alias("field"),
-                F.map_from_entries(x["pairs"]).alias("params"))).alias("_todo")))
-    joined = entities.join(todo, "id", "left")
-    fixed = F.aggregate("_todo", F.col("properties"), _step)
-    return joined.withColumn("properties", F.coalesce(fixed, F.col("properties"))).select(*entities.columns)
+    return with_values(entities, logged_values(entities, corrections))
 
 
 def suggest(findings: DataFrame) -> DataFrame:
-    """The correction each finding suggests, as a correction table. Ids come from what is corrected."""
+    """The correction each finding suggests, as a correction table. Ids come from what is corrected.
+
+    A conversion is one to a number, and an adjustment one to the range of the check.
+    """
+    params = (F.when(F.col("action") == "convert", F.create_map(F.lit("type"), F.lit("float")))
+              .when(F.col("action") == "adjust", F.create_map(F.lit("min"), F.col("min").cast("string"), F.lit("max"), F.col("max").cast("string")))
+              .otherwise(F.create_map().cast("map<string,string>")))
     return findings.select(
         F.sha2(F.concat_ws("|", "subject_id", "rule", "check", "field", "action", "message"), 256).alias("correction_id"),
-        "subject_id", "rule", F.col("action").alias("strategy"), "field",
-        F.create_map().cast("map<string,string>").alias("params"), F.lit(0).alias("priority"),
+        "subject_id", "rule", F.col("action").alias("strategy"), "field", params.alias("params"), F.lit(0).alias("priority"),
         F.lit(True).alias("is_active"))
 
 
-def with_status(suggested: DataFrame, entities: DataFrame, auto_apply: bool) -> DataFrame:
-    """Each suggested correction with what became of it: suggested, applied, or failed.
+def worked_through(suggested: DataFrame, entities: DataFrame) -> DataFrame:
+    """``subject_id, field, there, value, steps`` after all suggested corrections of a field, in order.
 
-    An adjustment of a value that is not a number is the one that can fail when applied.
+    ``steps`` has each correction with its status: failed if the value it found was no number or date, applied otherwise.
+    An entity has as many suggestions for a field as the rules have checks of it.
     """
+    step = F.struct("priority", "correction_id", "rule", "strategy", F.map_entries("params").alias("pairs"))
+    todo = suggested.filter("is_active").groupBy("subject_id", "field").agg(F.sort_array(F.collect_list(step)).alias("_todo"))
+    rows = todo.join(entities.select(F.col("id").alias("subject_id"), "properties"), "subject_id", "left")
+    had = F.coalesce(F.map_contains_key("properties", F.col("field")), F.lit(False))
+    old = F.try_element_at("properties", F.col("field"))
+    nothing = F.filter(F.transform("_todo", lambda c: F.struct(c["correction_id"].alias("correction_id"), c["rule"].alias("rule"),
+                                                               c["strategy"].alias("strategy"), F.lit("").alias("status"))), lambda c: F.lit(False))
+
+    def work(state: Column, c: Column) -> Column:
+        strategy, params, there, now = c["strategy"], F.map_from_entries(c["pairs"]), state["there"], state["value"]
+        given, tried = F.try_element_at(params, F.lit("value")), _changed(now, strategy, params)
+        failed = there & strategy.isin("convert", "adjust") & tried.isNull()
+        value = (F.when((strategy == "add") & ~there, given).when((strategy == "update") & there, F.coalesce(given, now))
+                 .when(strategy.isin(*TAIL) & there, F.coalesce(tried, now)).otherwise(now))
+        status = F.struct(c["correction_id"].alias("correction_id"), c["rule"].alias("rule"), strategy.alias("strategy"),
+                          F.when(failed, "failed").otherwise("applied").alias("status"))
+        return F.struct(((strategy == "add") | (there & (strategy != "remove"))).alias("there"), value.alias("value"),
+                        F.concat(state["steps"], F.array(status)).alias("steps"))
+
+    start = F.struct(had.alias("there"), old.alias("value"), nothing.alias("steps"))
+    return rows.select("subject_id", "field", F.aggregate("_todo", start, work).alias("z")).select("subject_id", "field", "z.*")
+
+
+def with_status(suggested: DataFrame, entities: DataFrame, auto_apply: bool) -> DataFrame:
+    """Each suggested correction with what became of it: suggested, or applied or failed once it was tried."""
     if not auto_apply:
-        return suggested.withColumn("status", F.lit("suggested"))
-    props = entities.select(F.col("id").alias("subject_id"), "properties")
-    value = F.try_element_at("properties", F.col("field"))
-    fails = (F.col("strategy") == "adjust") & value.isNotNull() & number(value).isNull()
-    return (suggested.join(props, "subject_id", "left")
-            .withColumn("status", F.when(fails, "failed").otherwise("applied")).drop("properties"))
+        return suggested.select("subject_id", "field", "correction_id", "rule", "strategy", F.lit("suggested").alias("status"))
+    return worked_through(suggested, entities).select("subject_id", "field", F.inline("steps"))
+
+
+def apply_suggested(entities: DataFrame, suggested: DataFrame) -> DataFrame:
+    """Entities after their suggested corrections; one that fails leaves the value."""
+    done = worked_through(suggested, entities)
+    return with_values(entities, done.select(F.col("subject_id").alias("id"), "field", "there", "value"))
 
 
 def batch_totals(status: DataFrame, entities: DataFrame) -> DataFrame:

@@ -98,14 +98,14 @@ def validate_domain(vertices: DataFrame, checks: DataFrame, domain: str) -> Data
 
 
 def findings(validated: DataFrame) -> DataFrame:
-    """One row per finding: subject_id, type, rule, check, level, field, action, message."""
+    """One row per finding: subject_id, type, rule, check, level, field, action, message, and the range of the check."""
     rows = validated.select(F.col("id").alias("subject_id"), "type", F.explode("findings").alias("f")).select(
         "subject_id", "type", "f.*")
     check, field = F.col("check"), F.col("field")
     target = (F.when(check == "document", "documents").when(check == "compliance", "compliance_status")
               .when(check == "risk", "risk_assessment").otherwise(field))
     return rows.select("subject_id", "type", "rule", "check", "level", target.alias("field"), "action",
-                       _message(check, field, F.col("action")).alias("message"))
+                       _message(check, field, F.col("action")).alias("message"), "min", "max")
 
 
 def report(validated: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from ledgergraph.operators import validation as v
 from ledgergraph.plans import sql
 from ledgergraph.plans.registry import query
 from ledgergraph.plans.validation import ENTITIES
+from ledgergraph.session import scratch_folder
 from ledgergraph.sources import bindings as b
+from ledgergraph.sources import corrections_log
 from ledgergraph.sources.tables import table
 
 COMPANIES = """WITH co AS (
@@ -167,27 +169,80 @@ def k29_applied_log(spark, sf):
         F.map_contains_key(p, F.lit("founding_date")).alias("has_founding_date"))
 
 
-@query(ENTITIES + """ SELECT subject_id, rule, field, action AS strategy, 'applied' AS status FROM found""")
-def k30_suggested_corrections(spark, sf):
+# A suggested conversion fails on a value that is no number.
+_TRIED = ENTITIES + """, tried AS (SELECT f.*, CASE WHEN action = 'convert' AND TRY_CAST(p.value AS DOUBLE) IS NULL THEN 'failed'
+  ELSE 'applied' END AS status FROM found f LEFT JOIN vprops p ON p.id = f.subject_id AND p.key = f.field)"""
+
+
+def _suggested(spark, sf):
     verts = b.vertices(spark, sf)
-    found = v.findings(v.validate_entities(verts, frames.rule_checks(spark)))
-    return k.with_status(k.suggest(found), verts, auto_apply=True).select("subject_id", "rule", "field", "strategy", "status")
+    return k.suggest(v.findings(v.validate_entities(verts, frames.rule_checks(spark)))), verts
+
+
+@query(_TRIED + """ SELECT subject_id, rule, field, action AS strategy, status FROM tried""")
+def k30_suggested_corrections(spark, sf):
+    """Suggested corrections after they were tried."""
+    return k.with_status(*_suggested(spark, sf), auto_apply=True).select("subject_id", "rule", "field", "strategy", "status")
 
 
 @query("""
-SELECT 'C' || c_custkey || '' AS subject_id, CAST(4 + CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS BIGINT)
-  AS active FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'""")
+SELECT 'C' || c_custkey AS subject_id, CAST(4 + CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END
+    - CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS active,
+  CASE WHEN c_custkey % 5 = 0 THEN 'withdrawn' ELSE 'corrected' END AS state FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'""")
 def k31_correction_log(spark, sf):
-    """Active corrections per entity in the log."""
-    return _log(spark, sf).groupBy("subject_id").agg(F.count_if("is_active").alias("active"))
+    """Active corrections per entity in a stored log: written in two batches, some withdrawn by a third, read back."""
+    folder, log = scratch_folder(spark, "corrections"), _log(spark, sf)
+    first = F.col("priority") < 2
+    corrections_log.append(log.where(first), folder)
+    corrections_log.append(log.where(~first), folder)
+    gone = log.where("strategy = 'update' AND CAST(substring(subject_id, 2) AS BIGINT) % 5 = 0").select("correction_id")
+    corrections_log.withdraw(spark, gone, folder)
+    rows = corrections_log.read(spark, folder)
+    state = F.when(F.count_if(F.col("strategy").eqNullSafe("update") & F.col("is_active")) > 0, "corrected").otherwise("withdrawn")
+    return rows.groupBy("subject_id").agg(F.count_if("is_active").alias("active"), state.alias("state"))
+
+
+@query(COMPANIES + """SELECT id, CASE WHEN CAST(substring(id, 2) AS BIGINT) % 5 = 0 AND starts_with(id, 'C')
+  AND (amount < 0 OR industry = 'BUILDING') THEN 'corrected' ELSE industry END AS industry, name FROM co""")
+def k31_applied_by_id(spark, sf):
+    """Corrections chosen from a stored log by their id."""
+    folder = scratch_folder(spark, "corrections")
+    corrections_log.append(_log(spark, sf), folder)
+    chosen = table(spark, sf, "customer").where("c_custkey % 5 = 0").selectExpr("concat(c_custkey, '-b') AS correction_id")
+    log = corrections_log.read(spark, folder).join(chosen, "correction_id", "left_semi")
+    p = F.col("properties")
+    return k.apply_logged(_companies(spark, sf), log).select("id", get(p, "industry").alias("industry"), get(p, "name").alias("name"))
+
+
+def _batch(spark, sf, auto_apply: bool):
+    suggested, verts = _suggested(spark, sf)
+    return k.batch_totals(k.with_status(suggested, verts, auto_apply), verts).withColumn("success_rate", F.round("success_rate", 6))
 
 
-@query(ENTITIES + """, n AS (SELECT v.id, count(f.rule) AS c FROM vertices v LEFT JOIN found f ON f.subject_id = v.id
-  GROUP BY v.id)
-SELECT count(*) AS total_entities, count(*) AS corrected_entities, 0 AS failed_corrections,
-  CAST(sum(c) AS BIGINT) AS corrections, 100.0::DOUBLE AS success_rate FROM n""")
+_TOTALS = """, n AS (SELECT v.id, count(f.rule) AS c, count(f.rule) FILTER (status = 'failed') AS bad
+  FROM vertices v LEFT JOIN {0} f ON f.subject_id = v.id GROUP BY v.id)
+SELECT count(*) AS total_entities, count(*) FILTER (bad = 0) AS corrected_entities, count(*) FILTER (bad > 0) AS failed_corrections,
+  CAST(sum(c) AS BIGINT) AS corrections, round(100.0::DOUBLE * count(*) FILTER (bad = 0) / count(*), 6) AS success_rate FROM n"""
+
+
+@query(ENTITIES + ", offered AS (SELECT *, 'suggested' AS status FROM found)" + _TOTALS.format("offered"))
 def e10_batch_correction(spark, sf):
-    verts = b.vertices(spark, sf)
-    found = v.findings(v.validate_entities(verts, frames.rule_checks(spark)))
-    status = k.with_status(k.suggest(found), verts, auto_apply=False)
-    return k.batch_totals(status, verts)
+    """Totals of a batch whose corrections are only suggested: none can fail."""
+    return _batch(spark, sf, auto_apply=False)
+
+
+@query(_TRIED + _TOTALS.format("tried"))
+def e10_applied_corrections(spark, sf):
+    """Totals of a batch whose corrections are applied; words where numbers are due make some fail."""
+    return _batch(spark, sf, auto_apply=True)
+
+
+@query(COMPANIES + """SELECT id, round(greatest(CAST(revenue AS DOUBLE), 0), 2) AS revenue,
+  CASE WHEN TRY_CAST(employees AS DOUBLE) < 1 THEN '1.0' ELSE employees END AS employees, TRUE AS has_founding_date FROM co""")
+def e10_corrected_companies(spark, sf):
+    """Companies after the suggested corrections were applied."""
+    suggested, verts = _suggested(spark, sf)
+    p = F.col("properties")
+    return k.apply_suggested(verts.filter("type = 'Company'"), suggested).select(
+        "id", F.round(number(get(p, "revenue")), 2).alias("revenue"), get(p, "employees").alias("employees"),
+        F.map_contains_key(p, F.lit("founding_date")).alias("has_founding_date"))
