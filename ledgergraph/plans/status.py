@@ -9,9 +9,10 @@ from ledgergraph.operators import status as s
 from ledgergraph.plans import sql
 from ledgergraph.plans.quality import FACTS
 from ledgergraph.plans.registry import query
+from ledgergraph.session import scratch_folder
 from ledgergraph.sources import bindings as b
 from ledgergraph.sources.tables import table
-from ledgergraph.streaming import runs
+from ledgergraph.streaming import runs, tracker
 
 STATUS = f"WITH {sql.STATUS}"
 TEXT, SQLT = "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"
@@ -112,6 +113,77 @@ def s5_expired_stream(spark, sf):
     return out.select("document_id", stamp("expires"), "updates")
 
 
+# Every third failure clears its document. A spell ends by a clearing or a pause of a day; rows are the last event of each spell.
+TRACKED = STATUS + """, ev AS (SELECT *, 0 AS clears FROM status UNION ALL SELECT *, 1 FROM status WHERE status = 'failed' AND event_id % 3 = 0),
+o AS (SELECT *, lag(ts) OVER w AS past, lag(clears) OVER w AS cleared, lead(ts) OVER w AS next FROM ev
+  WINDOW w AS (PARTITION BY document_id ORDER BY ts, clears, event_id)),
+spell AS (SELECT *, sum(CASE WHEN past IS NULL OR cleared = 1 OR ts - past >= INTERVAL 24 HOUR THEN 1 ELSE 0 END)
+    OVER (PARTITION BY document_id ORDER BY ts, event_id) AS no FROM o WHERE clears = 0),
+sums AS (SELECT document_id, no, min(ts) AS start_time, max(ts) FILTER (status IN ('completed', 'failed')) AS end_time,
+  max_by(stage, (ts, event_id)) FILTER (stage IS NOT NULL) AS current_stage, count(error_message) AS retry_count, count(*) AS updates
+  FROM spell GROUP BY ALL),
+ends AS (SELECT s.document_id, s.no, status, progress, entities_processed, ts + INTERVAL 24 HOUR AS expires, next, ts AS last_at FROM spell s
+  QUALIFY row_number() OVER (PARTITION BY s.document_id, s.no ORDER BY ts DESC, event_id DESC) = 1),
+states AS (SELECT e.*, start_time, end_time, current_stage, retry_count, updates, CASE
+    WHEN next IS NULL THEN CASE WHEN expires > (SELECT max(ts) FROM status) THEN 'live' ELSE 'expired' END
+    WHEN next - last_at >= INTERVAL 24 HOUR THEN 'expired' ELSE 'ended' END AS kind FROM ends e JOIN sums USING (document_id, no))"""
+SLICES = 3
+
+
+def _tracked(spark, sf):
+    """The folder of a tracker that has read the events in slices of time, with a restart after each of them."""
+    schema = table(spark, sf, "events").schema
+    events = table(spark, sf, "events")
+    low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    width = ((high or 0) - (low or 0)) // SLICES + 1
+    no = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low or 0)) / width)
+    folder, parts = scratch_folder(spark, "slices"), scratch_folder(spark, "tracker")
+    for i in range(SLICES):
+        events.where(no == i).write.parquet(f"{folder}/slice-{i}")
+        rows = b.status_from_events(runs.file_stream(spark, folder, schema, files_per_batch=10_000).withColumn("ts", F.col("ts").cast("timestamp")))
+        again = b.status_from_events(runs.file_stream(spark, folder, schema, files_per_batch=10_000).withColumn("ts", F.col("ts").cast("timestamp")))
+        tracker.run_tracker(tracker.track(rows, again.where("status = 'failed' AND event_id % 3 = 0")), parts, every=2)
+    return parts
+
+
+@query(TRACKED + f"""
+SELECT document_id, status, progress, entities_processed, current_stage, retry_count, strftime(start_time, '{SQLT}') AS start_time,
+  strftime(end_time, '{SQLT}') AS end_time, strftime(expires, '{SQLT}') AS expires, updates FROM states WHERE kind = 'live'""")
+def s2_tracked_status(spark, sf):
+    """The live states of a stream that expires and clears them, read from its compacted table."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    t = tracker.live_states(spark, _tracked(spark, sf))
+    return t.select("document_id", "status", "progress", "entities_processed", "current_stage", "retry_count",
+                    stamp("start_time"), stamp("end_time"), stamp("expires"), "updates")
+
+
+@query(TRACKED + f"""
+SELECT document_id, status, strftime(expires, '{SQLT}') AS expires, retry_count, updates FROM states WHERE kind = 'expired'""")
+def s5_tracked_expiry(spark, sf):
+    """The states that have expired while the stream ran."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return tracker.expired_states(spark, _tracked(spark, sf)).select("document_id", "status", stamp("expires"), "retry_count", "updates")
+
+
+@query(TRACKED + """, done AS (SELECT s.*, CAST(epoch_us(s.ts) - epoch_us(u.start_time) AS DOUBLE) / 1000000 AS t
+  FROM spell s JOIN sums u USING (document_id, no) WHERE status = 'completed')
+SELECT (SELECT count(*) FROM sums) AS total_documents, count(*) AS processed_documents,
+  (SELECT count(*) FROM spell WHERE status = 'failed') AS failed_documents, CAST(sum(entities_processed) AS BIGINT) AS total_entities,
+  CAST(sum(relationships_processed) AS BIGINT) AS total_relationships, round(avg(t), 3) AS average_processing_time,
+  round(max(t), 3) AS peak_processing_time, round(count(*) / (SELECT count(*) FROM sums), 6) AS success_rate,
+  round(avg(entities_processed), 6) AS average_entities_per_document, round(count(*) * 3600 / sum(t), 6) AS processing_speed,
+  (SELECT string_agg(e, ';' ORDER BY e) FROM (SELECT error_message || ':' || count(*) AS e FROM spell WHERE error_message IS NOT NULL
+    GROUP BY error_message)) AS errors FROM done""")
+def s6_tracked_metrics(spark, sf):
+    """Processing metrics as the stream keeps them: sums of each batch, merged; a spell counts as a document."""
+    folder = _tracked(spark, sf)
+    e = tracker.running_errors(spark, folder).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "error_message", "errors"))), ";").alias("errors"))
+    return tracker.running_metrics(spark, folder).select(
+        e.scalar().alias("errors"), "total_documents", "processed_documents", "failed_documents", "total_entities", "total_relationships",
+                    *[F.round(c, 3).alias(c) for c in ("average_processing_time", "peak_processing_time")],
+                    *[F.round(c, 6).alias(c) for c in ("success_rate", "average_entities_per_document", "processing_speed")])
+
+
 @query(STATUS + """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, status, count(*) AS updates,
   CAST(sum(entities_processed) AS BIGINT) AS entities FROM status GROUP BY ALL""")

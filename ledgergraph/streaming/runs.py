@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -78,8 +81,43 @@ def run_to_table(stream: DataFrame, mode: str, folder: str | None = None) -> str
     return f"{folder}/table"
 
 
-def latest_rows(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """The last written row of each key of a table of updates."""
+def latest_rows(spark: SparkSession, folder: str, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """The last written row of each key of a table of updates; ``order`` tells rows of one batch apart.
+
+    Reads the newest base that :func:`compact` has written, and the batches after it.
+    """
+    upto, base = _newest_base(spark, folder)
+    rows = spark.read.parquet(folder)
+    if base is not None:
+        rows = rows.where(F.col("batch") > upto).unionByName(spark.read.parquet(base).select(*rows.columns))
+    cols = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = F.max_by(F.struct(*cols), F.struct("batch", *[o.alias(f"o{i}") for i, o in enumerate(order or [])]))
+    return rows.groupBy(*keys).agg(newest.alias("z"), F.max("batch").alias("batch")).select(*keys, "z.*", "batch").drop("batch")
+
+
+def _newest_base(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    try:
+        rows = spark.read.schema("upto long, base string").parquet(f"{folder}-bases/manifest").orderBy(F.desc("upto")).head(1)
+    except AnalysisException:
+        rows = []
+    return (rows[0].upto, f"{folder}-bases/{rows[0].base}") if rows else (-1, None)
+
+
+def compact(spark: SparkSession, folder: str, keys: list[str]) -> None:
+    """Write the last row of each key, as of the batches there are, as a new base.
+
+    Readers change over when the manifest names it, in one write. Rows keep the number of their batch.
+    """
+    upto, base = _newest_base(spark, folder)
     rows = spark.read.parquet(folder)
+    newest = rows.agg(F.max("batch")).first()[0]
+    if newest is None or newest == upto:
+        return
+    fresh = rows.where((F.col("batch") > upto) & (F.col("batch") <= newest))
+    if base is not None:
+        fresh = fresh.unionByName(spark.read.parquet(base).select(*rows.columns))
     cols = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("z")).select(*keys, "z.*")
+    live = F.max_by(F.struct(*cols, "batch"), F.struct("batch", *([F.col("kind") != "expired"] if "kind" in cols else [])))
+    name = f"base-{uuid.uuid4().hex}"
+    fresh.groupBy(*keys).agg(live.alias("z")).select(*keys, "z.*").write.parquet(f"{folder}-bases/{name}")
+    spark.createDataFrame([(int(newest), name)], "upto long, base string").coalesce(1).write.mode("append").parquet(f"{folder}-bases/manifest")
