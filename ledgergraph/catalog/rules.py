@@ -241,6 +241,11 @@ def _checks(rule: str, kind: str, spec: dict, enabled: bool = True) -> list[tupl
     return rows
 
 
+def domain_fields(spec: dict) -> list[str]:
+    """All fields that a rule looks at, in alphabetical order."""
+    return sorted({*spec.get("required", []), *spec.get("patterns", {}), *spec.get("metrics", []), *spec.get("metric_ranges", {})})
+
+
 def check_rows() -> list[tuple]:
     """One row per check of every rule; a domain rule also applies to entities when validated without a domain."""
     return [

@@ -42,7 +42,8 @@ def endpoint_validity(edges: DataFrame, bad_ends: DataFrame) -> DataFrame:
 
 def latest(facts: DataFrame) -> DataFrame:
     """The last fact of each series."""
-    last = F.max_by(F.struct("ts", "value", "threshold", "confidence_score"), F.struct(*ORDER))
+    more = [c for c in ("details",) if c in facts.columns]
+    last = F.max_by(F.struct("ts", "value", "threshold", "confidence_score", *more), F.struct(*ORDER))
     return facts.groupBy(*SERIES).agg(last.alias("z")).select(*SERIES, "z.*")
 
 
@@ -109,12 +110,16 @@ def impact(last: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def recommendations(last: DataFrame) -> DataFrame:
-    """Advice for the metrics that have one: action and urgency."""
+    """Advice for the metrics that have one and the detail that it is about: action, urgency and the detail.
+
+    ``last`` has the details of each metric as a map; advice without its detail is not given.
+    """
     kind = F.col("metric_type")
+    detail = reduce(lambda acc, a: F.when(kind == a[0], F.try_element_at("details", F.lit(a[1]))).otherwise(acc), quality.ADVICE, F.lit(None))
     action = reduce(lambda acc, a: F.when(kind == a[0], a[2]).otherwise(acc), quality.ADVICE, F.lit(None))
     cut = reduce(lambda acc, a: F.when(kind == a[0], a[3]).otherwise(acc), quality.ADVICE, F.lit(None).cast("double"))
-    rows = last.filter("value < threshold").select(*SERIES, "value", action.alias("action"), cut.alias("_cut"))
-    return (rows.filter("action IS NOT NULL").withColumn("urgency", F.when(F.col("value") < F.col("_cut"), "high").otherwise("medium"))
+    rows = last.filter("value < threshold").select(*SERIES, "value", action.alias("action"), detail.alias("detail"), cut.alias("_cut"))
+    return (rows.filter("action IS NOT NULL AND detail IS NOT NULL AND detail <> ''").withColumn("urgency", F.when(F.col("value") < F.col("_cut"), "high").otherwise("medium"))
             .drop("_cut"))
 
 

@@ -93,10 +93,20 @@ def validate_relationships(edges: DataFrame, checks: DataFrame) -> DataFrame:
     return validate(edges, checks.filter("kind = 'relationship'"), RELATIONSHIP_CHECKS)
 
 
+def ruled(edges: DataFrame) -> DataFrame:
+    """The edges of types that have a rule, for where only findings are wanted: the others need not be read."""
+    return edges.filter(F.col("type").isin(*[spec["type"] for spec in rules.RELATIONSHIP_RULES.values()]))
+
+
 def validate_domain(vertices: DataFrame, checks: DataFrame, domain: str) -> DataFrame:
     return validate(vertices, checks.filter((F.col("kind") == "domain") & (F.col("domain") == domain)), DOMAIN_CHECKS)
 
 
+def validate_domains(vertices: DataFrame, checks: DataFrame) -> DataFrame:
+    """The rules of all domains at once, each on the entities of its type."""
+    return validate(vertices, checks.filter("kind = 'domain'"), DOMAIN_CHECKS)
+
+
 def findings(validated: DataFrame) -> DataFrame:
     """One row per finding: subject_id, type, rule, check, level, field, action, message, and the range of the check."""
     rows = validated.select(F.col("id").alias("subject_id"), "type", F.explode("findings").alias("f")).select(
@@ -239,10 +249,10 @@ def low_confidence(vertices: DataFrame, least: float = rules.CONFIDENCE_THRESHOL
 
 def dangling(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Edges that refer to a vertex which does not exist, by the end that is wrong."""
-    ids = vertices.select("id")
-    out = [_finding(edges.join(ids.withColumnRenamed("id", end), end, "left_anti"), F.col("id"), "cross_reference",
-                    "reference", "error", F.lit(end)) for end in ("src", "dst")]
-    return out[0].unionByName(out[1])
+    ends = F.array(*[F.struct(F.lit(end).alias("field"), F.col(end).alias("at")) for end in ("src", "dst")])
+    asked = edges.select("id", F.inline(ends))
+    wrong = asked.join(vertices.select(F.col("id").alias("at")), "at", "left_anti")
+    return _finding(wrong, F.col("id"), "cross_reference", "reference", "error", F.col("field"))
 
 
 def upsert_rules(catalogue: DataFrame, changes: DataFrame) -> DataFrame:

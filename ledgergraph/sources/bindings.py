@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgergraph.catalog import quality, rules
 from ledgergraph.sources.tables import spread, table
 
 
@@ -135,6 +136,56 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
                            "created_at AS updated_at", "confidence", "source_document")
 
 
+def domain_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects of the rules of all business domains: one per customer and rule, with some of the fields, requirements and
+    risk factors that the rule asks for, some of them words where numbers are due."""
+    texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    asked = F.array(*[F.struct(F.lit(no).alias("no"), F.lit(spec["type"]).alias("type"), texts(rules.domain_fields(spec)).alias("fields"),
+                               texts(spec["compliance"]).alias("compliance"), texts(spec["risks"]).alias("risks"))
+                      for no, spec in enumerate(rules.DOMAIN_RULES.values())])
+    rows = table(spark, folder, "customer").select("c_custkey", "c_acctbal", F.explode(asked).alias("r"))
+    n = F.col("c_custkey")
+
+    def value(j: Column) -> Column:
+        turn = (n + j) % 5
+        return (F.when(turn == 1, "word").when(turn == 2, money(F.col("c_acctbal")))
+                .when(turn == 3, F.concat(F.lit("AB"), F.lpad(n.cast("string"), 8, "0"))).when(turn == 4, "50"))
+
+    def members(names: Column, kept) -> Column:
+        some = F.filter(F.transform(names, lambda x, i: F.when(kept(i), F.concat(F.lit('"'), x, F.lit('":"ok"')))), lambda x: x.isNotNull())
+        return F.concat(F.lit("{"), F.array_join(some, ","), F.lit("}"))
+
+    given = F.transform("r.fields", lambda f, j: F.struct(f.alias("key"), value(j).alias("value")))
+    more = F.array(F.struct(F.lit("compliance_status").alias("key"), members(F.col("r.compliance"), lambda i: (n + i) % 3 > 0).alias("value")),
+                   F.struct(F.lit("risk_assessment").alias("key"), members(F.col("r.risks"), lambda i: (n + i) % 2 == 0).alias("value")))
+    props = F.map_from_entries(F.filter(F.concat(given, more), lambda e: e["value"].isNotNull()))
+    return rows.select(F.concat(F.lit("D"), "r.no", F.lit("-"), n).alias("id"), F.col("r.type").alias("type"), props.alias("properties"))
+
+
+def people(spark: SparkSession, folder: str) -> DataFrame:
+    """A person per customer, some of whom died before they were born."""
+    born = F.date_add(F.lit("1950-01-01").cast("date"), (F.col("c_custkey") % 1000).cast("int"))
+    died = F.when(F.col("c_custkey") % 3 == 0, F.date_add(born, (F.col("c_custkey") % 7 - 2).cast("int")))
+    return table(spark, folder, "customer").select(
+        key("H", "c_custkey").alias("id"), F.lit("Person").alias("type"), F.col("c_name").alias("name"),
+        properties(name=F.col("c_name"), birth_date=born, death_date=died).alias("properties"))
+
+
+def employment(spark: SparkSession, folder: str) -> DataFrame:
+    """A job of the customer's person per order: a company, and the order's priority as the role."""
+    return table(spark, folder, "orders").select(
+        key("EMPLOYMENT:", "o_orderkey").alias("id"), F.lit("EMPLOYMENT").alias("type"), F.concat(F.lit("S"), F.col("o_orderkey") % 10).alias("src"),
+        key("H", "o_custkey").alias("dst"), properties(role=F.col("o_orderpriority"), start_date=day(F.col("o_orderdate"))).alias("properties"))
+
+
+def detailed_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The metric facts with details: every other one says what its advice needs."""
+    need = F.create_map(*[F.lit(x) for a in quality.ADVICE for x in (a[0], a[1])])
+    k = F.round(F.col("confidence_score") * 100).cast("int")
+    detail = F.create_map(need[F.col("metric_type")], F.concat(F.lit("k="), k))
+    return metric_facts(spark, folder).withColumn("details", F.when(k % 2 == 0, detail))
+
+
 def metric_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Quality metric facts (event_id, metric_type, entity_type, ts, value, threshold, confidence_score) from events."""
     return facts_from_events(table(spark, folder, "events"))

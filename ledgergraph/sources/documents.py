@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ledgergraph.functions.text import chunks, word_count
 
@@ -27,6 +28,20 @@ def create(rows: DataFrame, as_of: str | None = None) -> DataFrame:
     return rows.withColumn("created_at", now).withColumn("updated_at", now)
 
 
+DOCUMENT = ("id long, title string, content string, file_path string, file_type string, description string, "
+            "created_at timestamp_ntz, updated_at timestamp_ntz")
+
+
+def append(docs: DataFrame, folder: str) -> None:
+    """Add documents to a stored table; columns that they don't have are null."""
+    schema = DataType.fromDDL(DOCUMENT)
+    docs.select(*[(F.col(f.name) if f.name in docs.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(folder)
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(DOCUMENT).parquet(folder)
+
+
 def patch(docs: DataFrame, patches: DataFrame, fields: list[str], as_of: str | None = None) -> DataFrame:
     """Documents after partial updates (id, patch map). Only keys of the patch change; a null value does overwrite."""
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
