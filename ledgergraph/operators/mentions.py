@@ -74,39 +74,40 @@ def confidence(text: Column, label: Column) -> Column:
 
 
 def find_mentions(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "page"),
-                  reach: int = WINDOW, per_sentence: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+                  reach: int = WINDOW, per_sentence: dict[str, Callable[[Column], Column]] | None = None, context: bool = True) -> DataFrame:
     """Candidates for mentions in every text, one row each, with document offsets.
 
     ``per_sentence`` names further columns that are worked out once for each sentence and go to all its mentions.
 
-    Columns: keep..., sent_id, start, end, text, type, confidence, context (50 characters to both sides) and
+    Columns: keep..., sent_id, start, end, text, type, confidence, context (50 characters to both sides, if asked for) and
     ahead (``reach`` characters of the sentence from the mention on: as far as a pair may reach). Works sentence by sentence, since no mention
     crosses a sentence end, which keeps the cost linear in the text. No shuffle.
     """
     ids = list(keep)
-    sents = _lines(docs, text, ids, per_sentence or {})
+    sents = _lines(docs, text, ids, per_sentence or {}, context)
     rest = [c for c in sents.columns if c != "sentence"]
     hits = explode_matches(sents, "sentence", mention_pattern(), rest)
-    return _shown(hits.withColumn("type", label_of(F.col("hit"))), ids, reach, list(per_sentence or {}))
+    return _shown(hits.withColumn("type", label_of(F.col("hit"))), ids, reach, list(per_sentence or {}), context)
 
 
-def _lines(docs: DataFrame, text: str, ids: list[str], more: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def _lines(docs: DataFrame, text: str, ids: list[str], more: dict[str, Callable[[Column], Column]], context: bool) -> DataFrame:
     """Sentences with their margins, cut for quick access: ids..., sent_id, sent_start, size, lead (characters before the
     sentence), line (the cuts), sentence and the columns of ``more``."""
-    sents = explode_sentences(docs, text, ids, margin=CONTEXT)
+    sents = explode_sentences(docs, text, ids, margin=CONTEXT if context else 0)
+    lead, line = (F.length("before"), F.concat("before", "sentence", "after")) if context else (F.lit(0), F.col("sentence"))
     return sents.select(
-        *ids, "sent_id", F.col("start").alias("sent_start"), (F.col("end") - F.col("start")).alias("size"), F.length("before").alias("lead"),
-        cut_line(F.concat("before", "sentence", "after")).alias("line"), "sentence", *[make(F.col("sentence")).alias(name) for name, make in more.items()])
+        *ids, "sent_id", F.col("start").alias("sent_start"), (F.col("end") - F.col("start")).alias("size"), lead.alias("lead"),
+        cut_line(line).alias("line"), "sentence", *[make(F.col("sentence")).alias(name) for name, make in more.items()])
 
 
-def _shown(spans: DataFrame, ids: list[str], reach: int, more: list[str]) -> DataFrame:
+def _shown(spans: DataFrame, ids: list[str], reach: int, more: list[str], context: bool) -> DataFrame:
     """The columns of :func:`find_mentions` for spans (start, end, type) in lines."""
     line, at, size = F.col("line"), F.col("lead") + F.col("start"), F.col("end") - F.col("start")
     left = F.least(at, F.lit(CONTEXT))
     hit = F.col("hit") if "hit" in spans.columns else part_of(line, at, size)
     return spans.select(
         *ids, "sent_id", (F.col("sent_start") + F.col("start")).alias("start"), (F.col("sent_start") + F.col("end")).alias("end"),
-        hit.alias("text"), "type", confidence(hit, F.col("type")).alias("confidence"), part_of(line, at - left, left + size + CONTEXT).alias("context"),
+        hit.alias("text"), "type", confidence(hit, F.col("type")).alias("confidence"), *([part_of(line, at - left, left + size + CONTEXT).alias("context")] if context else []),
         part_of(line, at, F.least(F.lit(reach), F.col("size") - F.col("start"))).alias("ahead"), *more)
 
 
@@ -135,7 +136,7 @@ def name_words(text: Column) -> Column:
 
 
 def known_names(docs: DataFrame, names: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "page"),
-                reach: int = WINDOW, per_sentence: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+                reach: int = WINDOW, per_sentence: dict[str, Callable[[Column], Column]] | None = None, context: bool = True) -> DataFrame:
     """Names of any form in every text, with the columns of :func:`find_mentions`.
 
     ``names`` has a name and, if names are not all of companies, a label. Text and names are compared word by word, in
@@ -165,8 +166,8 @@ def known_names(docs: DataFrame, names: DataFrame, text: str = "text", keep: tup
     taken = F.aggregate("_all", F.filter("_all", lambda s: F.lit(False)),
                         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), acc).otherwise(F.concat(acc, F.array(s))))
     rows = groups.groupBy(*key, "_group").agg(every.alias("_all")).select(*key, F.inline(taken))
-    lines = _lines(docs, text, ids, per_sentence or {}).drop("sentence")
-    return _shown(_joined(rows, lines, key, "inner"), ids, reach, list(per_sentence or {}))
+    lines = _lines(docs, text, ids, per_sentence or {}, context).drop("sentence")
+    return _shown(_joined(rows, lines, key, "inner"), ids, reach, list(per_sentence or {}), context)
 
 
 def _joined(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:

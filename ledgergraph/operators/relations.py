@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from ledgergraph.functions.text import explode_sentences, words
 from ledgergraph.operators.mentions import WINDOW
 
 THRESHOLD = 0.5
-CANDIDATES = "candidates"
+CANDIDATES, CUES = "candidates", "cues"
 
 # The free run of words, begun only at the start of a word or where the last match ended, and without going back
 # inside a word or a gap: neither loses a match, and both save most of the search.
@@ -39,7 +40,7 @@ def pairs(mentions: DataFrame, window: int = WINDOW, keys: tuple[str, ...] = ("d
         F.col("type").alias("src_type"), F.col("confidence").alias("src_confidence"),
         F.col("t.start").alias("dst_start"), F.col("t.text").alias("dst_text"), F.col("t.type").alias("dst_type"),
         F.col("t.confidence").alias("dst_confidence"), context.alias("context"),
-        *[c for c in (CANDIDATES,) if c in mentions.columns])
+        *[c for c in (CANDIDATES, CUES) if c in mentions.columns])
 
 
 def _any(context: Column, patterns: list[str]) -> Column:
@@ -141,24 +142,49 @@ def flag(context: Column, group: str, name: str) -> Column:
     """Whether a context raises a flag. A word list is looked for as plain text first, which is quick, and only a
     context that has one of the words is searched for it as a whole word."""
     entry = relations.FLAGS[group][name]
-    test = context.rlike(relations.flag_pattern(entry))
     if entry.startswith("re:"):
-        return test
-    return reduce(lambda a, b: a | b, [F.contains(context, F.lit(w)) for w in entry.split("|")]) & test
+        return context.rlike(_core(entry))
+    return _holds(context, entry) & context.rlike(relations.flag_pattern(entry))
 
 
-def flag_columns(context: Column, group: str) -> list[Column]:
-    """The flags of one group as boolean columns."""
-    return [flag(context, group, name).alias(name) for name in relations.FLAGS[group]]
+def _core(entry: str) -> str:
+    """A pattern without the optional groups at its end, which don't matter for whether it occurs."""
+    return re.sub(r"(\(\?:[^()]*\)[*?])+$", "", relations.flag_pattern(entry))
+
+
+def _holds(text: Column, entry: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in entry.split("|")])
+
+
+def cues(sentence: Column) -> Column:
+    """The numbers of the flags that contexts within a sentence may raise: those whose words or figures are in it at all.
+
+    Worked out once for a sentence (``per_sentence={"cues": cues}``), it spares its many contexts all other flags.
+    """
+    entries = [relations.FLAGS[g][n] for g, n, _ in relations.flag_rows()]
+    tests = [sentence.rlike(_core(e).replace(r"\b", "")) if e.startswith("re:") else _holds(sentence, e) for e in entries]
+    return F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))
+
+
+NUMBERS = {(g, n): i for i, (g, n, _) in enumerate(relations.flag_rows())}
+
+
+def flag_columns(context: Column, group: str, some: Column | None = None) -> list[Column]:
+    """The flags of one group as boolean columns; ``some`` has the cues of the sentence, if they are known."""
+    def known(name: str) -> Column:
+        test = flag(context, group, name)
+        return test if some is None else F.when(F.array_contains(some, NUMBERS[group, name]), test).otherwise(False)
+    return [known(name).alias(name) for name in relations.FLAGS[group]]
 
 
 def details(rels: DataFrame) -> DataFrame:
     """Context details of each relation: the general flag groups, and the others where the relation type asks; words of
     sentiment and certainty; and, for relations about metrics, the metric, ratio and trend phrases."""
-    out = {g: F.struct(*flag_columns(F.col("context"), g)) for g in ("temporal", "quantitative")}
+    some = F.col(CUES) if CUES in rels.columns else None
+    out = {g: F.struct(*flag_columns(F.col("context"), g, some)) for g in ("temporal", "quantitative")}
     for types, groups in relations.EXTRA_GROUPS:
         for g in groups:
-            out[g] = F.when(F.col("rel_type").isin(*types), F.struct(*flag_columns(F.col("context"), g)))
+            out[g] = F.when(F.col("rel_type").isin(*types), F.struct(*flag_columns(F.col("context"), g, some)))
     about = F.col("rel_type").isin(*relations.PHRASE_RELATIONS)
     phrases = {name: F.when(about, _phrase_array(patterns, groups)) for name, (patterns, groups) in PHRASES.items()}
     rows = certainty(sentiment(rels))
@@ -174,10 +200,16 @@ def with_sentences(rels: DataFrame, docs: DataFrame, text: str = "text", keys: t
 def flag_counts(contexts: DataFrame) -> DataFrame:
     """How many contexts raise each flag: group, flag, contexts; a zero for flags that none raises.
 
-    Each context gives the numbers of its flags, which are counted; the names are joined to the counts.
+    Each context gives the numbers of its flags, which are counted; the names are joined to the counts. Of contexts that
+    bring the cues of their sentence only these are tried.
     """
     names = [(i, g, n) for i, (g, n, _) in enumerate(relations.flag_rows())]
-    raised = F.array_compact(F.array(*[F.when(flag(F.col("context"), g, n), F.lit(i)) for i, g, n in names]))
+    context = F.col("context")
+    if CUES in contexts.columns:
+        test = lambda i: reduce(lambda acc, x: acc.when(i == x[0], flag(context, *x[1:])), names[1:], F.when(i == 0, flag(context, *names[0][1:])))
+        raised = F.filter(CUES, test)
+    else:
+        raised = F.array_compact(F.array(*[F.when(flag(context, g, n), F.lit(i)) for i, g, n in names]))
     counts = contexts.select(F.explode(raised).alias("no")).groupBy("no").agg(F.count("*").alias("contexts"))
     table = frames.local(contexts.sparkSession, names, "no int, group string, flag string")
     return table.join(counts, "no", "left").fillna(0, ["contexts"]).select("group", "flag", "contexts")

@@ -15,13 +15,13 @@ from ledgergraph.sources import bindings as b
 from ledgergraph.sources.tables import table
 
 
-def _mentions(spark: SparkSession, sf: str) -> DataFrame:
-    return m.confirm_names(m.find_mentions(b.statements(spark, sf)), b.company_names(spark, sf))
+def _mentions(spark: SparkSession, sf: str, context: bool = False, **per_sentence) -> DataFrame:
+    found = m.find_mentions(b.statements(spark, sf), per_sentence=per_sentence, context=context)
+    return m.confirm_names(found, b.company_names(spark, sf))
 
 
-def _relations(spark: SparkSession, sf: str) -> DataFrame:
-    found = m.find_mentions(b.statements(spark, sf), per_sentence={r.CANDIDATES: r.candidates})
-    return r.extract(m.confirm_names(found, b.company_names(spark, sf)))
+def _relations(spark: SparkSession, sf: str, **more) -> DataFrame:
+    return r.extract(_mentions(spark, sf, **{r.CANDIDATES: r.candidates}, **more))
 
 
 MENTIONS = "WITH " + sql.STATEMENT_MENTIONS
@@ -67,7 +67,7 @@ SELECT doc_id, page, CAST("start" AS BIGINT) AS start_at,
   substring(doc_text, CAST(greatest(0, "start" - 50) + 1 AS BIGINT),
     CAST("end" + 50 - greatest(0, "start" - 50) AS BIGINT)) AS context FROM mentions""")
 def b4_mention_context(spark, sf):
-    return _mentions(spark, sf).select("doc_id", "page", F.col("start").cast("long").alias("start_at"), "context")
+    return _mentions(spark, sf, context=True).select("doc_id", "page", F.col("start").cast("long").alias("start_at"), "context")
 
 
 @query(MENTIONS + """
@@ -233,7 +233,7 @@ SELECT doc_id, page, CAST(src_start AS BIGINT) AS src_start, CAST(dst_start AS B
   {', '.join(_phrase_count_sql(k) for k in r.PHRASES)} FROM kept""")
 def d7_relation_details(spark, sf):
     """All groups of flags, words of sentiment and certainty, and the number of phrases of each kind."""
-    rows = r.details(_relations(spark, sf))
+    rows = r.details(_relations(spark, sf, **{r.CUES: r.cues}))
     return rows.select("doc_id", "page", F.col("src_start").cast("long").alias("src_start"),
                        F.col("dst_start").cast("long").alias("dst_start"), "src_text", "dst_text",
                        *[F.col(f"{g}_details.{n}").alias(f"{g}_{n}") for g, n, _ in relations.flag_rows()],
@@ -245,7 +245,7 @@ def d7_relation_details(spark, sf):
     f"SELECT '{g}' AS \"group\", '{n}' AS flag, count(*) FILTER ({_flag_sql(rx)}) AS contexts FROM pairs"
     for g, n, rx in relations.flag_rows()))
 def d8_context_flags(spark, sf):
-    return r.flag_counts(r.pairs(_mentions(spark, sf)))
+    return r.flag_counts(r.pairs(_mentions(spark, sf, **{r.CUES: r.cues})))
 
 
 _TERMS = sql.sql_values(relations.sentiment_rows(), "terms(polarity, category, term)")
