@@ -2,15 +2,15 @@
 
 # Mention word lists, (label, head words, optional tail words).
 MENTION_WORDS = [
-    ("FINANCIAL_METRIC", "revenue income profit loss earnings expenses", "growth margin ratio rate"),
-    ("FINANCIAL_METRIC", "ebitda roi roe roa eps pe", ""),
-    ("ACCOUNT", "cash accounts inventory assets liabilities", "receivable payable equity capital"),
-    ("TRANSACTION", "purchase sale payment receipt transfer", "order invoice receipt transaction"),
-    ("MARKET", "nyse nasdaq lse tsx asx", ""),
-    ("INDUSTRY", "technology finance healthcare manufacturing retail", "sector industry market"),
+    ("FINANCIAL_METRIC", ["revenue", "income", "profit", "loss", "earnings", "expenses"], ["growth", "margin", "ratio", "rate"]),
+    ("FINANCIAL_METRIC", ["ebitda", "roi", "roe", "roa", "eps", "pe"], []),
+    ("ACCOUNT", ["cash", "accounts", "inventory", "assets", "liabilities"], ["receivable", "payable", "equity", "capital"]),
+    ("TRANSACTION", ["purchase", "sale", "payment", "receipt", "transfer"], ["order", "invoice", "receipt", "transaction"]),
+    ("MARKET", ["nyse", "nasdaq", "lse", "tsx", "asx"], []),
+    ("INDUSTRY", ["technology", "finance", "healthcare", "manufacturing", "retail"], ["sector", "industry", "market"]),
 ]
 CURRENCY_SIGNS = "$€£¥"
-CURRENCY_SCALES = "million billion trillion"
+CURRENCY_SCALES = ["million", "billion", "trillion"]
 
 # Relation patterns, (type, verbs, particles). Verb i goes with particle i.
 RELATION_PATTERNS = [

@@ -20,14 +20,14 @@ CONTEXT = 50
 WINDOW = 100
 
 
-def _word_pattern(heads: str, tails: str) -> str:
-    tail = f"(?: (?:{'|'.join(tails.split())}))?" if tails else ""
-    return rf"(?:{'|'.join(heads.split())}){tail}\b"
+def _word_pattern(heads: list[str], tails: list[str]) -> str:
+    tail = f"(?: (?:{'|'.join(tails)}))?" if tails else ""
+    return rf"(?:{'|'.join(heads)}){tail}\b"
 
 
 def label_patterns(number: str = NUMBER) -> list[tuple[str, str]]:
     """(label, pattern) in the order in which they are tried at a position."""
-    scales = "|".join(relations.CURRENCY_SCALES.split())
+    scales = "|".join(relations.CURRENCY_SCALES)
     out = [("COMPANY", NAME),
            ("DATE", r"\d{4}-\d{2}-\d{2}\b"),
            ("PERCENTAGE", rf"{number} ?%"),
@@ -40,7 +40,7 @@ def mention_pattern(number: str = NUMBER) -> str:
 
     A match starts with a currency sign or at the start of a word; asking for that first keeps the search short.
     """
-    return rf"(?i)[{relations.CURRENCY_SIGNS}]{number}(?: (?:{'|'.join(relations.CURRENCY_SCALES.split())}))?\b" \
+    return rf"(?i)[{relations.CURRENCY_SIGNS}]{number}(?: (?:{'|'.join(relations.CURRENCY_SCALES)}))?\b" \
            rf"|\b(?:{'|'.join(p for _, p in label_patterns(number))})"
 
 
