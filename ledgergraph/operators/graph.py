@@ -31,12 +31,12 @@ def anchored(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
-    """Each edge seen from each of its ends (at, other); a self loop once."""
-    cols = [F.col("id").alias("edge_id"), F.col("type").alias("edge_type"), *extra]
-    out = edges.select(F.col("src").alias("at"), F.col("dst").alias("other"), F.lit("out").alias("direction"), *cols)
-    back = edges.filter("src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("other"),
-                                             F.lit("in").alias("direction"), *cols)
-    return out.unionByName(back)
+    """Each edge seen from each of its ends (at, other); a self loop once. The edges are read once."""
+    out = F.struct(F.col("src").alias("at"), F.col("dst").alias("other"), F.lit("out").alias("direction"))
+    back = F.struct(F.col("dst").alias("at"), F.col("src").alias("other"), F.lit("in").alias("direction"))
+    rows = edges.select(F.inline(F.when(F.col("src") != F.col("dst"), F.array(out, back)).otherwise(F.array(out))),
+                        F.col("id").alias("edge_id"), F.col("type").alias("edge_type"), *extra)
+    return rows.select("at", "other", "direction", "edge_id", "edge_type", *extra)
 
 
 def edges_of(edges: DataFrame, seeds: DataFrame, direction: str = "both", type_: str | None = None) -> DataFrame:
