@@ -1,7 +1,7 @@
 """Corrections: field operations on property maps, row and table operations, suggested and logged corrections.
 
 A field operation takes a property map column and returns one. Where the caller gives a function, it is a function
-from Column to Column (a pandas UDF is one too). A field that is not there is left alone unless stated; a function
+from Column to Column (an Arrow or pandas UDF is one too). A field that is not there is left alone unless stated; a function
 that gives null leaves the value of a transform and fails a validation.
 """
 

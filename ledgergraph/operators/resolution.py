@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,19 @@ def split_by(df: DataFrame, parts: Column, name: str = "part") -> DataFrame:
     return df.select("*", F.posexplode_outer(parts).alias(f"{name}_no", name))
 
 
+def merge_with(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
+    """Merge rows with equal keys by a caller's Python function: a pandas frame of the rows in, one of the merged rows out.
+
+    The rows of a key meet in one call; aggregates (:func:`merge_by`) have no such bound and are the first choice.
+    """
+    return df.groupBy(*keys).applyInPandas(fn, schema)
+
+
+def split_with(df: DataFrame, table_function: Callable[..., DataFrame], *columns: str) -> DataFrame:
+    """Split rows by a caller's Python table function (``pyspark.sql.functions.udtf``): each row with all that it gives."""
+    return df.lateralJoin(table_function(*[F.col(c).outer() for c in columns]))
+
+
 def merge_groups(pairs: DataFrame) -> DataFrame:
     """Canonical id of each id in a merge list (id1, id2): id, canonical. The least id of a group stands for it.
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ledgergraph.catalog import frames, rules
 from ledgergraph.catalog.quality import ADVICE, METRIC_WEIGHTS
 from ledgergraph.operators import quality as q
+from ledgergraph.operators import sketches
 from ledgergraph.operators import validation as v
 from ledgergraph.plans import sql
 from ledgergraph.plans.graph import near
 from ledgergraph.plans.registry import query
 from ledgergraph.plans.validation import CHECKS, ENDPOINTS, ENTITIES, RELATIONSHIPS
+from ledgergraph.session import scratch_folder
 from ledgergraph.sources import bindings as b
 
 FACTS = f"WITH {sql.EVENT_FACTS}"
@@ -111,6 +113,18 @@ def i7_recommendations(spark, sf):
     return q.recommendations(q.latest(b.detailed_facts(spark, sf))).drop("value")
 
 
+@query(FACTS + """
+SELECT metric_type, count(*) AS facts, TRUE AS quartiles_within, TRUE AS entities_within FROM facts
+WHERE value IS NOT NULL GROUP BY metric_type""")
+def i14_merged_sketches(spark, sf):
+    """Quartiles and distinct events from sketches that were stored per day and merged, held against the whole table."""
+    facts = _facts(spark, sf).where("value IS NOT NULL")
+    folder = scratch_folder(spark, "sketches")
+    sketches.daily(facts, ["metric_type"], "value", "event_id").write.parquet(folder)
+    merged = sketches.merged(spark.read.parquet(folder), ["metric_type"])
+    return sketches.held_against(merged, facts, ["metric_type"], "value", "event_id").select("metric_type", "facts", "quartiles_within", "entities_within")
+
+
 def _bucket_query(name: str, unit: str, fmt: str) -> None:
     def fn(spark, sf):
         r = q.bucketed(_facts(spark, sf), unit)
