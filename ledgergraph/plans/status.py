@@ -213,11 +213,14 @@ def s8_metric_stream(spark, sf):
                     *[F.round(c, 9).alias(c) for c in ("mean", "min", "max", "std")])
 
 
-@query(FACTS + """, ends AS (SELECT DISTINCT metric_type, date_trunc('day', ts) AS day FROM facts),
+WATCHED = FACTS + """, ends AS (SELECT DISTINCT metric_type, date_trunc('day', ts) AS day FROM facts),
 w AS (SELECT e.metric_type, e.day, avg(f.value) AS mean, stddev_pop(f.value) AS std FROM ends e JOIN facts f
   ON f.metric_type = e.metric_type AND f.ts >= e.day - INTERVAL 7 DAY AND f.ts < e.day GROUP BY ALL)
 SELECT event_id, f.metric_type, value, round(mean, 9) AS mean, round(std, 9) AS std FROM facts f
-JOIN w ON w.metric_type = f.metric_type AND w.day = date_trunc('day', f.ts) WHERE abs(value - mean) > 2 * std""")
+JOIN w ON w.metric_type = f.metric_type AND w.day = date_trunc('day', f.ts) WHERE abs(value - mean) > 2 * std"""
+
+
+@query(WATCHED)
 def s9_anomaly_watch(spark, sf):
     """Facts far from the mean of the week before their day: sliding windows by one stream, watched by another."""
     slides = runs.sliding_windows(b.facts_from_events(_stream(spark, sf)))
@@ -227,6 +230,14 @@ def s9_anomaly_watch(spark, sf):
     return out.select("event_id", "metric_type", "value", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
+@query(WATCHED)
+def s9_live_watch(spark, sf):
+    """The same in one stream, which makes its own windows."""
+    facts, same = (b.facts_from_events(_stream(spark, sf)) for _ in range(2))
+    out = spark.read.parquet(runs.run_to_table(runs.watch_live(facts, same, late="0 seconds"), "append"))
+    return out.select("event_id", "metric_type", "value", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
 @query(STATUS + f""", f AS (SELECT document_id, stage, min((ts, event_id)) AS f FROM status WHERE stage IS NOT NULL GROUP BY ALL),
 g AS (SELECT document_id, stage, f, f[1] AS first_seen, lead(f[1]) OVER (PARTITION BY document_id ORDER BY f) AS next FROM f)
 SELECT document_id, stage, strftime(first_seen, '{SQLT}') AS first_seen,

@@ -64,6 +64,21 @@ def watch(facts: DataFrame, windows: DataFrame, times: float = 2.0) -> DataFrame
     return rows.filter(F.abs(F.col("value") - F.col("mean")) > F.col("std") * times).drop("_m", "_day", "_d")
 
 
+def watch_live(facts: DataFrame, same: DataFrame, times: float = 2.0, length: str = "7 days", late: str = "1 hour") -> DataFrame:
+    """Facts far from the mean of the sliding window that ended at the start of their day, all in one stream.
+
+    ``facts`` and ``same`` are two readings of one stream. The windows of the one are joined with the facts of the other in
+    an interval of event time, with watermarks on both sides: a fact waits until its window is complete, and
+    neither is kept longer than the interval.
+    """
+    w = (same.withWatermark("ts", late).groupBy(F.window("ts", length, "1 day").alias("w"), F.col("metric_type").alias("_m"))
+         .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")))
+    windows = w.select(F.window_time("w").alias("_upto"), "_m", "mean", "std")
+    rows = facts.withWatermark("ts", late)
+    in_day = (F.col("metric_type") == F.col("_m")) & (F.col("ts") > F.col("_upto")) & (F.col("ts") <= F.col("_upto") + F.expr("INTERVAL 1 DAY"))
+    return rows.join(windows, in_day).filter(F.abs(F.col("value") - F.col("mean")) > F.col("std") * times).drop("_m", "_upto")
+
+
 def run_to_table(stream: DataFrame, mode: str, folder: str | None = None) -> str:
     """Run a stream over what is there and append each batch's rows, with the batch number, to a parquet table.
 
