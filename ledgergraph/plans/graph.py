@@ -356,16 +356,16 @@ def h2_merge_groups(spark, sf):
 
 @query(f"""WITH {sql.VERTICES}, {sql.VPROPS}, {MERGE}, v AS (
   SELECT v.*, coalesce(c.canonical, v.id) AS canonical FROM vertices v LEFT JOIN canon c USING (id)
-  WHERE type = 'FinancialInstrument')
+  WHERE type = 'FinancialInstrument'),
+items AS (SELECT canonical, key, min_by(value, p.id) AS value FROM v JOIN vprops p ON p.id = v.id GROUP BY ALL),
+props AS (SELECT canonical, string_agg(key || '=' || value, ';' ORDER BY key) AS properties FROM items GROUP BY canonical)
 SELECT canonical AS id, min_by(name, id) AS name, round(max(confidence), 6) AS confidence, count(*) AS merged,
-  (SELECT value FROM vprops p JOIN v w ON w.id = p.id WHERE w.canonical = v.canonical AND p.key = 'type'
-    ORDER BY p.id LIMIT 1) AS kind
-FROM v GROUP BY canonical""")
+  any_value(properties) AS properties FROM v JOIN props USING (canonical) GROUP BY canonical""")
 def h2_merged_vertices(spark, sf):
     v = b.vertices(spark, sf).filter("type = 'FinancialInstrument'")
     m = h.merge_vertices(v, h.merge_groups(_merge_list(spark, sf)))
-    return m.select("id", "name", F.round("confidence", 6).alias("confidence"), "merged",
-                    F.try_element_at("properties", F.lit("type")).alias("kind"))
+    entries = F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return m.select("id", "name", F.round("confidence", 6).alias("confidence"), "merged", F.array_join(entries, ";").alias("properties"))
 
 
 @query(f"""WITH {sql.EDGES}, {MERGE}
