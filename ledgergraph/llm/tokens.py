@@ -13,7 +13,7 @@ import regex
 
 from ledgergraph.llm.common import Lookup, ragged, words_of
 
-CACHED_PARTS = 500_000  # kept by a worker for all its tasks: about 35 MB
+CACHED_PARTS = 1_500_000  # kept by a worker for all its tasks: about 90 MB
 _PART = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ENCODERS: dict[str, WordEncoder] = {}
 
