@@ -214,6 +214,20 @@ def report(facts: DataFrame, weights: DataFrame) -> dict[str, DataFrame]:
             "anomalies": anomalies(facts), "distribution": quartiles(facts), "benchmarks": benchmarks(facts)}
 
 
+# What each panel shows: the columns that name an item, and the number beside it.
+PANELS = {"score": (["entity_type"], "score"), "metrics": (SERIES, "value"), "trends": (SERIES, "trend"), "correlations": (["m1", "m2"], "correlation"),
+          "below_threshold": (SERIES, "value"), "anomalies": (["event_id"], "deviation"), "distribution": (["metric_type"], "median"),
+          "benchmarks": (SERIES, "average")}
+
+
+def panel_rows(facts: DataFrame, weights: DataFrame) -> DataFrame:
+    """All panels of the dashboard in long form: panel, item, value."""
+    parts = report(facts, weights)
+    return reduce(DataFrame.unionByName, [
+        parts[panel].select(F.lit(panel).alias("panel"), F.concat_ws("|", *keys).alias("item"), F.col(value).cast("double").alias("value"))
+        for panel, (keys, value) in PANELS.items()])
+
+
 def panel_counts(facts: DataFrame, weights: DataFrame) -> DataFrame:
     """Number of rows of each dashboard panel."""
     parts = [df.agg(F.count("*").alias("items")).select(F.lit(name).alias("panel"), "items")

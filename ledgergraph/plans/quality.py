@@ -201,6 +201,24 @@ def i15_dashboard(spark, sf):
     return q.panel_counts(_facts(spark, sf), frames.metric_weights(spark))
 
 
+@query(LATEST + """, st AS (SELECT metric_type, entity_type, avg(value) AS a, stddev_pop(value) AS d FROM facts GROUP BY ALL),
+hr AS (SELECT metric_type, strftime(ts, '%Y-%m-%d %H') AS here, avg(value) AS v FROM facts GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY metric_type, entity_type ORDER BY ts, event_id) - 1 AS idx FROM facts),
+panels AS (
+  SELECT 'score' AS panel, entity_type AS item, sum(value * weight) / sum(weight) AS value FROM last JOIN weights USING (metric_type) GROUP BY entity_type
+  UNION ALL SELECT 'metrics', metric_type || '|' || entity_type, value FROM last
+  UNION ALL SELECT 'trends', metric_type || '|' || entity_type, CASE WHEN count(*) > 1 THEN regr_slope(value, idx) END FROM n GROUP BY metric_type, entity_type
+  UNION ALL SELECT 'correlations', x.metric_type || '|' || y.metric_type, corr(x.v, y.v) FROM hr x JOIN hr y USING (here) GROUP BY x.metric_type, y.metric_type
+  UNION ALL SELECT 'below_threshold', metric_type || '|' || entity_type, value FROM last WHERE value < threshold
+  UNION ALL SELECT 'anomalies', CAST(event_id AS VARCHAR), value - a FROM facts JOIN st USING (metric_type, entity_type) WHERE abs(value - a) > 2 * d
+  UNION ALL SELECT 'distribution', metric_type, quantile_cont(value, 0.5) FROM facts GROUP BY metric_type
+  UNION ALL SELECT 'benchmarks', metric_type || '|' || entity_type, a FROM st)
+SELECT panel, item, round(value, 8) AS value FROM panels""")
+def i15_dashboard_rows(spark, sf):
+    """What the panels of the dashboard show."""
+    return q.panel_rows(_facts(spark, sf), frames.metric_weights(spark)).withColumn("value", F.round("value", 8))
+
+
 @query(FACTS + """
 SELECT entity_type, metric_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, value, confidence_score FROM facts""")
 def i16_metric_series(spark, sf):

@@ -112,12 +112,10 @@ UNION ALL SELECT 'ISSUES', concat('S', l_suppkey), concat('P', l_partkey), '',
 UNION ALL SELECT 'TRANSACTION', concat('C', o_custkey), concat('O', o_orderkey), '',
   map('transaction_date', date_format(o_orderdate, 'yyyy-MM-dd'), 'amount', format_string('%.2f', o_totalprice)),
   o_orderdate, 0.85D, concat('orders-', year(o_orderdate)) FROM {orders}
-UNION ALL SELECT 'HAS_METRIC', concat('C', o_custkey), 'M1', concat(':', month),
-  map('type', 'revenue', 'timestamp', month, 'value', format_string('%.2f', revenue)),
-  CAST(concat(month, '-01 00:00:00') AS TIMESTAMP_NTZ), 0.9D, 'orders' FROM months
-UNION ALL SELECT 'HAS_METRIC', concat('C', o_custkey), 'M2', concat(':', month),
-  map('type', 'orders', 'timestamp', month, 'value', format_string('%.2f', CAST(orders AS DOUBLE))),
-  CAST(concat(month, '-01 00:00:00') AS TIMESTAMP_NTZ), 0.9D, 'orders' FROM months
+UNION ALL SELECT 'HAS_METRIC', concat('C', o_custkey), m.id, concat(':', month),
+  map('type', m.name, 'timestamp', month, 'value', format_string('%.2f', m.value)),
+  CAST(concat(month, '-01 00:00:00') AS TIMESTAMP_NTZ), 0.9D, 'orders' FROM months LATERAL VIEW inline(array(
+    struct('M1' AS id, 'revenue' AS name, revenue AS value), struct('M2' AS id, 'orders' AS name, CAST(orders AS DOUBLE) AS value))) m
 UNION ALL SELECT 'DEPENDS_ON', concat('C', o_custkey), concat('S', l_suppkey), '',
   map('severity', CASE WHEN lines >= 3 THEN 'high' WHEN lines = 2 THEN 'low' END), first_ship, 0.7D, 'suppliers' FROM supply
 UNION ALL SELECT 'EXPOSED_TO', concat('C', c_custkey), concat('N', c_nationkey), '',
