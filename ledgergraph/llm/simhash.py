@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
     """Documents with their fingerprints and components. Reads row (a key of the row), doc_id and text.
 
     Returns row, doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable over links of at most
-    ``bits`` differing bits) and kept (true for one row of each component, the one with the least doc_id and row).
+    ``bits`` differing bits), least (that row of the component, with its doc_id) and kept (true for that row).
     Words are runs of other than space and 0x09-0x0D, A-Z lowered; texts of fewer words than a shingle are one
     shingle; texts without words, nulls too, have fingerprint zero, which links like any other. A null id counts in
     a component only if it has no other id; repeated rows share a component; an empty table gives an empty result;
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
     nodes = stored(rows.groupBy("fp").agg(first.alias("first")), "nodes")
     return labelled(rows, nodes, links(nodes, bits, segments)).select(
         "row", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))
+        F.col("least.doc_id").alias("component_id"), "least", (F.col("row") == F.col("least.row")).alias("kept"))
 
 
 def labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -213,4 +213,4 @@ def labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame) -> DataFrame:
     """:func:`near_duplicates` of any table with doc_id and text."""
-    return near_duplicates(numbered(docs.select("doc_id", "text"))).drop("row", "kept")
+    return near_duplicates(numbered(docs.select("doc_id", "text"))).drop("row", "least", "kept")

@@ -4,7 +4,10 @@ import random
 
 import pytest
 
-from ledgergraph.llm import similar, stages
+from pyspark.sql import functions as F
+
+from ledgergraph.llm import simhash, similar, stages
+from ledgergraph.llm.common import numbered, stored
 from tests.llm.test_simhash import reach
 
 
@@ -44,3 +47,23 @@ def test_every_pair_of_near_copies_is_linked(spark, corpus, tmp_path, monkeypatc
         least.setdefault(label[shingles(t)], []).append(d)
     want = sorted(min((d for d in g if d is not None), default=-1) for g in least.values())
     assert sorted(r.doc_id for r in out.collect()) == want and len(want) < len(corpus) - 40
+
+
+def test_stage_takes_the_fingerprints_components(spark, corpus, tmp_path, monkeypatch):
+    """Texts that meet nowhere but in a component of op3's fingerprints are compared, and only links of similar ones stay."""
+    docs = stored(numbered(spark.createDataFrame(corpus, "doc_id long, text string")), "corpus")
+    found = simhash.near_duplicates(docs)
+    rows = similar.signatures(docs).drop("keys")
+    nodes = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.min("size").alias("size"))
+    nodes = stored(nodes.withColumn("keys", F.array("fp")), "alone")
+    assert similar.links(docs, nodes).count() == 0
+    groups = found.join(rows.select("row", "fp"), "row").select("fp", F.xxhash64("least").alias("at"))
+    linked = {frozenset(r) for r in similar.links(docs, nodes, groups=groups).collect()}
+    shown = {r.fp: r.text for r in rows.join(docs.select("row", "text"), "row").collect()}
+    assert len(linked) > 20 and all(alike(*(shingles(shown[x]) for x in pair)) for pair in linked)
+    calls = []
+    whole = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs: calls.append(1) or whole(docs))
+    spark.createDataFrame(corpus, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    stages.dedup_nearly(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert calls == [1]
