@@ -36,3 +36,19 @@ def test_only_checks_in_question_are_tried(spark):
     empty = checks.withColumn("_keys", F.array().cast("array<string>"))
     left = empty.select(F.inline(F.filter("_checks", validation._in_question))).where("check NOT IN ('required', 'metric', 'date', 'document')")
     assert left.count() == 0
+
+
+def test_ends_are_hashed_not_sorted(spark):
+    """A hub's edges would be sorted for each end; the ids of vertices, which are unique, are hashed instead."""
+    from ledgergraph.operators import graph
+
+    v = spark.range(50).select(F.concat(F.lit("v"), "id").alias("id"), F.lit("T").alias("type"), F.lit("n").alias("name"))
+    e = spark.range(200).select(F.concat(F.lit("e"), "id").alias("id"), F.lit("R").alias("type"), F.lit("v0").alias("src"),
+                                F.concat(F.lit("v"), F.col("id") % 60).alias("dst"), F.lit(1.0).alias("confidence"))
+    both, found = graph.with_endpoints(e, v, "type"), validation.dangling(e, v)
+    here = [both, graph.anchored(e, v), found, graph.entity_profile(e, v, "T")]
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in here]
+    assert all("ShuffledHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+    kept = sum(i % 60 < 50 for i in range(200))
+    assert both.count() == here[1].count() == kept and found.count() == 200 - kept
+    assert here[3].agg(F.sum("relations")).first()[0] == sum(2 - (i % 60 == 0) for i in range(200) if i % 60 < 50)
