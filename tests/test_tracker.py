@@ -66,3 +66,16 @@ def test_compaction(spark, tmp_path):
         assert {r.k: r.v for r in runs.latest_rows(spark, folder, ["k"]).collect()} == want
     read = runs.latest_rows(spark, folder, ["k"])
     assert read.count() == 8 and all("batch=0" not in f for f in read.where("k >= 0").inputFiles() if "batch=5" in f)
+
+
+def test_events_of_a_group_in_order():
+    """Plain lists in the order of times, events before clearings, ids; the frames of a group may differ in their types."""
+    import pandas as pd
+
+    columns = [*tracker.USED, "ts"]
+    a = pd.DataFrame([[5, True, 1, "failed", None, 0.5, float("nan"), 1, "x", pd.NaT], [5, False, 9, "pending", "s", None, 3.0, None, None, pd.NaT]], columns=columns)
+    b = pd.DataFrame([[4, False, 7, "completed", None, 1.0, 2, 2, None, pd.NaT], [5, False, 8, "failed", None, 1.0, 2, 2, None, pd.NaT]], columns=columns)
+    got = tracker._in_order(iter([a, b]))
+    assert [(e["at"], e["clears"], e["event_id"]) for e in got] == [(4, False, 7), (5, False, 8), (5, False, 9), (5, True, 1)]
+    assert got[3]["entities_processed"] is None and got[2]["progress"] is None and got[2]["entities_processed"] == 3
+    assert all(set(e) == set(tracker.USED) for e in got)
