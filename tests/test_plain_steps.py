@@ -4,7 +4,7 @@ import random
 import re
 
 from ledgergraph.functions.text import SENTENCE_BREAK, explode_sentences
-from ledgergraph.operators import mentions
+from ledgergraph.operators import mentions, relations
 
 
 def interpreted(df):
@@ -42,3 +42,29 @@ def test_sentences_and_contexts_of_long_texts(spark):
 def test_mentions_of_short_texts_run_no_lambdas(spark):
     df = spark.createDataFrame([(1, 1, "revenue. cash")], "doc_id int, page int, text string")
     assert interpreted(mentions.find_mentions(df)) == []
+
+
+def test_pairs_of_sentences_are_those_of_mentions(spark):
+    rng = random.Random(9)
+    words = ["Acme#1", "beta#22x", "Gamma#3", "é", "revenue growth", "$1,234.50 million", "7.5%", "bought a stake of", "not", "in 2024", "\u0001", "\nroi", "up. ", "supplies to"]
+    rows = [(i, 1, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(120)]
+    rows += [(500, None, "Acme#1 bought a stake in Gamma#3"), (501, 1, " ".join(f"Acme#{i % 3}, {i}" for i in range(400))), (502, 2, "revenue, " + "1,234," * 300 + "5 and cash"), (503, 1, None)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, text string")
+    names = spark.createDataFrame([("ACME#1",), ("gamma#3",), (None,)], "name string")
+    marks = {relations.CANDIDATES: relations.candidates, relations.CUES: relations.cues}
+    plain = relations.pairs(mentions.confirm_names(mentions.find_mentions(df, per_sentence=marks), names))
+    quick = mentions.confirm_pairs(mentions.find_pairs(df, per_sentence=marks), names)
+    want = sorted(map(str, plain.collect()))
+    assert sorted(map(str, quick.select(plain.columns).collect())) == want and len(want) > 3000
+    scored = mentions.confirm_pairs(relations.score(mentions.find_pairs(df, per_sentence=marks)), names)
+    every = relations.score(plain.drop(relations.CANDIDATES))
+    want = sorted(map(str, every.collect()))
+    assert sorted(map(str, scored.select(every.columns).collect())) == want and len(want) > 500
+
+
+def test_pairs_and_scores_run_no_lambdas_and_no_shuffle(spark):
+    df = spark.createDataFrame([(1, 1, "Acme#1 bought a stake in Gamma#3")], "doc_id int, page int, text string")
+    scored = relations.score(mentions.find_pairs(df, per_sentence={relations.CANDIDATES: relations.candidates}))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert interpreted(scored) == [] and "Window" not in plan
+    assert plan.count("lower(sentence") == 1 and "Exchange" not in scored._jdf.queryExecution().sparkPlan().toString()
