@@ -68,3 +68,19 @@ def test_pairs_and_scores_run_no_lambdas_and_no_shuffle(spark):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert interpreted(scored) == [] and "Window" not in plan
     assert plan.count("lower(sentence") == 1 and "Exchange" not in scored._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_names_and_mentions_meet_as_spans(spark):
+    texts = long_texts() + ["Big Acme#1 Holdings owns revenue growth. Acme#1", "a\u0001b Acme#2 and a\u0002b cash", "x a\u0001b " * 3, None]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "doc_id int, page int, text string")
+    names = spark.createDataFrame([("Acme#1 Holdings",), ("growth",), ("a\u0001b",), ("b",), ("x",), ("cash.",)], "name string")
+    marks = {relations.CANDIDATES: relations.candidates}
+    labelled = mentions.known_labels(mentions.find_mentions(df, per_sentence=marks))
+    plain = mentions.with_names(labelled, mentions.known_names(df, names, per_sentence=marks))
+    spans = mentions.known_names(df, names, per_sentence=marks, labels=tuple(mentions.kinds.MENTION_LABELS))
+    want = sorted(map(str, plain.collect()))
+    assert sorted(map(str, spans.select(plain.columns).collect())) == want and len(want) > 1000
+    met = [x for x in spans._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftAnti" in x]
+    assert met and all("context" not in x for x in met)
+    odd = mentions.known_names(df, names).where("text = 'a\u0001b'")
+    assert odd.count() == 4 and mentions.known_names(df, names).where("contains(text, char(2))").count() == 0
