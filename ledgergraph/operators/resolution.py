@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgergraph.operators.graph import both_ways
-from ledgergraph.session import checkpoint
+from ledgergraph.session import checkpoint, stored
 
 
 def deduplicate(df: DataFrame, keys: dict[str, Column], order: list[str]) -> DataFrame:
@@ -111,7 +111,7 @@ def rarest(items: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
     A set with a Jaccard similarity of at least t to one of n items has at least t x n of them, so it lacks at most
     n - t x n, and one of any n - t x n + 1 is in it. The items that most sets have are thus never looked up.
     """
-    mine = items.join(seeds.select("id"), "id", "left_semi")
+    mine = stored(items.join(seeds.select("id"), "id", "left_semi"))
     often = items.join(mine.select("item").distinct(), "item", "left_semi").groupBy("item").agg(F.count("*").alias("n"))
     w = Window.partitionBy("id")
     ranked = mine.join(often, "item").select(F.col("id").alias("seed"), "item", F.row_number().over(w.orderBy("n", "item")).alias("place"),
@@ -121,15 +121,17 @@ def rarest(items: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
 
 def candidates(items: DataFrame, sizes: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
     """``seed, id``: all pairs that may reach the threshold, by the rarest items and the sizes of the sets."""
-    shared = items.join(rarest(items, seeds, threshold), "item").where("id <> seed").select("seed", "id").distinct()
+    shared = items.join(stored(rarest(items, seeds, threshold)), "item").where("id <> seed").select("seed", "id").distinct()
     fit = shared.join(sizes, "id").join(sizes.select(F.col("id").alias("seed"), F.col("n").alias("m")), "seed")
     return fit.where((F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)).select("seed", "id")
 
 
 def overlap(items: DataFrame, sizes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (seed, id) with the Jaccard similarity of their item sets; 0 if they share none."""
-    mine = items.join(pairs.select(F.col("seed").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("seed"), "item")
-    common = pairs.join(items, "id").join(mine, ["seed", "item"]).groupBy("seed", "id").agg(F.count("*").alias("c"))
+    """The pairs (seed, id) with the Jaccard similarity of their item sets; 0 if they share none. Of the items only those of
+    a seed go on to the pairs."""
+    mine = stored(items.join(pairs.select(F.col("seed").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("seed"), "item"))
+    theirs = items.join(mine.select("item").distinct(), "item", "left_semi")
+    common = pairs.join(theirs, "id").join(mine, ["seed", "item"]).groupBy("seed", "id").agg(F.count("*").alias("c"))
     rows = pairs.join(common, ["seed", "id"], "left").join(sizes, "id", "left").join(sizes.select(F.col("id").alias("seed"), F.col("n").alias("m")), "seed", "left")
     c = F.coalesce("c", F.lit(0))
     return rows.select("seed", "id", F.when(c > 0, c / (F.col("n") + F.col("m") - c)).otherwise(0.0).alias(name))
@@ -140,14 +142,15 @@ def similar(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, threshold:
     """Vertices like each seed, with their rank: half the Jaccard similarity of properties plus half that of neighbours.
 
     Where the mean reaches the threshold, one of the two does. So candidates are the pairs that may reach it by their
-    properties or by their neighbours, and only these are counted. Item tables are written once.
+    properties or by their neighbours, and only these are counted. Items and the few rows of the seeds are written once, as tables
+    of known sizes: what the seeds have is broadcast while it is small, and the items of all others are shuffled for their numbers only.
     """
-    named = checkpoint(vertices.select("id", "name", "type", "properties"))
-    tables = [checkpoint(property_items(named, without)), checkpoint(neighbour_items(edges))]
-    sizes = [items.groupBy("id").agg(F.count("*").alias("n")) for items in tables]
+    seeds = stored(seeds.select("id"))
+    tables = [stored(property_items(vertices, without)), stored(neighbour_items(edges))]
+    sizes = [stored(items.groupBy("id").agg(F.count("*").alias("n"))) for items in tables]
     pairs = [candidates(items, n, seeds, threshold) for items, n in zip(tables, sizes)]
-    both = checkpoint(pairs[0].union(pairs[1]).distinct())
+    both = stored(pairs[0].union(pairs[1]).distinct())
     p, n = (overlap(items, size, both, name) for items, size, name in zip(tables, sizes, "pn"))
     scored = p.join(n, ["seed", "id"]).withColumn("similarity", F.col("p") * 0.5 + F.col("n") * 0.5).filter(F.col("similarity") >= threshold)
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("similarity"), "id"))
-    return scored.join(named.drop("properties"), "id").select("seed", "id", "name", "type", "similarity", rank.alias("rank"))
+    return stored(scored).join(vertices.select("id", "name", "type"), "id").select("seed", "id", "name", "type", "similarity", rank.alias("rank"))

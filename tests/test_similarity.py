@@ -39,3 +39,17 @@ def test_common_items_are_not_looked_up(spark):
     assert {r.item for r in rare.collect()} == {"own4", "pair2"}
     sizes = items.groupBy("id").count().withColumnRenamed("count", "n")
     assert [tuple(r) for r in resolution.candidates(items, sizes, seeds, 0.6).collect()] == [("c4", "c5")]
+
+
+def test_items_of_others_stay_where_they_are(spark):
+    """What the seeds have is written as a table of a known size, so it is broadcast and the items of all others aren't shuffled to it."""
+    items = spark.range(200_000).selectExpr("concat('v', id) AS id", "concat('k', id % 50000) AS item")
+    seeds = spark.range(200_000).selectExpr("concat('v', id) AS id").where("id = 'v7'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        rare = resolution.rarest(items, seeds, 0.5)
+        plan = rare._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin [item" in plan and "LeftSemi" in plan
+        assert [tuple(r) for r in rare.collect()] == [("v7", "k7")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
