@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -67,3 +69,26 @@ def test_stage_takes_the_fingerprints_components(spark, corpus, tmp_path, monkey
     spark.createDataFrame(corpus, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     stages.dedup_nearly(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert calls == [1]
+
+
+def test_pairs_that_share_no_key(spark, tmp_path):
+    """Pairs just above the threshold that neither a MinHash key nor a component of fingerprints brings together."""
+    docs = []
+    for n, t in enumerate((2127, 11151, 15184, 40252, 45570, 56565)):
+        words = [f"{t}x{i}" for i in range(50)]
+        docs += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words[:25], "zebra", *words[26:]]))]
+        assert alike(*(shingles(d[1]) for d in docs[-2:]))
+    keys = [set(k) for k in similar.band_keys(similar.shingle_sets(pa.array([t for _, t in docs])))]
+    assert not any(a & b for a, b in zip(keys[::2], keys[1::2], strict=True))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = stages.dedup_nearly(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2, 4, 6, 8, 10]
+
+
+def test_prefixes_meet(corpus):
+    """Any two similar sets share one of their first shingles, whatever counts as common."""
+    sets = similar.shingle_sets(pa.array([t or "" for _, t in corpus]))
+    every, n = np.unique(np.concatenate(sets), return_counts=True)
+    for some in (slice(0, 0), slice(None), slice(None, None, 3)):
+        first = [set(similar.in_order(s, every[some], n[some]).tolist()) for s in sets]
+        assert all(first[i] & first[j] for i in range(len(sets)) for j in range(i) if similar.similar(sets[i], sets[j]))
