@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from ledgergraph.functions.text import SENTENCE_BREAK, explode_sentences
 from ledgergraph.operators import mentions, relations
 
@@ -84,3 +86,32 @@ def test_names_and_mentions_meet_as_spans(spark):
     assert met and all("context" not in x for x in met)
     odd = mentions.known_names(df, names).where("text = 'a\u0001b'")
     assert odd.count() == 4 and mentions.known_names(df, names).where("contains(text, char(2))").count() == 0
+
+
+def test_names_are_looked_up_at_the_texts(spark):
+    """The mentions and pairs of confirmed texts are those that are confirmed afterwards, and only texts and names are shuffled."""
+    rng = random.Random(4)
+    words = ["Acme#1", "beta#22x", "BETA#22", "Gamma#3", "é", "revenue growth", "$1,234.50 million", "in 2024", "up. ", "owns", "stake", "\u0001"]
+    rows = [(i % 90, None if i % 7 == 0 else i % 2, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(150)] + [(None, None, "Acme#1, Gamma#3"), (1, 1, None)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, text string")
+    names = spark.createDataFrame([("ACME#1",), ("beta#22",), (None,)], "name string")
+    texts = mentions.confirm_texts(df, names)
+    plain = mentions.confirm_names(mentions.find_mentions(df), names)
+    want = sorted(map(str, plain.collect()))
+    assert sorted(map(str, mentions.find_mentions(texts).select(plain.columns).collect())) == want and len(want) > 500
+    plain = mentions.confirm_pairs(mentions.find_pairs(df), names)
+    want = sorted(map(str, plain.collect()))
+    assert sorted(map(str, mentions.find_pairs(texts).select(plain.columns).collect())) == want and len(want) > 500
+    shuffled = str(mentions.find_pairs(texts)._jdf.queryExecution().optimizedPlan()).split("Join")[0]
+    assert "LeftOuter" not in shuffled and "src_text" in shuffled  # pairs are made above all joins
+
+
+def test_flags_run_no_lambda_for_each_cue(spark):
+    contexts = spark.createDataFrame([("up 12%, $5 by 2024", "up 12%, $5 by 2024")], "sentence string, context string")
+    rows = contexts.withColumn(relations.CUES, relations.cues(F.col("sentence"))).localCheckpoint()
+    plan = str(relations.flag_counts(rows)._jdf.queryExecution().optimizedPlan())
+    assert "filter(cues" not in plan
+    got = {(r["group"], r.flag) for r in relations.flag_counts(rows).collect() if r.contexts}
+    assert {("temporal", "has_date"), ("financial", "is_growth"), ("quantitative", "has_percentage")} <= got
+    details = relations.details(rows.withColumn("rel_type", F.lit("HAS_METRIC"))).first()
+    assert details.financial_details.is_growth and not details.financial_details.is_decline and details.location_details is None
